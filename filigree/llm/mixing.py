@@ -8,9 +8,9 @@ Taking. A document is taken floor(r) times for r = target / size of its source,
 with inclusion probability r - floor(r). The extra takes are a balanced sample: the cube method
 moves the probabilities of three documents at a time along the null space of the balancing
 constraints (their number and their tokens) until one of them is 0 or 1. Blocks of a source,
-salted by the document's hash, fly apart in parallel (large documents first); each leaves two open documents at most,
-and those fly again in fewer blocks until a source fits one block. Then the landing decides
-the last two so that the source's tokens come nearest to its target.
+salted by the document's hash, fly apart in parallel (large documents first); each leaves two open documents at most
+and ``SPARE`` small ones, and those fly again in fewer blocks until a source fits one block.
+There the landing decides the last ones so that its tokens come nearest to its target.
 
 Random directions come from the hash of the block, so reruns agree.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from filigree.llm.common import word_count
 from filigree.session import materialize
 
-CEILING, BLOCK_ROWS, SEED = 3, 8192, 20240229
+CEILING, BLOCK_ROWS, SPARE, SEED = 3, 8192, 64, 20240229
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), ceiling: int = CEILING) -> dict[str | None, Fraction]:
@@ -117,36 +117,36 @@ def landing(prob: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
 FLOWN = "rid long, src string, size long, prob double, tie long"
 
 
-def _fly(key: tuple, rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One block: the landing if it is its source's only one, else a flight that spares the smallest documents."""
+    _, block, blocks = key
     rows = rows.sort_values(["size", "tie", "rid"], ascending=[False, True, True], kind="stable")
-    seed = SEED + int(key[1]) * 1_000_003 + int(rows["tie"].iloc[0]) % 1_000_003
-    rows["prob"] = (landing if last else flight)(rows["prob"].to_numpy(), rows["size"].to_numpy(), seed)
+    seed = SEED + int(block) * 1_000_003 + int(rows["tie"].iloc[0]) % 1_000_003
+    prob, size = rows["prob"].to_numpy().copy(), rows["size"].to_numpy()
+    if blocks == 1:
+        prob = landing(prob, size, seed)
+    elif len(rows) > SPARE:
+        prob[:-SPARE] = flight(prob[:-SPARE], size[:-SPARE], seed)
+    rows["prob"] = prob
     return rows[["rid", "src", "size", "prob", "tie"]]
 
 
-def _flyer(last: bool):
-    return lambda key, rows: _fly(key, rows, last)
-
-
 def decide(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(rid, extra): the balanced sample of a table (rid, src, size, prob, tie), src never null."""
     rows = rows.filter("prob > 0")
     done = None
     level = 0
     while True:
-        counts = rows.groupBy("src").agg(F.count("*").alias("rows"))
-        counts = counts.withColumn("blocks", F.ceil(F.col("rows") / block_rows))
-        most = counts.agg(F.max("blocks")).first()[0] or 0
+        counts = rows.groupBy("src").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
         level += 1
-        dealt = rows.join(counts.hint("broadcast"), "src").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "tie"), F.col("blocks")))
-        last = most <= 1
-        flown = dealt.select("rid", "src", "size", "prob", "tie", "block").groupBy("src", "block").applyInPandas(_flyer(last), FLOWN)
+        dealt = rows.join(F.broadcast(counts), "src").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "tie"), F.col("blocks")))
+        flown = dealt.select("rid", "src", "size", "prob", "tie", "block", "blocks").groupBy("src", "block", "blocks").applyInPandas(_fly, FLOWN)
         flown = materialize(flown, "flown")
         part = flown.filter("prob = 0 or prob = 1").select("rid", F.col("prob").cast("int").alias("extra"))
         done = part if done is None else done.union(part)
-        if last:
-            return done
         rows = flown.filter("prob > 0 and prob < 1")
+        if not rows.limit(1).count():
+            return done
 
 
 def take(marked: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
