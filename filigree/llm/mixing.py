@@ -9,7 +9,7 @@ with inclusion probability r - floor(r). The extra takes are a balanced sample:
 moves the probabilities of three documents at a time along the null space of the balancing
 constraints (their number and their tokens) until one of them is 0 or 1. Blocks of a source,
 salted by the document's hash, fly apart in parallel (large documents first); each leaves two open documents at most
-and ``SPARE`` small ones, and those fly again in fewer blocks until a source fits one block.
+and ``SPARE`` of all sizes, and those fly again in fewer blocks until a source fits one block.
 There the landing decides the last ones so that its tokens come nearest to its target.
 
 Random directions come from the hash of the block, so reruns agree.
@@ -118,7 +118,7 @@ FLOWN = "rid long, src string, size long, prob double, tie long"
 
 
 def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One block: the landing if it is its source's only one, else a flight that spares the smallest documents."""
+    """One block: the landing if it is its source's only one, else a flight that spares a few documents of all sizes."""
     _, block, blocks = key
     rows = rows.sort_values(["size", "tie", "rid"], ascending=[False, True, True], kind="stable")
     seed = SEED + int(block) * 1_000_003 + int(rows["tie"].iloc[0]) % 1_000_003
@@ -126,13 +126,16 @@ def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if blocks == 1:
         prob = landing(prob, size, seed)
     elif len(rows) > SPARE:
-        prob[:-SPARE] = flight(prob[:-SPARE], size[:-SPARE], seed)
+        fly = np.ones(len(rows), dtype=bool)
+        fly[np.linspace(0, len(rows) - 1, SPARE).astype(int)] = False
+        prob[fly] = flight(prob[fly], size[fly], seed)
     rows["prob"] = prob
     return rows[["rid", "src", "size", "prob", "tie"]]
 
 
 def decide(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(rid, extra): the balanced sample of a table (rid, src, size, prob, tie), src never null."""
+    block_rows = max(block_rows, 4 * SPARE)
     rows = rows.filter("prob > 0")
     done = None
     level = 0
