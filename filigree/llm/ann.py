@@ -111,6 +111,13 @@ class Tree:
                 out.append(node)
         return out
 
+    @staticmethod
+    def of(state: dict) -> Tree:
+        """The tree with the given attributes: plain data, as broadcast."""
+        tree = object.__new__(Tree)
+        vars(tree).update(state)
+        return tree
+
     def leaves(self) -> int:
         return sum(1 for c in self.children if not len(c))
 
@@ -184,24 +191,27 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, reca
     fitted = by_hash.limit(sample).collect()  # at most ``sample`` rows
     if not fitted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = spark.sparkContext.broadcast(Tree(np.array([r["vec"] for r in fitted])))
+    tree = Tree(np.array([r["vec"] for r in fitted]))
+    shared = spark.sparkContext.broadcast(vars(tree))
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree.of(shared.value)
         for batch in batches:
             if batch.num_rows:
-                leaf = tree.value.assign(vectors_of(batch.column(1)))
+                leaf = tree.assign(vectors_of(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["vec_id", "vec", "leaf"])
 
     indexed = materialize(rows.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf long"), "indexed")
     chosen = indexed.filter(is_query)
     few = chosen.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).collect()
-    visits = calibrate(tree.value, indexed, few, k, recall)
+    visits = calibrate(tree, indexed, few, k, recall)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree.of(shared.value)
         for batch in batches:
             at, leaf = [], []
             for n, q in enumerate(vectors_of(batch.column(1)) if batch.num_rows else []):
-                nodes = tree.value.visits(q, visits)
+                nodes = tree.visits(q, visits)
                 at += [n] * len(nodes)
                 leaf += nodes
             taken = batch.take(pa.array(at, pa.int64()))

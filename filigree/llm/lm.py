@@ -93,6 +93,13 @@ class Vocabulary:
         self.member_class = np.array([*kinds[: self.members], *range(CLASSES)], dtype=np.int64)
         self.kind = np.array(kinds or [0], dtype=np.int64)
 
+    @staticmethod
+    def of(state: dict) -> Vocabulary:
+        """The vocabulary with the given attributes: plain data, as broadcast."""
+        out = object.__new__(Vocabulary)
+        vars(out).update(state)
+        return out
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number in the table or -1, member) of every token."""
         get = self.number.get
@@ -147,7 +154,7 @@ def training_round(docs: DataFrame, vocabulary, weights: np.ndarray) -> tuple[np
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, start = vocabulary.value, shared.value
+        v, start = Vocabulary.of(vocabulary.value), shared.value
         w, speed = start.copy(), np.zeros(len(start), dtype=np.float32)
         pairs = np.zeros(CLASSES * len(v.member_class), dtype=np.int64)
         held: list[tuple] = []
@@ -187,7 +194,7 @@ def training_round(docs: DataFrame, vocabulary, weights: np.ndarray) -> tuple[np
     made = docs.select("text").mapInArrow(run, SUMMED)
     parts = shuffle_partitions(docs)
     total = made.repartition(parts, "what", "at").mapInArrow(add_blocks, SUMMED)
-    out, pairs, seen = np.zeros(weights.size), np.zeros(CLASSES * len(vocabulary.value.member_class)), 1
+    out, pairs, seen = np.zeros(weights.size), np.zeros(CLASSES * len(vocabulary.value["member_class"])), 1
     for row in total.toLocalIterator():  # the model's own size, once
         values = np.frombuffer(row["cells"], dtype=np.float64)
         if row["what"] == "w":
@@ -283,7 +290,7 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray, n
     for token, n in table[:WORDS]:
         rest[:, class_of(token)] -= n, 1
     v = Vocabulary(table, total["n"] or 0, total["v"], rest)
-    shared = spark.sparkContext.broadcast(v)
+    shared = spark.sparkContext.broadcast(vars(v))
     weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
     weights[-1] = np.log((whole + 0.5) / (whole.sum() + 0.5 * CLASSES))
     pairs = np.zeros(CLASSES * len(v.member_class))
@@ -298,12 +305,13 @@ TALLY = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.Stru
 SCORED = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("rare", TALLY)]
 
 
-def score_rows(docs: DataFrame, vocabulary, weights: np.ndarray, members: np.ndarray) -> DataFrame:
+def score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, members: np.ndarray) -> DataFrame:
     """rid, doc_id, held_out, the parts of the scores that the broadcast table decides, and the other tokens (``rare``)."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights, members))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(vocabulary), weights, members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, m = shared.value
+        state, w, m = shared.value
+        v = Vocabulary.of(state)
         base_log = np.log10(v.total + 0.5 * (v.distinct + 1))
         count_log = np.log10(v.count + 0.5)
         rest_log = np.log10(v.rest[0] + 0.5 * (v.rest[1] + 1))

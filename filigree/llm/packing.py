@@ -184,9 +184,9 @@ class Runs:
         return [run for runs in self.by_room for run in runs]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 96, small: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 64, small: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Runs (sizes of one sequence, how many such sequences) that hold every item of the histogram once."""
-    small = capacity // 16 if small is None else small
+    small = capacity // 3 if small is None else small
     left = np.asarray(counts, dtype=np.int64).copy()
     runs = Runs(capacity)
     if left[capacity]:
