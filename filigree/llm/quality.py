@@ -170,11 +170,12 @@ def fit(rows: DataFrame) -> dict | None:
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with _x (statistics) and _trusted, written once for all passes."""
+    """doc_id, _x (statistics) and _trusted of every document; no text moves for it."""
     good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
     good = good.filter(F.col("_q") > 0).filter(~held_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("_good_id"))
-    marked = docs.withColumn("_x", statistics_udf("text"))
-    return marked.join(good, marked["doc_id"] == good["_good_id"], "left").withColumn("_trusted", F.col("_good_id").isNotNull()).drop("_good_id")
+    marked = docs.select("doc_id", statistics_udf("text").alias("_x"))
+    marked = marked.join(good, marked["doc_id"] == good["_good_id"], "left").withColumn("_trusted", F.col("_good_id").isNotNull())
+    return materialize(marked.drop("_good_id"), "quality")
 
 
 def score_column(docs: DataFrame, model: dict | None):
@@ -190,7 +191,7 @@ def score_column(docs: DataFrame, model: dict | None):
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    rows = materialize(trusted_rows(docs.select("doc_id", "text"), labels).drop("text"), "quality")
+    rows = trusted_rows(docs, labels)
     model = fit(rows.select(F.col("_x").alias("x"), F.col("_trusted").alias("trusted")))
     out = rows.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), score_column(rows, model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -198,8 +199,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score one half or more; all of them where nothing is trusted. Columns stay as they are."""
-    rows = materialize(trusted_rows(docs, labels), "quality")
+    rows = trusted_rows(docs, labels)
     model = fit(rows.select(F.col("_x").alias("x"), F.col("_trusted").alias("trusted")))
     if model is None:
-        return rows.select(*docs.columns)
-    return rows.withColumn("_score", score_column(rows, model)).filter("_score >= 0.5").select(*docs.columns)
+        return docs
+    marked = docs.withColumn("_x", statistics_udf("text"))
+    return marked.filter(score_column(marked, model) >= 0.5).select(*docs.columns)
