@@ -28,6 +28,9 @@ class Page(HTMLParser):
         self.stack: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BLOCKS or tag == "table":  # ends a paragraph or item whose end tag is left out
+            while self.open and self.open[-1][0] in ("p", "li"):
+                self.end_block()
         if tag in SILENT:
             self.silent += 1
         elif tag == "table":
@@ -36,8 +39,6 @@ class Page(HTMLParser):
         elif tag == "tr" and self.stack:
             self.stack[-1]["row"] += 1
         elif tag in BLOCKS:
-            if self.open and tag not in ("p", "li") and self.open[-1][0] in ("p", "li"):
-                self.end_block()
             self.open.append((tag, [], dict(attrs)))
 
     def handle_endtag(self, tag: str) -> None:
