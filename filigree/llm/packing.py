@@ -7,12 +7,13 @@ Sizes are whole token counts from 1 to the capacity, so the corpus reduces to a
    each rounded up to its largest member.
 2. Few-size configurations: the linear programme over the configurations of those rounded
    sizes is solved by column generation (a knapsack over the capacity prices new ones).
-3. Substitution: each configuration is used as often as the programme says, rounded down, with
-   actual sizes in place of rounded ones; its last place takes the largest actual size that fits.
+3. Substitution: each configuration is used as often as the programme says, rounded down, those
+   of the largest sizes first, with actual sizes in place of rounded ones; its last place takes
+   the largest actual size that fits.
 4. Best fit: what is left of the large sizes, then the small sizes, go in descending order
    where the least room remains.
 
-A plan is a list of runs (equal sequences and their count), at most a few thousand. Documents
+The scheme runs for a few borders between small and large (``SHARES``); the best plan counts. A plan is a list of runs (equal sequences and their count), at most a few thousand. Documents
 meet it by their rank within their size, counted in salted buckets, by a broadcast of the runs
 (bounded by the capacity, not by the corpus). Full pieces are one run, so half of all rows in
 one size do no harm.
@@ -41,6 +42,8 @@ from filigree.llm.common import shuffle_partitions, texts_of
 from filigree.session import materialize
 
 CAPACITY, END_ID = 1024, 2
+#: Groups of large sizes; borders between small and large, as parts of the capacity.
+GROUPS, SHARES = 64, (2, 3, 4, 8)
 SPECIAL, SAFE_BELOW = "<|endoftext|>", "԰"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -184,9 +187,17 @@ class Runs:
         return [run for runs in self.by_room for run in runs]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 64, small: int | None = None) -> list[tuple[tuple[int, ...], int]]:
-    """Runs (sizes of one sequence, how many such sequences) that hold every item of the histogram once."""
-    small = capacity // 3 if small is None else small
+def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, shares: tuple[int, ...] = SHARES) -> list[tuple[tuple[int, ...], int]]:
+    """Runs (sizes of one sequence, how many such sequences) that hold every item of the histogram once.
+
+    What counts as small is a parameter of the scheme: each border is tried, the fewest sequences win.
+    """
+    plans = [plan_at(counts, capacity, groups, capacity // s) for s in shares]
+    return min(plans, key=lambda runs: sum(n for _, n in runs))
+
+
+def plan_at(counts: np.ndarray, capacity: int, groups: int, small: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan for one border between small and large sizes."""
     left = np.asarray(counts, dtype=np.int64).copy()
     runs = Runs(capacity)
     if left[capacity]:
@@ -195,9 +206,10 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 64, small:
     spans = linear_groups(left, small, capacity, groups)
     if spans:
         demand = np.array([float(left[low : high + 1].sum()) for low, high in spans])
-        for amounts, often in configurations([high for _, high in spans], demand, capacity):
+        found = configurations([high for _, high in spans], demand, capacity)
+        # configurations with the largest sizes first, as their partners are the fewest
+        for places, often in sorted(([g for g in range(len(spans)) for _ in range(amounts[g])], often) for amounts, often in found):
             todo = int(often + 1e-6)
-            places = [g for g in range(len(spans)) for _ in range(amounts[g])]
             while todo > 0:
                 sizes: list[int] = []
                 room = capacity
