@@ -108,8 +108,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from histograms over the same ascending score cells."""
     p, u = np.cumsum(positive[::-1]) / positive.sum(), np.cumsum(unlabelled[::-1]) / unlabelled.sum()
     enough = p >= FLOOR
-    slack = np.sqrt(1 / np.maximum(1, np.cumsum(unlabelled[::-1]))) * 0.1
-    return float(np.clip(((u + slack * u) / np.maximum(p, 1e-12))[enough].min(), 0.05, 0.99))
+    slack = 0.25 / np.sqrt(positive.sum())  # few positives: rather a high prior, which keeps documents
+    return float(np.clip(((u + slack) / np.maximum(p, 1e-12))[enough].min(), 0.05, 0.99))
 
 
 def fit(rows: DataFrame) -> dict | None:
@@ -122,6 +122,7 @@ def fit(rows: DataFrame) -> dict | None:
     mean = base[:k] / n
     scale = np.sqrt(np.maximum(base[k : 2 * k] / n - mean**2, 1e-6))
     d = k + 1
+    ridge = RIDGE + 0.5 / trusted
 
     def newton(prior: float | None) -> np.ndarray:
         """``prior`` None: plain positive-against-unlabelled regression, both sides weighing one."""
@@ -149,8 +150,8 @@ def fit(rows: DataFrame) -> dict | None:
                 # pi R_p+ has slope pi (gp - xp); R_u- - pi R_p- has slope gu - pi gp
                 slope = gu - prior * xp if negative >= 0 else -(gu - prior * gp)
                 bend = hu
-            slope = slope + RIDGE * w
-            step = np.linalg.solve(bend + (RIDGE + 1e-6) * np.eye(d), slope)
+            slope = slope + ridge * w
+            step = np.linalg.solve(bend + (ridge + 1e-6) * np.eye(d), slope)
             size = np.abs(step).max()
             w = w - step * min(1.0, 3.0 / max(size, 1e-12))
             if size < 1e-4:
@@ -170,21 +171,21 @@ def fit(rows: DataFrame) -> dict | None:
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, _x (statistics) and _trusted of every document; no text moves for it."""
+    """doc_id, _quality_x (statistics) and _trusted of every document; no text moves for it."""
     good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
     good = good.filter(F.col("_q") > 0).filter(~held_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("_good_id"))
-    marked = docs.select("doc_id", statistics_udf("text").alias("_x"))
+    marked = docs.select("doc_id", statistics_udf("text").alias("_quality_x"))
     marked = marked.join(good, marked["doc_id"] == good["_good_id"], "left").withColumn("_trusted", F.col("_good_id").isNotNull())
     return materialize(marked.drop("_good_id"), "quality")
 
 
 def score_column(docs: DataFrame, model: dict | None):
-    """Score of the column _x, in plain expressions."""
+    """Score of the column _quality_x, in plain expressions."""
     if model is None:
         return F.lit(0.0)
     z = F.lit(float(model["weights"][-1]))
     for k in range(WIDTH):
-        part = (F.element_at("_x", k + 1).cast("double") - float(model["mean"][k])) / float(model["scale"][k])
+        part = (F.element_at("_quality_x", k + 1).cast("double") - float(model["mean"][k])) / float(model["scale"][k])
         z = z + F.greatest(F.least(part, F.lit(8.0)), F.lit(-8.0)) * float(model["weights"][k])
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
@@ -192,7 +193,7 @@ def score_column(docs: DataFrame, model: dict | None):
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     rows = trusted_rows(docs, labels)
-    model = fit(rows.select(F.col("_x").alias("x"), F.col("_trusted").alias("trusted")))
+    model = fit(rows.select(F.col("_quality_x").alias("x"), F.col("_trusted").alias("trusted")))
     out = rows.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), score_column(rows, model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -200,8 +201,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score one half or more; all of them where nothing is trusted. Columns stay as they are."""
     rows = trusted_rows(docs, labels)
-    model = fit(rows.select(F.col("_x").alias("x"), F.col("_trusted").alias("trusted")))
+    model = fit(rows.select(F.col("_quality_x").alias("x"), F.col("_trusted").alias("trusted")))
     if model is None:
         return docs
-    marked = docs.withColumn("_x", statistics_udf("text"))
+    marked = docs.withColumn("_quality_x", statistics_udf("text"))
     return marked.filter(score_column(marked, model) >= 0.5).select(*docs.columns)
