@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.llm.common import bounded_sample
 from filigree.session import materialize
 
 SAMPLE, BRANCH, LEAF, CHUNK, PROBES, RECALL, SEED = 16_384, 8, 64, 4096, 256, 0.97, 7
@@ -187,8 +188,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, reca
     """query_id, rank, vec_id, score: for each row that ``is_query`` (a column of vec_id) holds for, its ``k`` nearest found."""
     rows = materialize(valid(vectors), "vectors")
     spark = rows.sparkSession
-    by_hash = rows.orderBy(F.xxhash64("vec_id"), "vec_id")
-    fitted = by_hash.limit(sample).collect()  # at most ``sample`` rows
+    fitted = bounded_sample(rows, "vec_id", sample).collect()
     if not fitted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(np.array([r["vec"] for r in fitted]))
@@ -203,7 +203,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, reca
 
     indexed = materialize(rows.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf long"), "indexed")
     chosen = indexed.filter(is_query)
-    few = chosen.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).collect()
+    few = bounded_sample(chosen, "vec_id", probes).collect()
     visits = calibrate(tree, indexed, few, k, recall)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

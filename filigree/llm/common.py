@@ -26,8 +26,17 @@ def held_out(doc_id: Column, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == value, F.lit(True))
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows, never more: those with the smallest hash of ``key``.
+
+    The hash border is set from the row count first, so that no task hands on more than its
+    share; a plain top-k would send ``most`` rows of every task to one place.
+    """
+    n = rows.count()
+    cell = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    if n > most:
+        rows = rows.filter(cell < int((1 << 30) * most / n))
+    return rows.orderBy(cell, key).limit(most)
 
 
 def word_count(text: Column) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import held_out, texts_of
+from filigree.llm.common import bounded_sample, held_out, texts_of
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_ODDS = 16_000, 4096, 4, 1.5
 
@@ -164,10 +164,9 @@ def feature_names(word: str) -> tuple[str, ...]:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, value: int, sample: int) -> DataFrame:
-    """(text, label) of at most ``sample`` labelled rows that are not held out, the first by hash of id."""
+    """(text, label) of at most ``sample`` labelled rows that are not held out, those of the smallest hash of id."""
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, value))
-    rows = rows.groupBy("doc_id").agg(F.max(label).alias("label"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = bounded_sample(rows.groupBy("doc_id").agg(F.max(label).alias("label")), "doc_id", sample)
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "label")
 
 
