@@ -149,7 +149,7 @@ query("u2_union_distinct", "SELECT n_name AS name FROM nation UNION SELECT r_nam
 query("u3_difference", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')")(
     lambda s, d: load_table(s, d, "lineitem").filter("l_returnflag = 'A'").select("l_suppkey").distinct().join(load_table(s, d, "lineitem").filter("l_quantity = 50 and l_returnflag = 'R'").select("l_suppkey"), "l_suppkey", "left_anti")
 )
-query("d8_round_robin", """WITH p AS (SELECT p_partkey, p_size % 3 AS pool, row_number() OVER (PARTITION BY p_size % 3 ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_size % 3) AS n FROM part),
+@query("d8_round_robin", """WITH p AS (SELECT p_partkey, p_size % 3 AS pool, row_number() OVER (PARTITION BY p_size % 3 ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_size % 3) AS n FROM part),
   a AS (SELECT range AS k, CAST(range % 3 AS INT) AS pool FROM range(300)) SELECT a.k, p.p_partkey FROM a JOIN p ON a.pool = p.pool AND p.i = (a.k // 3) % p.n""")
 def round_robin(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
