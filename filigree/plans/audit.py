@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.operators import evaldata as V
 from filigree.operators import extraction as X
 from filigree.operators import relational as R
 from filigree.plans.registry import query
@@ -54,10 +55,7 @@ def inventory(s: SparkSession, d: str) -> DataFrame:
 
 @query("e19_cycled_cases", """WITH g AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) SELECT range AS case_no, s_suppkey FROM range(500) JOIN g ON g.i = range % g.n""")
 def cycled(s: SparkSession, d: str) -> DataFrame:
-    """The gold list is short and bounded by its authors; numbering it in one place is its definition."""
-    gold = load_table(s, d, "supplier").select("s_suppkey").withColumn("i", F.row_number().over(Window.orderBy("s_suppkey")) - 1)
-    n = gold.count()
-    return s.range(500).withColumnRenamed("id", "case_no").join(gold, F.col("case_no") % max(1, n) == F.col("i")).select("case_no", "s_suppkey")
+    return V.cycled(s.range(500).withColumnRenamed("id", "case_no"), load_table(s, d, "supplier").select("s_suppkey"), "case_no", "s_suppkey").select("case_no", "s_suppkey")
 
 
 @query("d5_template_expansion", """SELECT left(sha256(CAST(n_nationkey AS VARCHAR) || chr(31) || t), 20) AS case_id, n_nationkey, t AS template FROM nation, (VALUES ('sum', 0), ('list', 1), ('rank', 2)) x(t, r) WHERE n_regionkey >= r""")

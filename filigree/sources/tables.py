@@ -1,4 +1,4 @@
-"""Manifests, file discovery, verified sinks and exports."""
+"""Manifests, file discovery, verified and resumable sinks, exports."""
 
 from __future__ import annotations
 
@@ -67,3 +67,21 @@ def compare_counts(before: DataFrame, after: DataFrame, key: list[str]) -> DataF
     a, b = (d.groupBy(*key).agg(F.count("*").alias(n)) for d, n in ((before, "before"), (after, "after")))
     both = a.join(b, key, "full").na.fill(0, ["before", "after"])
     return both.filter("before <> after")
+
+
+def write_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Overwrite only the partitions of ``by`` that ``df`` has; running the job again gives the same table."""
+    df.repartition(by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def append_missing(df: DataFrame, path: str, key: str, done: DataFrame | None = None) -> DataFrame:
+    """Append the rows whose key the table lacks, one per key, and return the table.
+
+    ``done`` is the table as it stands (None where there is none yet). A run that failed leaves
+    no half-written rows, because the append commits as a whole; the next run adds the rest.
+    """
+    new = df.dropDuplicates([key])
+    if done is not None:
+        new = new.join(done.select(key), key, "left_anti")
+    new.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
