@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from filigree.plans import audit, corpus, evaldata, facts, filings  # noqa: F401
+from filigree.plans import audit, corpus, evaldata, facts, filings, verification  # noqa: F401
 from filigree.plans.registry import QUERIES, SQL
 
 
