@@ -14,9 +14,13 @@ Under one key fingerprints differ in two bytes only, so a posting holds 65,536 d
 at most, whatever the corpus size; it is verified by Hamming distance over that 16-bit space
 and returned as a star (value, smallest linked value), never as pairs.
 
+Stage. ``dedup_alike`` has a contract of its own: two texts are near copies if their sets of five-word
+shingles have a Jaccard similarity of 0.8 or more. Such texts differ in far more than two bits, so
+candidates come from MinHash bands instead, and each is verified on the whole sets (``link_sets``).
+
 Defined cases: null or wordless text: fingerprint 0, linked like any other; a null id is kept
 and never names a component while another member has an id; repeated rows each get a row; an
-empty table gives an empty result; extra columns are ignored (``dedup`` keeps them).
+empty table gives an empty result; extra columns are ignored (``dedup`` and ``dedup_alike`` keep them).
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ from filigree.session import materialize
 
 SHINGLE, SEED, MAX_BITS, CHUNK = 3, 42, 2, 1 << 16
 
+#: The stage: words of a shingle, least similarity, and MinHash bands and rows (a pair of similarity 0.8 meets with 0.9995).
+WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 7
+
 #: What may differ within one posting: the two bytes that its key leaves out.
 FREE_BYTES = list(combinations(range(8), 2))
 
@@ -155,4 +162,103 @@ def dedup(docs: DataFrame) -> DataFrame:
     return kept.join(keep, rid, "left_semi").drop(mark, rid)
 
 
-__all__ = ["components", "dedup", "link_fingerprints", "near_duplicates", "posting_star", "simhash"]
+# ---- the pipeline's stage -----------------------------------------------------------------
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The different shingles of ``width`` words of a text as sorted XXH64 values (shorter texts: the whole sequence)."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def band_keys(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """One key per band: the hash of the band's minima under its multiply-add permutations."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(low, (shingles[at : at + 1024, None] * multipliers[0] + multipliers[1]).min(axis=0), out=low)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def marks_udf(width: int):
+    """struct(node, keys) of a text: the hash of its set of shingles and its band keys."""
+
+    @F.pandas_udf("node long, keys array<long>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        multipliers = np.random.default_rng(SEED).integers(1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+        for texts in batches:
+            sets = [shingle_set(x, width) for x in texts]
+            nodes = [np.uint64(xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0).astype(np.int64) for x in sets]
+            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "keys": [band_keys(x, multipliers) if len(x) else [] for x in sets]})
+
+    return udf
+
+
+def shingle_set_udf(width: int):
+    @F.pandas_udf("array<long>")
+    def udf(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, width).view(np.int64) for x in texts])
+
+    return udf
+
+
+def alike_udf(similarity: float):
+    """Whether two sets of shingles have at least this Jaccard similarity."""
+
+    @F.pandas_udf("boolean")
+    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
+        return pd.Series([n >= similarity * (len(x) + len(y) - n) - 1e-9 for n, x, y in zip(both, a, b)], dtype=bool)
+
+    return udf
+
+
+def link_sets(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, keys), ``sets`` (node, text's set).
+
+    In every posting (the nodes of one band key) one leader is compared with all others. Those that
+    end in another component than it stay in the posting and get a new leader, until none is left. So
+    no pairs of a posting are formed beyond (its members x the components that it holds).
+    """
+    postings = nodes.select("node", F.explode("keys").alias("key"))
+    # a singleton posting compares nothing
+    left = materialize(postings.join(postings.groupBy("key").count().filter("count > 1"), "key", "left_semi"), "postings")
+    involved = left.select("node").distinct()
+    sets = materialize(sets.join(involved, "node", "left_semi"), "shingle-sets")
+    labels = materialize(involved.select("node", F.col("node").alias("label")), "labels")
+    edges = None
+    while left.limit(1).count():
+        leaders = left.groupBy("key").agg(F.min_by("node", F.struct(F.xxhash64("node", "key"), "node")).alias("leader"))
+        led = materialize(left.join(leaders, "key").filter("node <> leader"), "led")
+        pairs = led.select("node", "leader").distinct()
+        of_leader = sets.select(F.col("node").alias("leader"), F.col("set").alias("leader_set"))
+        met = pairs.join(of_leader, "leader").join(sets, "node").filter(alike_udf(similarity)("set", "leader_set"))
+        met = materialize(met.select(F.col("node").alias("a"), F.col("leader").alias("b")), "alike")
+        edges = met if edges is None else edges.unionByName(met)
+        labels = materialize(involved.join(connected_components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+        far = labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+        left = materialize(led.join(labels, "node").join(far, "leader").filter("label <> leader_label").select("node", "key"), "postings")
+    return labels
+
+
+def dedup_alike(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents with one of each near-duplicate group kept: that of the smallest id. Columns stay as they are.
+
+    Groups are connected by a Jaccard similarity of at least ``similarity`` between the sets of
+    ``width``-word shingles, verified exactly; candidates come from MinHash bands.
+    """
+    mark, rid = "_simhash_mark", "_simhash_rid"
+    kept = docs.withColumns({mark: marks_udf(width)("text"), rid: F.monotonically_increasing_id()})
+    kept = materialize(kept, "dedup")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(rid).alias("rid"))).alias("low")
+    nodes = materialize(kept.groupBy(F.col(f"{mark}.node").alias("node")).agg(low, F.first(f"{mark}.keys").alias("keys")), "nodes")
+    sets = kept.join(nodes.select("node", F.col("low.rid").alias(rid)), rid).select("node", shingle_set_udf(width)("text").alias("set"))
+    labels = link_sets(nodes.select("node", "keys"), sets, similarity)
+    of = nodes.join(labels, "node", "left").select("low", F.coalesce("label", "node").alias("root"))
+    keep = of.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.rid").alias(rid))
+    return kept.join(keep, rid, "left_semi").drop(mark, rid)
+
+
+__all__ = ["components", "dedup", "dedup_alike", "link_fingerprints", "link_sets", "near_duplicates", "posting_star", "shingle_set", "simhash"]

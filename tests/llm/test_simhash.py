@@ -87,3 +87,37 @@ def test_documents(spark, sf):
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
     kept = simhash.dedup(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want})
+
+
+def plain_kept(rows, least=0.8):
+    """Smallest ids of the groups that five-word Jaccard similarity connects, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if group[i] != group[j] and n >= least * (len(a) + len(sets[j]) - n):
+                group = [group[j] if g == group[i] else g for g in group]
+    low = {}
+    for (doc_id, _), g in zip(rows, group):
+        low[g] = min(low.get(g, doc_id), doc_id)
+    return sorted(low.values())
+
+
+def test_stage_finds_near_copies(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for edits in (0, 1, 2, 3, 4, 5, 8, 12):
+            new = list(words)
+            for at in rng.sample(range(200), edits):
+                new[at] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(new)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_kept(rows)
+    assert sorted(r["doc_id"] for r in simhash.dedup_alike(docs).collect()) == want
+    assert len({r["component_id"] for r in simhash.near_duplicates(docs).collect()}) > len(want)  # two of 64 bits do not reach them
