@@ -70,6 +70,11 @@ def top_per_key(rows: DataFrame, key: list[str], order: list[Column], k: int) ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def ranked_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Every row with its number within its key."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+
+
 def reject_conflicts(rows: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """Rows of keys on whose values all rows agree; the others go as a whole."""
     agreed = rows.groupBy(*key).agg(F.countDistinct(F.struct(*values)).alias("_kinds")).filter("_kinds = 1").drop("_kinds")

@@ -96,5 +96,5 @@ query("u5_multiset_equality", "SELECT a.o_custkey, list_sort(list(a.o_orderstatu
     )
 )
 query("w3_first_occurrence_rank", "SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_id) AS INT) AS rank FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2)")(
-    lambda s, d: R.top_per_key(load_table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id")), ["user_id"], [F.asc("first_id")], 1000).select("user_id", "event_type", "rank")
+    lambda s, d: R.ranked_per_key(load_table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id")), ["user_id"], [F.asc("first_id")]).select("user_id", "event_type", "rank")
 )

@@ -69,6 +69,13 @@ query("q13_components", """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey
   r AS (SELECT x AS node, x AS seen FROM n UNION SELECT r.node, n.y FROM r JOIN n ON n.x = r.seen) SELECT node, min(seen) AS label FROM r GROUP BY 1""")(
     lambda s, d: components.connected_components(load_table(s, d, "customer").filter("c_custkey % 8 in (2, 3, 5)").select(F.col("c_custkey").alias("a"), F.expr("c_custkey div 2").alias("b")))
 )
+# q12 and q13 keep the subsets that their SQL states; these two look at every row
+query("q12_leakage_all", "SELECT DISTINCT user_id FROM events WHERE event_id % 10 = 0 AND user_id IN (SELECT user_id FROM events WHERE event_id % 10 <> 0)")(
+    lambda s, d: quality.leaks(load_table(s, d, "events").filter("event_id % 10 = 0"), load_table(s, d, "events").filter("event_id % 10 <> 0"), "user_id")
+)
+query("q13_components_all")(
+    lambda s, d: components.connected_components(load_table(s, d, "customer").select(F.col("c_custkey").alias("a"), F.expr("c_custkey div 2").alias("b")))
+)
 
 # ---- retrieval ----------------------------------------------------------------------------
 
@@ -106,6 +113,9 @@ query("r10_cosine_topk", """WITH q AS (SELECT vec_id AS query, embedding AS q FR
   SELECT query, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank FROM c) WHERE rank <= 10""")(
     lambda s, d: retrieval.cosine_topk(load_table(s, d, "embeddings"), load_table(s, d, "embeddings").filter("vec_id < 10"), 10)
 )
+query("r10_cosine_topk_all")(
+    lambda s, d: retrieval.cosine_topk_blocks(load_table(s, d, "embeddings"), load_table(s, d, "embeddings").filter("vec_id % 20 = 0"), 10)
+)
 query("r14_owned_evidence", "SELECT text, min(source) AS source FROM documents GROUP BY 1 HAVING count(DISTINCT source) = 1")(
     lambda s, d: retrieval.owned_only(load_table(s, d, "documents"), "text", "source")
 )

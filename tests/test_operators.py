@@ -4,6 +4,7 @@ import base64
 import json
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -158,3 +159,26 @@ def test_package_stands_alone():
     used = subprocess.run(["grep", "-rlE", r"filigree\.llm|corpus_pipeline", "filigree", "--include=*.py"], cwd=root, capture_output=True, text=True).stdout.split()
     assert all(f.startswith("filigree/llm/") for f in used)
     assert sys.modules["filigree"]
+
+
+def test_whole_tables_are_looked_at(spark, tmp_path):
+    """Ranks past 1,000, leaks out of any event, chains through every customer, and searches for one row in twenty."""
+    from filigree.plans import audit, corpus  # noqa: F401  (they register their queries)
+    from filigree.plans.registry import QUERIES
+
+    d = str(tmp_path)
+    rng = np.random.default_rng(1)
+    vectors = {i: [float(x) for x in rng.normal(size=4)] for i in range(100)}
+    spark.createDataFrame([(1, f"t{k}", k) for k in range(1500)] + [(2, "a", 10), (2, "a", 13), (3, "a", 20)], "user_id long, event_type string, event_id long").write.parquet(f"{d}/events.parquet")
+    spark.range(1, 41).withColumnRenamed("id", "c_custkey").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    ranks = QUERIES["w3_first_occurrence_rank"](spark, d).filter("user_id = 1").collect()
+    assert sorted(r["rank"] for r in ranks) == list(range(1, 1501))
+    assert {r["user_id"] for r in QUERIES["q12_leakage_all"](spark, d).collect()} == {1, 2}
+    assert {tuple(r) for r in QUERIES["q13_components_all"](spark, d).collect()} == {(n, 0) for n in range(41)}
+    got = {}
+    for r in QUERIES["r10_cosine_topk_all"](spark, d).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["vec_id"])
+    m = np.float32([vectors[i] for i in range(100)]).astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    assert got == {i: [int(j) for j in np.lexsort((np.arange(100), -np.round(m @ m[i], 6))) if j != i][:10] for i in range(0, 100, 20)}
