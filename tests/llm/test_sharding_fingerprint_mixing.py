@@ -128,3 +128,10 @@ def test_mix_in_many_blocks(spark):
     for s in (0, 1):
         part = [r for r in rows if r["doc_id"] % 2 == s]
         assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 40
+
+
+def test_long_unrelated_texts_are_not_alike(spark):
+    a, b = (F.expr(f"array_join(transform(sequence(1, 600000), i -> concat('{x}', i)), ' ')") for x in "ab")
+    row = spark.range(1).select(fingerprint.lanes(a).alias("a"), fingerprint.lanes(b).alias("b")).localCheckpoint()
+    got = row.select(fingerprint.likeness(F.col("a"), F.col("b")).alias("x"), F.col("a.pieces").alias("n")).first()
+    assert got["n"] == 200_000 and got["x"] < 0.25
