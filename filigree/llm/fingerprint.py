@@ -1,37 +1,48 @@
 """Homomorphic multiset fingerprints of documents (operator 4), in DataFrame functions only.
 
-A text is a multiset of paragraphs (lines that are not blank). Each paragraph is hashed as a
-whole into two wide sums modulo 2^64, which decide equality, and piece by piece (up to three
-words) into a vector of 8-bit lanes: a piece's hash picks a stratum (a quarter of the stratum
-before), a lane in it, and the number added there modulo 2^8. All parts are sums, so
-
-* the order of paragraphs does not matter, and equal multisets give equal fingerprints,
-* ``insert`` and ``remove`` of a paragraph are lane-wise additions and subtractions,
-* the lanes that differ between two fingerprints tell how many pieces differ, as in a strata
-  estimator: likeness = 1 - differing pieces / pieces of both. It can tell up to about 4.6e7
-  differing pieces (some 1.4e8 words); beyond that likeness is too high.
-
-``edited_pairs`` needs each document's successor by id. Documents are dealt by ranges of ids
-into salt-free buckets and a copy of each bucket's first rows joins the bucket before it, so
-the texts move once and no task sees the whole order.
-
-Defined cases: null text is the empty text (all lanes 0; two empty texts have likeness 1); null
-ids come after all others; among equal ids the text's hash decides; repeated rows each get a
-row; with one document its successor is itself; an empty table gives an empty result.
+A text is a multiset of paragraphs: runs of text that end with a line or, within a line, with a
+clause or sentence (a sign of ``. ! ? … 。 , ; :`` and white space behind it), so that a text of
+one line has parts too. Every paragraph is hashed to a wide vector, and a fingerprint is the sum
+of its paragraphs' vectors:
+
+* ``sums``: ``4 x SEEDS x SHIFTS`` lanes of 0 or 1, four to a 60-bit number, added modulo 2^60;
+* ``whole``: ``SEEDS`` hashes, added modulo 2^56;
+* ``n``: 1, so the sum is the number of paragraphs.
+
+So the order of paragraphs does not matter, equal multisets give equal fingerprints, and
+``insert`` and ``remove`` of a paragraph are additions and subtractions.
+
+Likeness comes from the same sums. With c the count of ones in a lane, 2 c - n is a sum of one
+random sign per paragraph, so the mean of its square over all lanes estimates |A|^2 = sum of
+squared multiplicities, and that of the difference of two fingerprints |A - B|^2. The likeness is
+1 - |A - B|^2 / (|A|^2 + |B|^2), that is 2 A.B / (|A|^2 + |B|^2): 1 for equal multisets, about 0
+for disjoint ones; its spread is about 1 / sqrt(lanes) = 0.075. A lane is read to the nearest
+number to its expected half of n, which holds to some 6e7 paragraphs.
+
+``edited_pairs`` needs each document's successor by id. Light keys (id, text hashes) are ordered
+by ranges; each document then hands the head that its predecessor needs to it, so whole texts
+move once, and equal rows are one before they move.
+
+Defined cases: null text is the empty text (all sums 0; two empty texts have likeness 1); null
+ids come after all others; among equal ids the text's hashes decide; rows that repeat id and text
+count as one document in the order and each get a row; a sole document is its own successor; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import shuffle_partitions
+from filigree.operators.ordering import with_previous
 
-#: Nine strata use all 16 bits of a hash below its lane number; the last one fills at about 4.6e7 differing pieces.
-STRATA, LANES, FILLED = 9, 128, 0.8
+SEEDS, SHIFTS, LANE = 3, 15, 15
+#: One bit in each of four lanes; a number of four lanes; a whole sum.
+ONES, PACKED, WHOLE = sum(1 << (LANE * k) for k in range(4)), (1 << 4 * LANE) - 1, (1 << 56) - 1
+LANE_MASK, HALF = (1 << LANE) - 1, 1 << (LANE - 1)
 
-#: Up to three words of one line.
-PIECE = r"[^\x20\x09-\x0D]+(?:[\x20\x09]+[^\x20\x09-\x0D]+){0,2}"
+#: Where paragraphs part: line ends, and white space behind a sign that ends a clause or sentence.
+BREAKS = r"[\x0A-\x0D]+|(?<=[.!?…。,;:])[\x20\x09]+"
 
 
 def bound(value: Column, body) -> Column:
@@ -39,160 +50,126 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def lanes(text: Column) -> Column:
-    """struct(pieces, whole: two sums mod 2^64, lanes: array of sums mod 2^8) of a text."""
-
-    def stratum(h: Column) -> Column:
-        z = F.when(h.bitwiseAND(F.lit(3)) != 0, 0)
-        for k in range(1, STRATA - 1):
-            z = z.when(F.shiftright(h, 2 * k).bitwiseAND(F.lit(3)) != 0, k)
-        return z.otherwise(STRATA - 1)
-
-    def one_stratum(hashes: Column) -> Column:
-        sums = F.transform(
-            F.sequence(F.lit(0), F.lit(LANES - 1)),
-            lambda lane: F.aggregate(
-                F.filter(hashes, lambda h: F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(LANES - 1)) == lane),
-                F.lit(0).cast("long"),
-                lambda a, h: (a + F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(0xFF))).bitwiseAND(F.lit(0xFF)),
-            ).cast("int"),
-        )
-        return F.when(F.size(hashes) == 0, F.array_repeat(F.lit(0), LANES)).otherwise(sums)  # most texts leave the last strata empty
-
-    text = F.coalesce(text, F.lit(""))
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(f"({PIECE})")), lambda p: F.xxhash64(F.lit("piece"), p))
-    strata = bound(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(STRATA - 1)), lambda j: F.filter(hs, lambda h: stratum(h) == j)))
-    paragraphs = F.filter(F.split(text, "\n"), lambda p: p != "")
-
-    def wide_sum(seed: str) -> Column:
-        # each half apart, so that a sum modulo 2^32 never leaves a long
-        def half(shift: int) -> Column:
-            return F.aggregate(
-                paragraphs,
-                F.lit(0).cast("long"),
-                lambda a, p: (a + F.shiftrightunsigned(F.xxhash64(F.lit(seed), p), shift).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF)),
-            )
-
-        return F.array(half(0), half(32))
+def paragraphs(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda p: F.trim(p) != "")
+
+
+def total(hashes: Column, part, modulus: int) -> Column:
+    """Sum of ``part(h)`` over the hashes, kept below a power of two so that it never leaves a long."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + part(h)).bitwiseAND(F.lit(modulus)))
+
+
+def lane_sums(text: Column) -> Column:
+    """struct(n, whole: sums mod 2^56, sums: four lanes each, mod 2^60) of a text."""
+    per_seed = lambda ps: F.array(*[F.transform(ps, lambda p, s=s: F.xxhash64(F.lit(s), p)) for s in range(SEEDS)])
+
+    def of_seed(hs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(SHIFTS - 1)), lambda j: total(hs, lambda h: F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(ONES)), PACKED))
 
     return bound(
-        strata,
-        lambda s: F.struct(
-            F.aggregate(s, F.lit(0), lambda a, x: a + F.size(x)).alias("pieces"),
-            F.concat(wide_sum("a"), wide_sum("b")).alias("whole"),
-            F.flatten(F.transform(s, one_stratum)).alias("lanes"),
+        paragraphs(text),
+        lambda ps: bound(
+            per_seed(ps),
+            lambda hs: F.struct(
+                F.size(ps).cast("long").alias("n"),
+                F.transform(hs, lambda h: total(h, lambda x: x.bitwiseAND(F.lit(WHOLE)), WHOLE)).alias("whole"),
+                F.flatten(F.transform(hs, of_seed)).alias("sums"),
+            ),
         ),
     )
 
 
+def fingerprint(text: Column) -> Column:
+    """The sums of a text, with ``power``: the estimate of its sum of squared multiplicities."""
+    return bound(lane_sums(text), with_power)
+
+
+def with_power(fp: Column) -> Column:
+    return F.struct(fp["n"].alias("n"), fp["whole"].alias("whole"), fp["sums"].alias("sums"), mean_square(fp["sums"], fp["n"]).alias("power"))
+
+
+def mean_square(packed: Column, n: Column) -> Column:
+    """Mean over all lanes of (2 c - n)^2, where ``packed`` holds the lane counts c and ``n`` is a number of paragraphs (or a difference)."""
+    middle = F.floor(n / 2)
+    odd = n - 2 * middle
+    bias = F.pmod(F.lit(HALF) - middle, F.lit(1 << LANE)) * F.lit(ONES)  # brings every lane to HALF + its distance from the middle
+    shifted = F.transform(packed, lambda x: F.pmod(x + bias, F.lit(PACKED + 1)))
+
+    def square(x: Column, lane: int) -> Column:
+        away = 2 * (F.shiftright(x, LANE * lane).bitwiseAND(F.lit(LANE_MASK)) - F.lit(HALF)) - odd
+        return away.cast("double") * away
+
+    squares = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + square(x, 0) + square(x, 1) + square(x, 2) + square(x, 3))
+    return squares / F.lit(4.0 * SEEDS * SHIFTS)
+
+
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """Lanes of two multisets together (``sign`` 1) or of the first without the second (-1)."""
-    def added(bits: int):
-        return lambda x, y: F.pmod(x + F.lit(sign) * y, F.lit(1 << bits).cast("long"))
-
-    return F.struct(
-        (a["pieces"] + F.lit(sign) * b["pieces"]).alias("pieces"),
-        F.zip_with(a["whole"], b["whole"], added(32)).alias("whole"),
-        F.transform(F.zip_with(a["lanes"], b["lanes"], added(8)), lambda x: x.cast("int")).alias("lanes"),
+    """Fingerprint of two multisets together (``sign`` 1) or of the first without the second (-1)."""
+
+    def added(modulus: int):
+        return lambda x, y: F.pmod(x + F.lit(sign) * y, F.lit(modulus + 1))
+
+    return with_power(
+        F.struct((a["n"] + F.lit(sign) * b["n"]).alias("n"), F.zip_with(a["whole"], b["whole"], added(WHOLE)).alias("whole"), F.zip_with(a["sums"], b["sums"], added(PACKED)).alias("sums"))
     )
 
 
-def insert(fingerprint: Column, paragraph: Column) -> Column:
-    """Lanes after one more paragraph."""
-    return combine(fingerprint, lanes(paragraph), 1)
+def insert(fp: Column, paragraph: Column) -> Column:
+    """The fingerprint after one more paragraph."""
+    return combine(fp, lane_sums(paragraph), 1)
 
 
-def remove(fingerprint: Column, paragraph: Column) -> Column:
-    """Lanes after one paragraph less."""
-    return combine(fingerprint, lanes(paragraph), -1)
+def remove(fp: Column, paragraph: Column) -> Column:
+    """The fingerprint after one paragraph less."""
+    return combine(fp, lane_sums(paragraph), -1)
 
 
 def digest(fp: Column) -> Column:
-    """The fingerprint as hex text: count, wide sums, lanes."""
+    """The fingerprint as hex text: number, whole sums, lane sums."""
+
     def hexed(x: Column, digits: int) -> Column:
         return F.lpad(F.lower(F.hex(x)), digits, "0")
 
-    return F.concat(
-        hexed(fp["pieces"], 8),
-        F.array_join(F.transform(fp["whole"], lambda x: hexed(x, 8)), ""),
-        F.array_join(F.transform(fp["lanes"], lambda x: hexed(x, 2)), ""),
-    )
+    def text(f: Column) -> Column:
+        return F.concat(hexed(f["n"], 8), F.array_join(F.transform(f["whole"], lambda x: hexed(x, 14)), ""), F.array_join(F.transform(f["sums"], lambda x: hexed(x, 15)), ""))
+
+    return bound(fp, text)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of pieces that two fingerprints have in common, 0 to 1; exactly 1 for equal ones."""
-    differ = F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x != y).cast("int"))
-    per = bound(
-        differ,
-        lambda d: F.transform(
-            F.sequence(F.lit(0), F.lit(STRATA - 1)),
-            lambda j: F.aggregate(F.slice(d, j * LANES + 1, LANES), F.lit(0), lambda acc, x: acc + x),
-        ),
-    )
-    shares = [3 / 4 ** (k + 1) for k in range(STRATA - 1)] + [1 / 4 ** (STRATA - 1)]
-
-    def estimate(z: Column) -> Column:
-        # pieces behind z lanes that differ; a full stratum counts as half a lane less
-        def pieces(k: int) -> Column:
-            return -LANES * F.log(1 - F.least(F.element_at(z, k + 1).cast("double"), F.lit(LANES - 0.5)) / LANES)
-
-        out = None
-        for k in range(STRATA):
-            total = sum((pieces(i) for i in range(k + 1, STRATA)), pieces(k)) / sum(shares[k:])
-            fits = F.element_at(z, k + 1) <= FILLED * LANES
-            out = F.when(fits, total) if out is None else out.when(fits, total)
-        return out.otherwise(pieces(STRATA - 1) / shares[-1])
-
-    total = a["pieces"] + b["pieces"]
-    share = bound(per, lambda z: F.greatest(F.lit(0.0), F.lit(1.0) - F.least(estimate(z) / F.greatest(total, F.lit(1)), F.lit(1.0))))
-    return F.when((a["whole"] == b["whole"]) & (a["lanes"] == b["lanes"]), F.lit(1.0)).otherwise(share)
-
-
-def with_successor(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id and ``columns``) with ``next``, the struct of the next document's columns."""
-    parts = 4 * shuffle_partitions(docs)
-    points = docs.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.5 / parts)
-    points = sorted({int(p) for p in points})
-    bounds = F.array(*[F.lit(p).cast("long") for p in points]) if points else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(points) + 1)).otherwise(F.size(F.filter(bounds, lambda p: p <= F.col("doc_id"))))
-    rows = docs.select("doc_id", *columns, bucket.alias("_bucket"), F.lit(0).alias("_copy"), F.xxhash64(*columns[:1]).alias("_tie"))
-    firsts = rows.groupBy("_bucket").agg(F.min(F.struct("doc_id", "_tie")).alias("low")).collect()  # one row per bucket
-    low = {r["_bucket"]: r["low"] for r in firsts}
-    order = sorted(low)
-    if not order:
-        return rows.select("doc_id", *columns, F.struct(*columns).alias("next"))
-
-    def by_bucket(values: list, kind: str) -> Column:
-        return F.create_map(*[F.lit(x).cast(t) for b, v in zip(order, values) for x, t in ((b, "int"), (v, kind))])[F.col("_bucket")]
-
-    # the first row of a bucket follows the last row of the bucket before; the very first follows the very last
-    is_first = F.col("doc_id").eqNullSafe(by_bucket([low[b]["doc_id"] for b in order], "long")) & (F.col("_tie") == by_bucket([low[b]["_tie"] for b in order], "long"))
-    copies = rows.filter(is_first).withColumns({"_bucket": by_bucket([order[-1], *order[:-1]], "int"), "_copy": F.lit(1)})
-    within = Window.partitionBy("_bucket").orderBy("_copy", F.col("doc_id").asc_nulls_last(), "_tie")
-    both = rows.unionByName(copies)
-    return (
-        both.withColumn("next", F.lead(F.struct(*columns)).over(within))
-        .filter("_copy = 0")
-        .select("doc_id", *columns, "next")
-    )
+    """Estimated likeness of two fingerprints' multisets, 0 to 1; exactly 1 for equal ones."""
+    apart = mean_square(F.zip_with(a["sums"], b["sums"], lambda x, y: x - y), a["n"] - b["n"])
+    share = F.lit(1.0) - apart / F.greatest(a["power"] + b["power"], F.lit(1e-9))
+    same = (a["n"] == b["n"]) & (a["whole"] == b["whole"]) & (a["sums"] == b["sums"])
+    return F.when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    key = ["no_id", "id", "t1", "t2"]
     text = F.coalesce("text", F.lit(""))
-    marked = docs.select("doc_id", text.alias("text"), lanes(text).alias("fp"))
-    pairs = with_successor(marked, ["text", "fp"])
-    n = F.char_length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.expr("left(text, char_length(text) - int(floor(char_length(text) / 4)))"), F.substring(F.col("next.text"), F.lit(1), cut))
-    pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", F.col("next.fp").alias("next_fp"))
-    pairs = pairs.withColumn("edited_fp", lanes(F.col("edited")))
-    return pairs.select(
-        "doc_id",
-        "n_chars",
+    marked = docs.select(
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text")
+    )
+    order = marked.select(*key, F.char_length("text").alias("n")).distinct()
+    before = with_previous(order, key, "before").select(*key, F.col("before.n").alias("n_before"), *[F.col(f"before.{k}").alias(f"{k}_before") for k in key])
+    # equal rows become one in each task; the filter keeps their number in both uses, so that they share one exchange
+    each = marked.withColumn("fp", fingerprint(F.col("text"))).groupBy(*key).agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("fp").alias("fp")).filter("copies > 0")
+    heads = each.join(before, key).select(
+        *[F.col(f"{k}_before").alias(k) for k in key], F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_before") / 4).cast("int")).alias("head"), F.col("fp").alias("next_fp")
+    )
+    pairs = each.join(heads, key)
+    kept = F.col("n") - F.floor(F.col("n") / 4).cast("int")
+    pairs = pairs.withColumn("n", F.char_length("text")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("head")))
+    pairs = pairs.withColumn("edited_fp", fingerprint(F.col("edited")))
+    made = pairs.select(
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
+        F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         digest(F.col("fp")).alias("fingerprint"),
         digest(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "copies",
     )
+    return made.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")

@@ -5,18 +5,28 @@ three neighbouring words joined by a space, repeats included (with one or two wo
 sequence; with none the fingerprint is zero). A bit is 1 if it is set in more than half of
 the shingles' XXH64 values.
 
-Linking. Two 64-bit fingerprints that differ in at most two bits share at least six of their
-eight positional bytes. Tallying one byte at a time would emit every pair of a byte's posting
-list, which grows with the square of the corpus. Here the index key is a whole combination of
-six positional bytes (28 combinations): a pair meets under a key if and only if its tally of
-shared bytes reaches six, so the count filter is exact and no pair below it is ever formed.
-Under one key fingerprints differ in two bytes only, so a posting holds 65,536 distinct values
-at most, whatever the corpus size; it is verified by Hamming distance over that 16-bit space
-and returned as a star (value, smallest linked value), never as pairs.
+Linking. Two 64-bit fingerprints that differ in at most two bits share at least six of their eight
+positional bytes, so the count filter keeps pairs with a tally of six or more. The inverted index
+does not list single bytes, whose postings grow with the corpus: a posting key is a block of four
+positional bytes, two of the four pairs of bytes. As two missing bytes spoil two pairs at most,
+every pair of fingerprints with six shared bytes meets under one of the six blocks. In a posting
+of up to ``LONG`` values the shared positional bytes of its pairs are tallied, those below six
+dropped and the others verified by Hamming distance. A longer posting is split: its values are
+posted again under their block and two more of the other four bytes. There every pair has its six
+bytes already and differs in two bytes only, so a posting holds 65,536 distinct values at most and
+is verified by looking up each value's 136 neighbours. Links leave a posting as a star (value,
+smallest linked value), never as pairs.
 
 Stage. ``dedup_alike`` has a contract of its own: two texts are near copies if their sets of five-word
-shingles have a Jaccard similarity of 0.8 or more. Such texts differ in far more than two bits, so
-candidates come from MinHash bands instead, and each is verified on the whole sets (``link_sets``).
+shingles have a Jaccard similarity of 0.8 or more. Sign bits cannot serve it: such texts differ in
+some ten of 64 bits, which may spoil all eight bytes, so no least tally is guaranteed. There the
+fingerprint is of 128 positional minwise values, of which a pair of similarity 0.8 shares 102 on the
+average. The rest is as above: postings under blocks of four positions (16 blocks; a pair meets with
+0.9998), a tally of shared positional bytes, pairs below ``least_tally`` (four standard deviations
+below 102) dropped, the others verified on the whole sets. Of a posting's pairs those of a maximum spanning
+tree and each node's three nearest are verified, as these decide what is connected. Postings
+longer than ``LONG`` are dealt in blocks beside a common block of leaders; members that this leaves outside
+the leaders' component meet all members of the posting, in blocks.
 
 Defined cases: null or wordless text: fingerprint 0, linked like any other; a null id is kept
 and never names a component while another member has an id; repeated rows each get a row; an
@@ -31,19 +41,25 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filigree.operators.components import connected_components
-from filigree.session import materialize
+from filigree.session import discard, materialize, spare_name
 
 SHINGLE, SEED, MAX_BITS, CHUNK = 3, 42, 2, 1 << 16
 
-#: The stage: words of a shingle, least similarity, and MinHash bands and rows (a pair of similarity 0.8 meets with 0.9995).
-WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 7
+#: The stage: words of a shingle, least similarity, positional values, and blocks of so many of them.
+WIDTH, SIMILARITY, VALUES, BLOCK = 5, 0.8, 128, 4
 
-#: What may differ within one posting: the two bytes that its key leaves out.
+#: The least tally of shared positional bytes (two bits spoil two bytes at most), and the longest posting that is tallied as a whole.
+SHARED, LONG = 6, 256
+
+#: Blocks of four positional bytes: two of the four pairs (0, 1), (2, 3), (4, 5), (6, 7).
+BLOCKS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+
+#: What may differ within one long posting: the two bytes that its key of six leaves out.
 FREE_BYTES = list(combinations(range(8), 2))
 
 
@@ -74,62 +90,98 @@ def _near_masks() -> np.ndarray:
     return np.array([*one, *(x | y for x, y in combinations(one, 2))], dtype=np.int64)
 
 
-def posting_star(values: np.ndarray, free: tuple[int, int]) -> list[tuple[int, int]]:
-    """Verify one posting: (value, smallest value it is linked with) of all linked values.
+def lowest(near: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric matrix of links the smallest row that it is connected with."""
+    root = np.arange(len(near))
+    while True:
+        low = np.where(near, root[None, :], len(near)).min(axis=1)
+        low = np.minimum(low, root)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
-    ``values`` are distinct and equal outside the two ``free`` bytes, so the distance of two of
-    them is that of their 16 free bits, and the neighbours of a value within two bits are 136.
-    """
+
+def star(v: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    return [(int(v[k]), int(v[root[k]])) for k in np.flatnonzero(root != np.arange(len(v)))]
+
+
+def tallied_star(values: np.ndarray) -> list[tuple[int, int]]:
+    """A posting by count filtering: tally shared positional bytes per pair, keep six or more, verify the distance."""
     v = np.sort(values)
-    n = len(v)
-    if n <= 64:
-        near = np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= MAX_BITS
-        root = np.arange(n)
-        while True:
-            low = np.where(near, root[None, :], n).min(axis=1)
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-    else:
-        i, j = free
-        u = v.view(np.uint64)
-        key = (((u >> np.uint64(8 * i)) & np.uint64(255)) | (((u >> np.uint64(8 * j)) & np.uint64(255)) << np.uint64(8))).astype(np.int64)
-        at = np.full(1 << 16, -1, dtype=np.int64)
-        at[key] = np.arange(n)
-        root = np.arange(n)
-        while True:
-            low = root.copy()
-            for mask in _near_masks():
-                other = at[key ^ mask]
-                there = other >= 0
-                low[there] = np.minimum(low[there], root[other[there]])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-    size = np.bincount(root, minlength=n)
-    return [(int(v[k]), int(v[root[k]])) for k in range(n) if size[root[k]] > 1 and root[k] != k]
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
-def posting_star_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for combo, values in batches:
-        yield pd.Series([posting_star(np.asarray(x, dtype=np.int64), FREE_BYTES[c]) for c, x in zip(combo, values)])
-
-
-def link_fingerprints(fingerprints: DataFrame) -> DataFrame:
+    digits = v.view(np.uint8).reshape(-1, 8)
+    tally = np.zeros((len(v), len(v)), dtype=np.int8)
+    for position in range(8):
+        tally += digits[:, None, position] == digits[None, :, position]
+    near = tally >= SHARED
+    near &= np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= MAX_BITS
+    return star(v, lowest(near))
+
+
+def neighbour_star(values: np.ndarray, free: tuple[int, int]) -> list[tuple[int, int]]:
+    """A split posting: ``values`` are equal outside the two ``free`` bytes, so their distance is that of 16 bits."""
+    v = np.sort(values)
+    i, j = free
+    u = v.view(np.uint64)
+    key = (((u >> np.uint64(8 * i)) & np.uint64(255)) | (((u >> np.uint64(8 * j)) & np.uint64(255)) << np.uint64(8))).astype(np.int64)
+    at = np.full(1 << 16, -1, dtype=np.int64)
+    at[key] = np.arange(len(v))
+    root = np.arange(len(v))
+    while True:
+        low = root.copy()
+        for mask in _near_masks():
+            other = at[key ^ mask]
+            there = other >= 0
+            low[there] = np.minimum(low[there], root[other[there]])
+        low = low[low]
+        if (low == root).all():
+            return star(v, root)
+        root = low
+
+
+EDGES = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+@F.pandas_udf(EDGES)
+def tallied_star_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for values in batches:
+        yield pd.Series([tallied_star(np.asarray(x, dtype=np.int64)) for x in values])
+
+
+@F.pandas_udf(EDGES)
+def neighbour_star_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for free, values in batches:
+        yield pd.Series([neighbour_star(np.asarray(x, dtype=np.int64), FREE_BYTES[c]) for c, x in zip(free, values)])
+
+
+def byte_mask(positions: tuple[int, ...]) -> int:
+    """The mask of some positional bytes as a signed 64-bit number."""
+    m = sum(255 << 8 * i for i in positions)
+    return m - 2**64 if m >= 2**63 else m
+
+
+def index_entries(fps: Column, keys: list[tuple[int, tuple[int, ...]]]) -> Column:
+    """One struct(block, key) per key: its number and the fingerprint's bytes at its positions."""
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("block"), fps.bitwiseAND(F.lit(byte_mask(at))).alias("key")) for n, at in keys]))
+
+
+def link_fingerprints(fingerprints: DataFrame, long: int = LONG) -> DataFrame:
     """Distinct ``fp`` values to star edges (a, b) that connect exactly what two bits or less connect."""
-    masks = [~((255 << 8 * i) | (255 << 8 * j)) & (2**64 - 1) for i, j in FREE_BYTES]
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])
-    postings = (
-        fingerprints.select("fp", F.explode(keys).alias("k"))
-        .groupBy("k.combo", "k.key")
-        .agg(F.collect_list("fp").alias("fps"))
-        .filter(F.size("fps") > 1)
-    )
-    return postings.select(F.explode(posting_star_udf("combo", "fps")).alias("e")).select("e.a", "e.b").distinct()
+    index = fingerprints.select("fp", index_entries(F.col("fp"), list(enumerate(BLOCKS))).alias("k")).select("fp", "k.block", "k.key")
+    # counted first (a partial sum in each task), so that no list longer than ``long`` is ever gathered
+    sizes = materialize(index.groupBy("block", "key").agg(F.count("*").alias("size")).filter("size > 1"), "postings")
+    short = index.join(sizes.filter(F.col("size") <= long), ["block", "key"]).groupBy("block", "key").agg(F.collect_list("fp").alias("fps"))
+    edges = short.select(F.explode(tallied_star_udf("fps")).alias("e"))
+    split = index.join(sizes.filter(F.col("size") > long), ["block", "key"])
+    free = F.lit(None).cast("array<struct<block:int,key:bigint>>")
+    for n, block in enumerate(BLOCKS):
+        others = [i for i in range(8) if i not in block]
+        six = [(FREE_BYTES.index(left), tuple(i for i in range(8) if i not in left)) for left in combinations(others, 2)]
+        free = F.when(F.col("block") == n, F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(byte_mask(at))).alias("key")) for k, at in six])).otherwise(free)
+    again = split.select("fp", F.explode(free).alias("k")).select("fp", F.col("k.block").alias("free"), F.col("k.key").alias("key")).distinct()
+    wide = again.groupBy("free", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    more = wide.select(F.explode(neighbour_star_udf("free", "fps")).alias("e"))
+    return edges.unionByName(more).select("e.a", "e.b").distinct()
 
 
 def components(marked: DataFrame) -> DataFrame:
@@ -154,12 +206,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with one of each component kept: that of the smallest id. Columns stay as they are."""
-    mark, rid = "_simhash_fp", "_simhash_rid"
+    mark, rid = spare_name(docs, "fp"), spare_name(docs, "rid")
     kept = docs.withColumns({mark: simhash_udf("text"), rid: F.monotonically_increasing_id()})
     kept = materialize(kept, "dedup")
     marked = kept.select(F.col(rid).alias("rid"), "doc_id", F.col(mark).alias("fp"))
     keep = components(marked).select(F.col("keep_rid").alias(rid)).distinct()
-    return kept.join(keep, rid, "left_semi").drop(mark, rid)
+    return kept.join(keep, rid, "left_semi").select(*docs.columns)
 
 
 # ---- the pipeline's stage -----------------------------------------------------------------
@@ -174,24 +226,34 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
 
 
-def band_keys(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """One key per band: the hash of the band's minima under its multiply-add permutations."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The positional values of a set: its least member under each multiply-add permutation."""
+    low = np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
         np.minimum(low, (shingles[at : at + 1024, None] * multipliers[0] + multipliers[1]).min(axis=0), out=low)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+    return low
+
+
+def block_keys(low: np.ndarray) -> np.ndarray:
+    """One posting key per block of positions: the hash of the block's values and number."""
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low[: VALUES // 2].reshape(-1, BLOCK))], dtype=np.uint64).view(np.int64)
 
 
 def marks_udf(width: int):
-    """struct(node, keys) of a text: the hash of its set of shingles and its band keys."""
+    """struct(node, keys, digits) of a text: the hash of its set of shingles, its posting keys and its positional bytes."""
 
-    @F.pandas_udf("node long, keys array<long>")
+    @F.pandas_udf("node long, keys array<long>, digits binary")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        multipliers = np.random.default_rng(SEED).integers(1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+        multipliers = np.random.default_rng(SEED).integers(1 << 64, size=(2, VALUES), dtype=np.uint64) | np.uint64(1)
         for texts in batches:
-            sets = [shingle_set(x, width) for x in texts]
-            nodes = [np.uint64(xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0).astype(np.int64) for x in sets]
-            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "keys": [band_keys(x, multipliers) if len(x) else [] for x in sets]})
+            nodes, keys, digits = [], [], []
+            for text in texts:
+                shingles = shingle_set(text, width)
+                low = minima(shingles, multipliers)
+                nodes.append(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0).astype(np.int64))
+                keys.append(block_keys(low) if len(shingles) else [])
+                digits.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "keys": keys, "digits": digits})
 
     return udf
 
@@ -215,50 +277,121 @@ def alike_udf(similarity: float):
     return udf
 
 
-def link_sets(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, keys), ``sets`` (node, text's set).
+def least_tally(similarity: float) -> int:
+    """Shared positions below which a pair is dropped: four standard deviations below their mean number."""
+    return max(1, int(VALUES * similarity - 4 * np.sqrt(VALUES * similarity * (1 - similarity))))
+
 
-    In every posting (the nodes of one band key) one leader is compared with all others. Those that
-    end in another component than it stay in the posting and get a new leader, until none is left. So
-    no pairs of a posting are formed beyond (its members x the components that it holds).
+def pairs_to_verify(nodes: np.ndarray, digits: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Of a posting's pairs with a tally of ``least`` or more those that decide its connections.
+
+    ``digits`` has a row of positional bytes per node. A maximum spanning forest by tally, and
+    each node's three nearest.
     """
-    postings = nodes.select("node", F.explode("keys").alias("key"))
-    # a singleton posting compares nothing
-    left = materialize(postings.join(postings.groupBy("key").count().filter("count > 1"), "key", "left_semi"), "postings")
-    involved = left.select("node").distinct()
-    sets = materialize(sets.join(involved, "node", "left_semi"), "shingle-sets")
-    labels = materialize(involved.select("node", F.col("node").alias("label")), "labels")
-    edges = None
-    while left.limit(1).count():
-        leaders = left.groupBy("key").agg(F.min_by("node", F.struct(F.xxhash64("node", "key"), "node")).alias("leader"))
-        led = materialize(left.join(leaders, "key").filter("node <> leader"), "led")
-        pairs = led.select("node", "leader").distinct()
-        of_leader = sets.select(F.col("node").alias("leader"), F.col("set").alias("leader_set"))
-        met = pairs.join(of_leader, "leader").join(sets, "node").filter(alike_udf(similarity)("set", "leader_set"))
-        met = materialize(met.select(F.col("node").alias("a"), F.col("leader").alias("b")), "alike")
-        edges = met if edges is None else edges.unionByName(met)
-        labels = materialize(involved.join(connected_components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        far = labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-        left = materialize(led.join(labels, "node").join(far, "leader").filter("label <> leader_label").select("node", "key"), "postings")
-    return labels
-
-
-def dedup_alike(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    n = len(nodes)
+    tally = np.zeros((n, n), dtype=np.int16)
+    for column in digits.T:
+        tally += column[:, None] == column[None, :]
+    np.fill_diagonal(tally, -1)
+    tally[tally < least] = -1
+    chosen = set()
+    for k in range(n):
+        for j in np.argsort(-tally[k], kind="stable")[:3]:
+            if tally[k, j] > 0:
+                chosen.add((min(k, int(j)), max(k, int(j))))
+    todo = np.ones(n, dtype=bool)
+    best, mate = np.full(n, -1), np.full(n, -1)
+    while todo.any():
+        k = int(np.where(todo, best, -2).argmax())  # the node nearest to the tree, or any one to begin a new tree
+        if best[k] > 0:
+            chosen.add((min(k, int(mate[k])), max(k, int(mate[k]))))
+        todo[k] = False
+        nearer = todo & (tally[k] > best)
+        best[nearer], mate[nearer] = tally[k][nearer], k
+    return [(int(nodes[i]), int(nodes[j])) for i, j in chosen]
+
+
+def verify_udf(similarity: float):
+    least = least_tally(similarity)
+
+    @F.pandas_udf(EDGES)
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for postings in batches:
+            out = []
+            for members in postings:
+                rows = {r["node"]: r["digits"] for r in members}
+                nodes = np.array(sorted(rows), dtype=np.int64)
+                digits = np.frombuffer(b"".join(rows[x] for x in nodes.tolist()), dtype=np.uint8).reshape(len(nodes), VALUES)
+                out.append(pairs_to_verify(nodes, digits, least))
+            yield pd.Series(out)
+
+    return udf
+
+
+def candidates(blocks: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) to verify of blocks of postings, given as rows (block, node)."""
+    members = blocks.join(nodes.select("node", "digits"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "digits")).alias("members"))
+    return members.select(F.explode(verify_udf(similarity)("members")).alias("e")).select("e.a", "e.b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets are alike."""
+    one, other = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
+    return pairs.join(one, "a").join(other, "b").filter(alike_udf(similarity)("set_a", "set_b")).select("a", "b")
+
+
+def link_sets(nodes: DataFrame, sets: DataFrame, similarity: float, long: int = LONG) -> DataFrame:
+    """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, keys, digits), ``sets`` (node, text's set)."""
+    index = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = index.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")  # a posting of one compares nothing
+    postings = materialize(index.join(sizes, "key"), "postings")
+    of_key = lambda chunk: F.struct("key", chunk.cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    short = postings.filter(F.col("size") <= long).select(of_key(F.lit(0)).alias("block"), "node")
+    # long postings: about ``long / 2`` leaders by hash join every block of about as many members
+    half = max(1, long // 2)
+    wide = postings.filter(F.col("size") > long).withColumns({"chunks": F.ceil(F.col("size") / half), "at": F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / half))})
+    dealt = wide.select(of_key(F.col("at")).alias("block"), "node")
+    leaders = wide.filter("at = 0").select("key", "node", F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).alias("i")).select(of_key(F.col("i")).alias("block"), "node")
+    pairs = materialize(candidates(short.unionByName(dealt).unionByName(leaders), nodes, similarity), "pairs")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    known = materialize(sets.join(involved, "node", "left_semi"), "shingle-sets")
+    edges = materialize(verified(pairs, known, similarity), "alike")
+    labels = connected_components(edges)
+    if not wide.limit(1).count():
+        discard(postings)
+        return labels
+    # who is not in the component that most leaders of a long posting are in meets all its members
+    of = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    most = of.filter("at = 0").groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    outside = of.join(most, "key").filter("label <> main").select("key", "node", "at", "chunks")
+    counts = outside.groupBy("key").agg(F.ceil(F.count("*") / half).alias("groups"))
+    block = F.struct("key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).alias("block")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    left = outside.join(counts, "key").withColumn("i", F.pmod(F.xxhash64("key", "node"), F.col("groups"))).withColumn("j", up_to("chunks")).select(block, "node")
+    right = wide.join(counts, "key").withColumns({"j": F.col("at")}).withColumn("i", up_to("groups")).select(block, "node")
+    more = materialize(candidates(left.unionByName(right).distinct(), nodes, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    involved = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    known = materialize(sets.join(involved, "node", "left_semi"), "shingle-sets")
+    return connected_components(edges.unionByName(verified(more, known, similarity)))
+
+
+def dedup_alike(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, long: int = LONG) -> DataFrame:
     """The documents with one of each near-duplicate group kept: that of the smallest id. Columns stay as they are.
 
     Groups are connected by a Jaccard similarity of at least ``similarity`` between the sets of
-    ``width``-word shingles, verified exactly; candidates come from MinHash bands.
+    ``width``-word shingles, verified exactly.
     """
-    mark, rid = "_simhash_mark", "_simhash_rid"
+    mark, rid = spare_name(docs, "mark"), spare_name(docs, "rid")
     kept = docs.withColumns({mark: marks_udf(width)("text"), rid: F.monotonically_increasing_id()})
     kept = materialize(kept, "dedup")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(rid).alias("rid"))).alias("low")
-    nodes = materialize(kept.groupBy(F.col(f"{mark}.node").alias("node")).agg(low, F.first(f"{mark}.keys").alias("keys")), "nodes")
+    light = kept.select("doc_id", F.col(rid).alias(rid), F.col(f"{mark}.node").alias("node"), F.col(f"{mark}.keys").alias("keys"), F.col(f"{mark}.digits").alias("digits"))
+    nodes = materialize(light.groupBy("node").agg(low, F.first("keys").alias("keys"), F.first("digits").alias("digits")), "nodes")
     sets = kept.join(nodes.select("node", F.col("low.rid").alias(rid)), rid).select("node", shingle_set_udf(width)("text").alias("set"))
-    labels = link_sets(nodes.select("node", "keys"), sets, similarity)
+    labels = link_sets(nodes.select("node", "keys", "digits"), sets, similarity, long)
     of = nodes.join(labels, "node", "left").select("low", F.coalesce("label", "node").alias("root"))
     keep = of.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.rid").alias(rid))
-    return kept.join(keep, rid, "left_semi").drop(mark, rid)
+    return kept.join(keep, rid, "left_semi").select(*docs.columns)
 
 
-__all__ = ["components", "dedup", "dedup_alike", "link_fingerprints", "link_sets", "near_duplicates", "posting_star", "shingle_set", "simhash"]
+__all__ = ["components", "dedup", "dedup_alike", "link_fingerprints", "link_sets", "near_duplicates", "neighbour_star", "pairs_to_verify", "shingle_set", "simhash", "tallied_star"]

@@ -53,14 +53,30 @@ def test_large_posting_equals_small():
     rng = random.Random(1)
     base = 0x0123456789ABCDEF
     values = np.array(sorted({base & ~0xFFFF | rng.getrandbits(16) for _ in range(600)}), dtype=np.int64)
-    edges = simhash.posting_star(values, (0, 1))
     want = plain_components(list(range(len(values))), [int(v) for v in values])
-    got = {int(v): int(v) for v in values}
-    got.update(dict(edges))
-    groups = {}
-    for k, v in enumerate(values):
-        groups.setdefault(want[k], set()).add(got[int(v)])
-    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    for edges in (simhash.neighbour_star(values, (0, 1)), simhash.tallied_star(values)):
+        got = {int(v): int(v) for v in values}
+        got.update(dict(edges))
+        groups = {}
+        for k, v in enumerate(values):
+            groups.setdefault(want[k], set()).add(got[int(v)])
+        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_long_postings_are_split(spark):
+    """A block of four bytes that all share; two values are linked across the others, and postings above the limit lose no link."""
+    rng = random.Random(5)
+    values = sorted({0x0123456700000000 | rng.getrandbits(12) << 16 | rng.getrandbits(3) for _ in range(400)})
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = plain_components(list(range(len(values))), values)
+    for long in (8, 10_000):
+        from filigree.operators.components import connected_components
+
+        label = {r["node"]: r["label"] for r in connected_components(simhash.link_fingerprints(fps, long)).collect()}
+        groups = {}
+        for k, v in enumerate(values):
+            groups.setdefault(want[k], set()).add(label.get(v, v))
+        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
 def test_links_by_bit_flips(spark):
@@ -121,3 +137,20 @@ def test_stage_finds_near_copies(spark):
     want = plain_kept(rows)
     assert sorted(r["doc_id"] for r in simhash.dedup_alike(docs).collect()) == want
     assert len({r["component_id"] for r in simhash.near_duplicates(docs).collect()}) > len(want)  # two of 64 bits do not reach them
+
+
+def test_stage_long_postings_and_stars(spark):
+    """Copies that are alike to their original only, in postings far above the limit."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(60):
+        new = list(base)
+        for at in rng.sample(range(300), 5):
+            new[at] = f"n{rng.randrange(10**6)}"
+        rows.append((k + 1, " ".join(new)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_kept(rows)
+    assert len(want) < 5
+    for long in (8, 256):
+        assert sorted(r["doc_id"] for r in simhash.dedup_alike(docs, long=long).collect()) == want
