@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.session import materialize
+from filigree.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low"))
     labels = materialize(labels.select("node", F.least("node", "low").alias("label")), "labels")
     while True:
+        former = labels
         offers = (
             both.join(labels.withColumnRenamed("node", "x"), "x")
             .groupBy(F.col("y").alias("node"))
@@ -29,7 +30,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         step = labels.join(offers, "node", "left").select("node", "label", F.least("label", F.coalesce("offer", "label")).alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         step = materialize(step.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
+        discard(former)
         changed = step.filter("next <> label").limit(1).count()
         labels = step.select("node", F.col("next").alias("label"))
         if not changed:
+            discard(both)
             return labels
+        labels._table_path = step._table_path
