@@ -10,7 +10,7 @@ of its paragraphs' vectors:
 * ``n``: 1, so the sum is the number of paragraphs.
 
 So the order of paragraphs does not matter, equal multisets give equal fingerprints, and
-``insert`` and ``remove`` of a paragraph are additions and subtractions.
+inserting and deleting a paragraph is an addition and a subtraction (``with_combined``).
 
 Likeness comes from the same sums. With c the count of ones in a lane, 2 c - n is a sum of one
 random sign per paragraph, so the mean of its square over all lanes estimates |A|^2 = sum of
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators.ordering import with_previous
+from filigree.session import spare_name
 
 SEEDS, SHIFTS, LANE = 3, 15, 15
 #: One bit in each of four lanes; a number of four lanes; a whole sum.
@@ -45,11 +46,6 @@ LANE_MASK, HALF = (1 << LANE) - 1, 1 << (LANE - 1)
 BREAKS = r"[\x0A-\x0D]+|(?<=[.!?…。,;:])[\x20\x09]+"
 
 
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda p: F.trim(p) != "")
 
@@ -59,33 +55,34 @@ def total(hashes: Column, part, modulus: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + part(h)).bitwiseAND(F.lit(modulus)))
 
 
-def lane_sums(text: Column) -> Column:
-    """struct(n, whole: sums mod 2^56, sums: four lanes each, mod 2^60) of a text."""
-    per_seed = lambda ps: F.array(*[F.transform(ps, lambda p, s=s: F.xxhash64(F.lit(s), p)) for s in range(SEEDS)])
+def seeded(seed: int):
+    return lambda p: F.xxhash64(F.lit(seed), p)
 
-    def of_seed(hs: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(SHIFTS - 1)), lambda j: total(hs, lambda h: F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(ONES)), PACKED))
 
-    return bound(
-        paragraphs(text),
-        lambda ps: bound(
-            per_seed(ps),
-            lambda hs: F.struct(
-                F.size(ps).cast("long").alias("n"),
-                F.transform(hs, lambda h: total(h, lambda x: x.bitwiseAND(F.lit(WHOLE)), WHOLE)).alias("whole"),
-                F.flatten(F.transform(hs, of_seed)).alias("sums"),
-            ),
-        ),
-    )
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the fingerprint of a text column added: struct(n, whole, sums, power).
 
+    ``power`` is the estimated sum of squared multiplicities. Steps are columns of their own, so
+    that each is computed once and no expression nests deeply.
+    """
+    parts, *hashes = (spare_name(df, x) for x in ("parts", *(f"hashes_{s}" for s in range(SEEDS))))
+    out = df.withColumn(parts, paragraphs(F.col(text)))
+    out = out.withColumns({h: F.transform(parts, seeded(s)) for s, h in enumerate(hashes)})
 
-def fingerprint(text: Column) -> Column:
-    """The sums of a text, with ``power``: the estimate of its sum of squared multiplicities."""
-    return bound(lane_sums(text), with_power)
+    def lane(shift: int):
+        return lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(ONES))
+
+    sums = F.struct(
+        F.size(parts).cast("long").alias("n"),
+        F.array(*[total(F.col(h), lambda x: x.bitwiseAND(F.lit(WHOLE)), WHOLE) for h in hashes]).alias("whole"),
+        F.array(*[total(F.col(h), lane(j), PACKED) for h in hashes for j in range(SHIFTS)]).alias("sums"),
+    )
+    return with_power(out.withColumn(name, sums).drop(parts, *hashes), name)
 
 
-def with_power(fp: Column) -> Column:
-    return F.struct(fp["n"].alias("n"), fp["whole"].alias("whole"), fp["sums"].alias("sums"), mean_square(fp["sums"], fp["n"]).alias("power"))
+def with_power(df: DataFrame, name: str) -> DataFrame:
+    fp = F.col(name)
+    return df.withColumn(name, F.struct(fp["n"].alias("n"), fp["whole"].alias("whole"), fp["sums"].alias("sums"), mean_square(fp["sums"], fp["n"]).alias("power")))
 
 
 def mean_square(packed: Column, n: Column) -> Column:
@@ -103,25 +100,18 @@ def mean_square(packed: Column, n: Column) -> Column:
     return squares / F.lit(4.0 * SEEDS * SHIFTS)
 
 
-def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """Fingerprint of two multisets together (``sign`` 1) or of the first without the second (-1)."""
+def with_combined(df: DataFrame, a: str, b: str, name: str, sign: int = 1) -> DataFrame:
+    """``df`` with the fingerprint of two columns' multisets together (``sign`` 1) or of the first without the second (-1).
+
+    So ``b`` may be the fingerprint of one paragraph that is inserted or deleted.
+    """
 
     def added(modulus: int):
         return lambda x, y: F.pmod(x + F.lit(sign) * y, F.lit(modulus + 1))
 
-    return with_power(
-        F.struct((a["n"] + F.lit(sign) * b["n"]).alias("n"), F.zip_with(a["whole"], b["whole"], added(WHOLE)).alias("whole"), F.zip_with(a["sums"], b["sums"], added(PACKED)).alias("sums"))
-    )
-
-
-def insert(fp: Column, paragraph: Column) -> Column:
-    """The fingerprint after one more paragraph."""
-    return combine(fp, lane_sums(paragraph), 1)
-
-
-def remove(fp: Column, paragraph: Column) -> Column:
-    """The fingerprint after one paragraph less."""
-    return combine(fp, lane_sums(paragraph), -1)
+    x, y = F.col(a), F.col(b)
+    both = F.struct((x["n"] + F.lit(sign) * y["n"]).alias("n"), F.zip_with(x["whole"], y["whole"], added(WHOLE)).alias("whole"), F.zip_with(x["sums"], y["sums"], added(PACKED)).alias("sums"))
+    return with_power(df.withColumn(name, both), name)
 
 
 def digest(fp: Column) -> Column:
@@ -130,10 +120,7 @@ def digest(fp: Column) -> Column:
     def hexed(x: Column, digits: int) -> Column:
         return F.lpad(F.lower(F.hex(x)), digits, "0")
 
-    def text(f: Column) -> Column:
-        return F.concat(hexed(f["n"], 8), F.array_join(F.transform(f["whole"], lambda x: hexed(x, 14)), ""), F.array_join(F.transform(f["sums"], lambda x: hexed(x, 15)), ""))
-
-    return bound(fp, text)
+    return F.concat(hexed(fp["n"], 8), F.array_join(F.transform(fp["whole"], lambda x: hexed(x, 14)), ""), F.array_join(F.transform(fp["sums"], lambda x: hexed(x, 15)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -154,14 +141,14 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     order = marked.select(*key, F.char_length("text").alias("n")).distinct()
     before = with_previous(order, key, "before").select(*key, F.col("before.n").alias("n_before"), *[F.col(f"before.{k}").alias(f"{k}_before") for k in key])
     # equal rows become one in each task; the filter keeps their number in both uses, so that they share one exchange
-    each = marked.withColumn("fp", fingerprint(F.col("text"))).groupBy(*key).agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("fp").alias("fp")).filter("copies > 0")
+    each = with_fingerprint(marked, "text", "fp").groupBy(*key).agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("fp").alias("fp")).filter("copies > 0")
     heads = each.join(before, key).select(
         *[F.col(f"{k}_before").alias(k) for k in key], F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_before") / 4).cast("int")).alias("head"), F.col("fp").alias("next_fp")
     )
     pairs = each.join(heads, key)
     kept = F.col("n") - F.floor(F.col("n") / 4).cast("int")
     pairs = pairs.withColumn("n", F.char_length("text")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("head")))
-    pairs = pairs.withColumn("edited_fp", fingerprint(F.col("edited")))
+    pairs = with_fingerprint(pairs, "edited", "edited_fp")
     made = pairs.select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),

@@ -2,15 +2,19 @@
 
 Targets. Sources in code-point order (null last) weigh 1, 2, 3, 1, 2, 3, …; they share the
 total of all sizes, and a target stops at three times its source's size, the excess being
-shared again by weight until none is above. That is done on one row per source.
+shared again by weight until none is above. Sources are a table: their numbers come from ranges of the
+order, and a round of sharing is one sum over it, in whole numbers; two numbers per round reach the driver.
 
 Taking. A document is taken floor(r) times for r = target / size of its source, plus once more
-with inclusion probability r - floor(r). The extra takes are a balanced sample: the cube method
-moves the probabilities of three documents at a time along the null space of the balancing
-constraints (their number and their tokens) until one of them is 0 or 1. Blocks of a source,
-salted by the document's hash, fly apart in parallel (large documents first); each leaves two open documents at most
-and ``SPARE`` of all sizes, and those fly again in fewer blocks until a source fits one block.
-There the landing decides the last ones so that its tokens come nearest to its target.
+with inclusion probability r - floor(r). Documents of one source and size are alike to every
+constraint, so they are counted first: a cell of n documents takes floor(n p) of them and one
+more with the probability that is left. The cube method moves these probabilities, three cells
+at a time, along the null space of the balancing constraints (their number and their tokens) until
+one of them is 0 or 1. Blocks of a source, salted by size, fly apart in parallel (large sizes
+first); each leaves two open cells at most and ``SPARE`` of all sizes, and those fly again in fewer
+blocks until a source fits one block. There the landing decides the last ones so that its tokens
+come nearest to its target. Which documents of a cell are taken goes by the hash of the document,
+counted in salted buckets, so a cell that holds a third of all rows is many tasks' work.
 
 Random directions come from the hash of the block, so reruns agree.
 
@@ -21,36 +25,44 @@ result; extra columns are ignored (``mix`` keeps them).
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.common import word_count
-from filigree.session import materialize
+from filigree.llm.common import shuffle_partitions, word_count
+from filigree.operators.ordering import numbered
+from filigree.session import materialize, spare_name
 
 CEILING, BLOCK_ROWS, SPARE, SEED = 3, 8192, 64, 20240229
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), ceiling: int = CEILING) -> dict[str | None, Fraction]:
-    """Exact target of every source."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    out: dict[str | None, Fraction] = {}
-    rest, free = Fraction(sum(sizes.values())), list(order)
-    while free:
-        unit = rest / sum(weight[s] for s in free)
-        full = [s for s in free if unit * weight[s] > ceiling * sizes[s]]
-        if not full:
-            out |= {s: unit * weight[s] for s in free}
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = CEILING) -> DataFrame:
+    """(src, source_size, target, whole, prob) of a table (src, total) of sources; ``src`` sorts as the order of sources.
+
+    Above its ceiling is a source with unit x weight > ceiling x size, where unit = rest / sum of the
+    weights of the others; all sides are whole numbers.
+    """
+    at = F.pmod(F.col("number"), F.lit(len(weights)))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (at + 1).cast("int"))
+    rows = materialize(numbered(sizes, ["src"], "number").select("src", "total", weight.cast("decimal(10,0)").alias("weight")), "sources")
+    wide = lambda x: F.col(x).cast("decimal(20,0)")
+    everything = int(rows.agg(F.coalesce(F.sum(wide("total")), F.lit(0))).first()[0])
+
+    def above(rest: int, units: int) -> Column:
+        return F.lit(rest).cast("decimal(20,0)") * F.col("weight") > (wide("total") * F.lit(ceiling * units).cast("decimal(18,0)"))
+
+    full, known = F.lit(False), -1
+    while True:  # the unit only grows, so the sources above their ceiling stay so
+        s = rows.agg(F.sum(F.when(~full, F.col("weight"))).alias("units"), F.coalesce(F.sum(F.when(full, wide("total"))), F.lit(0)).alias("taken"), F.count_if(full).alias("n")).first()
+        rest, units = everything - ceiling * int(s["taken"]), int(s["units"] or 0)
+        if s["n"] == known or not units:
             break
-        for s in full:
-            out[s] = Fraction(ceiling * sizes[s])
-            rest -= out[s]
-        free = [s for s in free if s not in out]
-    return out
+        full, known = above(rest, units), s["n"]
+    unit = F.lit(rest / units if units else 0.0)
+    target = F.when(full, F.col("total") * F.lit(float(ceiling))).otherwise(unit * F.col("weight").cast("double"))
+    ratio = F.when(full, F.lit(float(ceiling))).when(F.col("total") > 0, target / F.col("total")).otherwise(0.0)
+    return rows.select("src", F.col("total").alias("source_size"), target.alias("target"), F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("prob"))
 
 
 def flight(prob: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
@@ -114,13 +126,13 @@ def landing(prob: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return p
 
 
-FLOWN = "rid long, src string, size long, prob double, tie long"
+FLOWN = "src string, size long, prob double, tie long"
 
 
 def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One block: the landing if it is its source's only one, else a flight that spares a few documents of all sizes."""
+    """One block: the landing if it is its source's only one, else a flight that spares a few cells of all sizes."""
     _, block, blocks = key
-    rows = rows.sort_values(["size", "tie", "rid"], ascending=[False, True, True], kind="stable")
+    rows = rows.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
     seed = SEED + int(block) * 1_000_003 + int(rows["tie"].iloc[0]) % 1_000_003
     prob, size = rows["prob"].to_numpy().copy(), rows["size"].to_numpy()
     if blocks == 1:
@@ -130,68 +142,66 @@ def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fly[np.linspace(0, len(rows) - 1, SPARE).astype(int)] = False
         prob[fly] = flight(prob[fly], size[fly], seed)
     rows["prob"] = prob
-    return rows[["rid", "src", "size", "prob", "tie"]]
+    return rows[["src", "size", "prob", "tie"]]
 
 
-def decide(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(rid, extra): the balanced sample of a table (rid, src, size, prob, tie), src never null."""
+def decide(cells: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(src, size, extra): the balanced sample of a table (src, size, prob, tie) of cells, each 0 or 1."""
     block_rows = max(block_rows, 4 * SPARE)
-    rows = rows.filter("prob > 0")
-    done = None
-    level = 0
+    rows, done, level = cells, None, 0
     while True:
         counts = rows.groupBy("src").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
         level += 1
-        dealt = rows.join(F.broadcast(counts), "src").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "tie"), F.col("blocks")))
-        flown = dealt.select("rid", "src", "size", "prob", "tie", "block", "blocks").groupBy("src", "block", "blocks").applyInPandas(_fly, FLOWN)
-        flown = materialize(flown, "flown")
-        part = flown.filter("prob = 0 or prob = 1").select("rid", F.col("prob").cast("int").alias("extra"))
+        dealt = rows.join(counts, "src").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "tie"), F.col("blocks")))
+        flown = materialize(dealt.groupBy("src", "block", "blocks").applyInPandas(_fly, FLOWN), "flown")
+        part = flown.filter("prob = 0 or prob = 1").select("src", "size", F.col("prob").cast("int").alias("extra"))
         done = part if done is None else done.union(part)
         rows = flown.filter("prob > 0 and prob < 1")
         if not rows.limit(1).count():
             return done
 
 
+def source_key(source: Column) -> Column:
+    """A text that sorts as the order of sources and is null for none: code points, null last."""
+    return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
+
+
 def take(marked: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(rid, source_size, target, copies) of a table (rid, doc_id, source, size)."""
-    spark = marked.sparkSession
-    sources = marked.groupBy("source").agg(F.sum("size").alias("total")).collect()  # one row per source
-    sizes = {r["source"]: int(r["total"]) for r in sources}
-    goal = targets(sizes)
-
-    def key(s: str | None) -> str:
-        return "0" if s is None else f"1{s}"
-
-    def share(s: str | None) -> tuple[int, float]:
-        r = goal[s] / sizes[s] if sizes[s] else Fraction(0)
-        whole = r.numerator // r.denominator
-        return int(whole), float(r - whole)
-
-    table = [(key(s), sizes[s], float(goal[s]), *share(s)) for s in sizes]
-    per_source = spark.createDataFrame(table or [("", 0, 0.0, 0, 0.0)], "src string, source_size long, target double, whole int, prob double")
-    src = F.coalesce(F.concat(F.lit("1"), "source"), F.lit("0"))
-    rows = marked.withColumn("src", src).join(F.broadcast(per_source), "src")
-    tie = F.xxhash64("src", "doc_id", "size")
-    extra = decide(rows.select("rid", "src", "size", "prob", tie.alias("tie")), block_rows)
-    return rows.join(extra, "rid", "left").select(
-        "rid", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")
-    )
+    """A table (rid, doc_id, source, size) with source_size, target and copies added."""
+    salts = 4 * shuffle_partitions(marked)
+    rows = marked.withColumn("src", source_key(F.col("source")))
+    goal = materialize(targets(rows.groupBy("src").agg(F.sum("size").alias("total"))), "targets")
+    # rows that are alike to every constraint become one in each task before anything moves
+    buckets = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(salts)))
+    counts = materialize(buckets.groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "cells")
+    cells = counts.groupBy("src", "size").agg(F.sum("n").alias("n")).join(goal.select("src", "prob"), "src").withColumn("want", F.col("n") * F.col("prob"))
+    # a product that is whole but for rounding is whole
+    sure = F.when(F.abs(F.col("want") - F.round("want")) < 1e-7, F.round("want")).otherwise(F.floor("want"))
+    cells = materialize(cells.select("src", "size", sure.cast("long").alias("sure"), F.greatest(F.lit(0.0), F.col("want") - sure).alias("prob"), F.xxhash64("src", "size").alias("tie")), "wanted")
+    extra = decide(cells.filter("prob > 1e-7").select("src", "size", "prob", "tie"), block_rows)
+    number = cells.join(extra, ["src", "size"], "left").select("src", "size", (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("number"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("src", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # of each bucket the first so many in the order of the documents' hashes
+    quota = counts.withColumn("before", before).join(number, ["src", "size"]).join(goal, "src")
+    quota = quota.withColumn("quota", F.greatest(F.lit(0), F.least("n", F.col("number") - F.col("before")))).drop("n", "before", "number")
+    place = F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy(F.xxhash64("doc_id"), "rid"))
+    dealt = buckets.withColumn("place", place).join(quota, ["src", "size", "salt"])
+    return dealt.withColumn("copies", F.col("whole") + (F.col("place") <= F.col("quota")).cast("int")).drop("src", "salt", "place", "quota", "whole", "prob")
 
 
 def mix_report(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every document."""
     marked = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     marked = materialize(marked.withColumn("rid", F.monotonically_increasing_id()), "sizes")
-    taken = take(marked, block_rows)
-    return marked.join(taken, "rid").select(
+    return take(marked, block_rows).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies")
     )
 
 
 def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents of the mix: each as often as it is taken. Columns stay as they are."""
-    rid, size = "_mix_rid", "_mix_size"
+    rid, size, copy = (spare_name(docs, x) for x in ("rid", "size", "copy"))
     kept = materialize(docs.withColumns({size: word_count(F.col("text")), rid: F.monotonically_increasing_id()}), "mix")
     marked = kept.select(F.col(rid).alias("rid"), "doc_id", "source", F.col(size).alias("size"))
-    copies = take(marked, block_rows).filter("copies > 0").select(F.col("rid").alias(rid), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_mix_copy"))
+    copies = take(marked, block_rows).filter("copies > 0").select(F.col("rid").alias(rid), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy))
     return kept.join(copies, rid).select(*docs.columns)

@@ -13,14 +13,17 @@ Sizes are whole token counts from 1 to the capacity, so the corpus reduces to a
 4. Best fit: what is left of the large sizes, then the small sizes, go in descending order
    where the least room remains.
 
-The scheme runs for a few borders between small and large (``SHARES``); the best plan counts. A plan is a list of runs (equal sequences and their count), at most a few thousand. Documents
-meet it by their rank within their size, counted in salted buckets, by a broadcast of the runs
+The scheme runs for two borders between small and large (``SHARES``), which leave room for two or
+three large sizes in a configuration; the better plan counts. A plan is a list of runs (equal
+sequences and their count), at most a few thousand. Documents meet it by their rank within their size, counted in salted buckets, by a broadcast of the runs
 (bounded by the capacity, not by the corpus). Full pieces are one run, so half of all rows in
 one size do no harm.
 
 Ids are those of the public byte-level BPE file. The tiktoken build of the same vocabulary
 encodes texts whose characters lie below U+0530, where both builds agree on character classes;
-any other text, and any text that spells a special token, goes through ``tokenizers``.
+any other text, any text that spells a special token, any with ``RUN`` white-space characters in a
+row (the fast build's pattern search overflows its stack on about a million) and any on which the
+fast build fails goes through ``tokenizers``.
 
 Defined cases: null or empty text is the end id alone (one piece of length 1); repeated rows
 are packed as often as they occur; null ids are kept; an empty table gives an empty result;
@@ -30,6 +33,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,8 +47,10 @@ from filigree.session import materialize
 
 CAPACITY, END_ID = 1024, 2
 #: Groups of large sizes; borders between small and large, as parts of the capacity.
-GROUPS, SHARES = 64, (2, 3, 4, 8)
+GROUPS, SHARES = 64, (3, 4)
 SPECIAL, SAFE_BELOW = "<|endoftext|>", "԰"
+RUN = 100_000
+LONG_RUN = re.compile(r"\s{%d}" % RUN)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,8 +75,12 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if SPECIAL not in text and (text.isascii() or max(text) < SAFE_BELOW):
-            return self.fast.encode_ordinary(text)
+        if SPECIAL not in text and (text.isascii() or max(text) < SAFE_BELOW) and not (len(text) >= RUN and LONG_RUN.search(text)):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as error:  # a panic of the library is no Exception
+                if type(error).__name__ != "PanicException":
+                    raise
         return self.slow.encode(text, add_special_tokens=False).ids
 
 

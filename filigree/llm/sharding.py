@@ -1,6 +1,6 @@
 """Sharding by histogram sort (operator 3), law ``bytes``: shards of near equal size.
 
-Rows are ordered by (hash of the text, hash of the id), so equal texts are neighbours and stay
+Rows are ordered by (hash of the text, hash of the id and row number), so equal texts are neighbours and stay
 together unless a shard border has to fall among them. The border of shard k is the key below
 which k/n of all bytes lie. Each round counts the exact bytes below a set of candidate keys in
 every open bracket (a sum per task, then a sum of those), narrows each bracket to the candidate
@@ -11,8 +11,9 @@ within it. Then all rows are exchanged once, by (shard, salt), and numbered.
 Memory: a probe set has shards x probes entries; rows are read as 24-byte keys, never gathered.
 
 Defined cases: null text has no bytes (size 16) and counts as one text of its own; rows equal in
-text and id cannot be told apart and stay in one shard; null ids are kept; an empty table gives
-an empty result; extra columns are ignored.
+text and id, or without an id, are told apart by their row number, so that a group of them can be
+split like any other (which of them lies where then depends on how the table was read); null ids are
+kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64("text", F.lit("text")).alias("h1"),
-        F.xxhash64(F.lit("id"), "doc_id").alias("h2"),
+        F.xxhash64(F.lit("id"), "doc_id", F.monotonically_increasing_id()).alias("h2"),
     )
 
 
@@ -144,7 +145,7 @@ def assign(rows: DataFrame, borders: list[tuple[int, int]]) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.001) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is not ``key``)."""
     rows = materialize(keyed(docs), "shard-keys")
-    salts = max(8, shuffle_partitions(docs) // 8)
+    salts = max(8, 4 * shuffle_partitions(docs) // shards)
     placed = assign(rows, splitters(rows, shards, tolerance)).withColumn("salt", F.pmod("h2", F.lit(salts)))
     placed = materialize(placed, "shard-rows")
     counts = placed.groupBy("shard", "salt").agg(F.count("*").alias("rows"))

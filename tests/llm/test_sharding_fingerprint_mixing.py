@@ -1,6 +1,8 @@
 """Operators 3, 4 and 5."""
 
 import hashlib
+import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -44,16 +46,16 @@ def test_shards_split_a_hot_text(spark):
 
 def lanes(spark, texts):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
-    return [r["d"] for r in rows.select("k", fingerprint.digest(fingerprint.lanes(F.col("text"))).alias("d")).orderBy("k").collect()]
+    return [r["d"] for r in fingerprint.with_fingerprint(rows, "text", "f").select("k", fingerprint.digest(F.col("f")).alias("d")).orderBy("k").collect()]
 
 
 def test_fingerprint_is_a_multiset_hash(spark):
     a, b, c, d, e = lanes(spark, ["one two\nthree\nfour five six seven", "three\nfour five six seven\none two", "one two\nthree\nthree\nfour five six seven", "", None])
     assert a == b and a != c and d == e and set(d) == {"0"}
     row = spark.createDataFrame([("one two\nthree", "four five six seven")], "t string, p string")
-    more = fingerprint.insert(fingerprint.lanes(F.col("t")), F.col("p"))
-    less = fingerprint.remove(more, F.col("p"))
-    got = row.select(fingerprint.digest(more).alias("m"), fingerprint.digest(less).alias("l"), fingerprint.digest(fingerprint.lanes(F.col("t"))).alias("t")).first()
+    row = fingerprint.with_fingerprint(fingerprint.with_fingerprint(row, "t", "f"), "p", "one")
+    row = fingerprint.with_combined(fingerprint.with_combined(row, "f", "one", "more"), "more", "one", "less", -1)
+    got = row.select(fingerprint.digest(F.col("more")).alias("m"), fingerprint.digest(F.col("less")).alias("l"), fingerprint.digest(F.col("f")).alias("t")).first()
     assert got["m"] == a and got["l"] == got["t"]
 
 
@@ -77,9 +79,7 @@ def test_edited_pairs(spark, sf):
     assert all(len(s) == 1 for s in same.values())
 
 
-@given(st.dictionaries(st.one_of(st.none(), st.text(max_size=3)), st.integers(0, 50), min_size=1, max_size=9))
-def test_targets(sizes):
-    got = mixing.targets(sizes)
+def plain_targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: k % 3 + 1 for k, s in enumerate(order)}
     want, full = {}, set()  # share, cap, share the excess again, as the law says
@@ -91,7 +91,21 @@ def test_targets(sizes):
         if not above:
             break
         full |= above
-    assert got == want and sum(got.values()) == sum(sizes.values())
+    return {s: float(t) for s, t in want.items()}
+
+
+def test_targets(spark):
+    rng = random.Random(7)
+    names = [None, "", "a", "b", "z", "é", "語", "😀", "ab"]
+    for _ in range(5):
+        sizes = {s: rng.choice([0, 1, 2, 50, rng.randrange(10**12)]) for s in rng.sample(names, rng.randrange(1, 10))}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, total long")
+        got = mixing.targets(rows.select(mixing.source_key(F.col("source")).alias("src"), "total")).collect()
+        want = plain_targets(sizes)
+        assert len(got) == len(want)
+        for r in got:
+            assert np.isclose(r["target"], want[None if r["src"] == "1" else r["src"][1:]], rtol=1e-12)
+            assert np.isclose((r["whole"] + r["prob"]) * r["source_size"], r["target"])
 
 
 @given(st.lists(st.tuples(st.integers(0, 1000), st.floats(0, 1)), max_size=60), st.integers(0, 99))
@@ -115,7 +129,8 @@ def test_mix(spark, sf):
         sizes[s] = sizes.get(s, 0) + r["size"]
         taken[s] = taken.get(s, 0) + r["taken"]
         goal[s] = r["target"]
-    assert {s: float(t) for s, t in mixing.targets(sizes).items()} == goal
+    want = plain_targets(sizes)
+    assert all(np.isclose(goal[s], want[s], rtol=1e-12) for s in goal)
     assert all(abs(taken[s] - goal[s]) <= 0.1 * goal[s] for s in goal)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_report(docs, 300).collect()))
     mixed = mixing.mix(docs)
@@ -130,8 +145,65 @@ def test_mix_in_many_blocks(spark):
         assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 40
 
 
+def plain_fingerprint(spark, text):
+    """(n, whole sums, lane sums) by hand: the hashes come from Spark, the sums from Python."""
+    parts = [p for line in re.split(r"[\n\x0b\x0c\r]+", text) for p in re.split(r"(?<=[.!?…。,;:])[ \t]+", line) if p.strip(" ")]
+    rows = spark.createDataFrame([(p,) for p in parts], "p string").select(*[F.xxhash64(F.lit(s), "p") for s in range(fingerprint.SEEDS)]).collect() if parts else []
+    hashes = [[h % 2**64 for h in r] for r in rows]
+    lanes = [sum(h[s] >> j & fingerprint.ONES for h in hashes) % 2**60 for s in range(fingerprint.SEEDS) for j in range(fingerprint.SHIFTS)]
+    return len(parts), [sum(h[s] % 2**56 for h in hashes) % 2**56 for s in range(fingerprint.SEEDS)], lanes
+
+
+def test_fingerprint_by_hand(spark):
+    text = "Eins, zwei. Drei\nvier; fünf!  Sechs\n\nEins, 7"
+    got = fingerprint.with_fingerprint(spark.createDataFrame([(text,)], "t string"), "t", "f").first()["f"]
+    n, whole, lanes = plain_fingerprint(spark, text)
+    assert n == 8 and got["n"] == n and list(got["whole"]) == whole and list(got["sums"]) == lanes
+    ones = [x >> 15 * k & 0x7FFF for x in lanes for k in range(4)]
+    assert np.isclose(got["power"], np.mean([(2 * c - n) ** 2 for c in ones]))
+
+
+def test_likeness_is_near_the_true_one(spark):
+    """2 A.B / (|A|^2 + |B|^2) on multisets, from disjoint over partly equal with repeats to equal."""
+    rows = []
+    for k, (common, own, again) in enumerate([(0, 300, 1), (100, 100, 1), (300, 20, 1), (50, 10, 9), (400, 0, 1)]):
+        a = [f"c{i}" for i in range(common)] * again + [f"a{i}" for i in range(own)]
+        b = [f"c{i}" for i in range(common)] * again + [f"b{i}" for i in range(own)]
+        both, size = common * again**2, common * again**2 + own
+        rows.append((k, "\n".join(a), "\n".join(b), both / size))
+    df = spark.createDataFrame(rows, "k int, a string, b string, want double")
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "fa"), "b", "fb")
+    for r in df.select("want", fingerprint.likeness(F.col("fa"), F.col("fb")).alias("x")).collect():
+        assert abs(r["x"] - r["want"]) < 0.25 and (r["want"] < 1 or r["x"] == 1.0)
+
+
+def test_successors_with_repeats_and_no_ids(spark):
+    rows = [(1, "a b c d."), (1, "a b c d."), (2, None), (None, "x y z w"), (None, "x y z w"), (None, "other one")]
+    got = fingerprint.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6
+    first = [r for r in got if r["doc_id"] == 1]
+    assert len(first) == 2 and first[0] == first[1] and first[0]["edited_sha256"] == hashlib.sha256(b"a b c ").hexdigest()
+    alone = fingerprint.edited_pairs(spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).first()
+    assert alone["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and alone["near_next"] == 1.0
+
+
 def test_long_unrelated_texts_are_not_alike(spark):
-    a, b = (F.expr(f"array_join(transform(sequence(1, 600000), i -> concat('{x}', i)), ' ')") for x in "ab")
-    row = spark.range(1).select(fingerprint.lanes(a).alias("a"), fingerprint.lanes(b).alias("b")).localCheckpoint()
-    got = row.select(fingerprint.likeness(F.col("a"), F.col("b")).alias("x"), F.col("a.pieces").alias("n")).first()
-    assert got["n"] == 200_000 and got["x"] < 0.25
+    a, b = (F.expr(f"array_join(transform(sequence(1, 600000), i -> concat('{x}', i)), '\n')") for x in "ab")
+    row = fingerprint.with_fingerprint(fingerprint.with_fingerprint(spark.range(1).select(a.alias("x"), b.alias("y")), "x", "a"), "y", "b")
+    got = row.select(fingerprint.likeness(F.col("a"), F.col("b")).alias("x"), F.col("a.n").alias("n")).first()
+    assert got["n"] == 600_000 and got["x"] < 0.25
+
+
+def test_one_cell_and_rows_without_ids(spark):
+    """All rows of one source and size, most without an id: they are dealt in buckets, and the counts come out."""
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, id, null) doc_id", "if(id < 1000, 'a', 'b') source", "'w w w' text")
+    rows = mixing.mix_report(docs).collect()
+    assert len(rows) == 3000 and all(r["copies"] in (0, 1, 2, 3) for r in rows)
+    for total in (3000, 6000):
+        part = [r for r in rows if r["source_size"] == total]
+        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 3
+    shards = sharding.shard_documents(docs.selectExpr("cast(null as long) doc_id", "text"), 40).collect()
+    sizes = {}
+    for r in shards:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 3 * 19
