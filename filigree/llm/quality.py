@@ -24,18 +24,22 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filigree.llm.common import held_out
-from filigree.session import materialize
+from filigree.session import discard, materialize, spare_name
 
 SIGNS = re.compile(r"[^\w\s]{2,}")
 CLASSES = {"letter": r"[A-Za-z\x80-\xff]", "upper": r"[A-Z]", "digit": r"[0-9]", "space": r"[ \t]", "line": r"\n", "shout": r"!", "sign": r"[$%&*#@^~=+|<>{}\[\]_/\\]"}
 BYTE_CLASS = np.array([[bool(re.match(p, chr(b))) for p in CLASSES.values()] for b in range(256)], dtype=float)
 WIDTH = 8 + len(CLASSES)
 FLOOR, ROUNDS, RIDGE = 0.7, 14, 1e-3
+#: The share of the commonest word is drawn to this one as by so many words, so that it means as much in short texts as in long ones.
+PRIOR_SHARE, PRIOR_WORDS = 0.04, 20
+#: A text of so many words counts half.
+FEW = 8
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -55,7 +59,7 @@ def statistics(text: str | None) -> np.ndarray:
         np.log1p(n) / 8,
         len(seen) / n ** 0.9,
         np.sqrt(again),
-        np.sqrt(max(seen.values()) / n) if n > 20 else 0.2,
+        np.sqrt((max(seen.values()) + PRIOR_SHARE * PRIOR_WORDS) / (n + PRIOR_WORDS)),
         np.sqrt(seen.get("|", 0) / n),
         np.sqrt(len(SIGNS.findall(text)) / n),
         (len(raw) - shares[3] * len(raw)) / n / 10,
@@ -93,7 +97,9 @@ def sums(rows: DataFrame, make, width: int) -> np.ndarray:
 
 
 def design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
+    """Standardised statistics, drawn to the mean where a text is short and they say little, and a constant."""
+    words = np.expm1(8 * x[:, :1])
+    return np.concatenate([np.clip((x - mean) / scale, -8, 8) * words / (words + FEW), np.ones((len(x), 1))], axis=1)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -170,39 +176,51 @@ def fit(rows: DataFrame) -> dict | None:
     return {"mean": mean, "scale": scale, "prior": prior, "weights": newton(prior)}
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, _quality_x (statistics) and _trusted of every document; no text moves for it."""
-    good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
-    good = good.filter(F.col("_q") > 0).filter(~held_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("_good_id"))
-    marked = docs.select("doc_id", statistics_udf("text").alias("_quality_x"))
-    marked = marked.join(good, marked["doc_id"] == good["_good_id"], "left").withColumn("_trusted", F.col("_good_id").isNotNull())
-    return materialize(marked.drop("_good_id"), "quality")
+def good_ids(labels: DataFrame) -> DataFrame:
+    """Ids (column _good_id) of the trusted positives: labelled good, with an id, not held out."""
+    good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    return good.filter(F.col("q") > 0).filter(~held_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("_good_id"))
 
 
-def score_column(docs: DataFrame, model: dict | None):
-    """Score of the column _quality_x, in plain expressions."""
+def learn(measured: DataFrame, labels: DataFrame) -> dict | None:
+    """The model from a table (doc_id, x): statistics of every document. No text moves for it."""
+    good = good_ids(labels)
+    rows = measured.join(good, measured["doc_id"] == good["_good_id"], "left").select("x", F.col("_good_id").isNotNull().alias("trusted"))
+    rows = materialize(rows, "quality-rows")
+    model = fit(rows)
+    discard(rows)
+    return model
+
+
+def score_column(x: str, model: dict | None) -> Column:
+    """Score of a column of statistics, in plain expressions."""
     if model is None:
         return F.lit(0.0)
-    z = F.lit(float(model["weights"][-1]))
+    z = F.lit(0.0)
     for k in range(WIDTH):
-        part = (F.element_at("_quality_x", k + 1).cast("double") - float(model["mean"][k])) / float(model["scale"][k])
+        part = (F.element_at(x, k + 1).cast("double") - float(model["mean"][k])) / float(model["scale"][k])
         z = z + F.greatest(F.least(part, F.lit(8.0)), F.lit(-8.0)) * float(model["weights"][k])
+    words = F.expm1(8 * F.element_at(x, 1).cast("double"))
+    z = z * words / (words + FEW) + float(model["weights"][-1])
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    rows = trusted_rows(docs, labels)
-    model = fit(rows.select(F.col("_quality_x").alias("x"), F.col("_trusted").alias("trusted")))
-    out = rows.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), score_column(rows, model).alias("score"))
+    rows = materialize(docs.select("doc_id", statistics_udf("text").alias("x")), "quality")
+    model = learn(rows, labels)
+    out = rows.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), score_column("x", model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score one half or more; all of them where nothing is trusted. Columns stay as they are."""
-    rows = trusted_rows(docs, labels)
-    model = fit(rows.select(F.col("_quality_x").alias("x"), F.col("_trusted").alias("trusted")))
+    """The documents that score one half or more; all of them where nothing is trusted. Columns stay as they are.
+
+    The statistics are measured once and written beside the documents.
+    """
+    x = spare_name(docs, "x")
+    marked = materialize(docs.withColumn(x, statistics_udf("text")), "quality")
+    model = learn(marked.select("doc_id", F.col(x).alias("x")), labels)
     if model is None:
         return docs
-    marked = docs.withColumn("_quality_x", statistics_udf("text"))
-    return marked.filter(score_column(marked, model) >= 0.5).select(*docs.columns)
+    return marked.filter(score_column(x, model) >= 0.5).select(*docs.columns)
