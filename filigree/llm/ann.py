@@ -1,21 +1,29 @@
 """Approximate nearest neighbours by a hierarchical k-means tree (operator 9).
 
-The tree is fitted on a documented, bounded sample (``SAMPLE`` vectors, the first by hash of id)
-and broadcast; every row is indexed: it descends to its leaf, and leaves are dealt in chunks of
-``CHUNK`` rows, so a leaf that holds a third of all rows is many tasks' work. A query walks the
-tree best bin first: a priority queue holds the nodes seen, ordered by the inner product of the
-query with their centre, and leaves come off it in the order to be visited.
+The tree is fitted on a documented, bounded sample (``SAMPLE`` vectors, those of the smallest hash of
+id) and broadcast; every row is indexed: it descends to its leaf. A query walks the tree best bin
+first: a priority queue holds the nodes seen, a leaf at the inner product of the query with its centre,
+an inner node at the most that any leaf below it can have (its own product and its radius), so leaves
+come off the queue in the order of their own products.
 
 How many leaves a query visits is calibrated: for ``PROBES`` queries the exact neighbours are
 found by brute force over all rows (in blocks, top lists per task), and the visits are widened
-until the mean recall reaches ``RECALL``. Then queries meet the chunks of the leaves they visit;
-each chunk gives its best ``k`` per query, and the best ``k`` of those are the result. Scores are
-inner products of the original vectors in double precision.
+until the mean recall reaches ``RECALL``. A walk goes on beyond that number until its leaves hold the
+neighbours asked for, or all rows. Leaves that are neighbours in the tree form groups, dealt in blocks
+of about ``CHUNK`` rows, so a leaf that holds a third of all rows is many tasks' work. A query goes
+once to each group that it visits, with the list of its leaves there; each block gives its best ``k``
+per query, and the best ``k`` of those are the result. Scores are inner products of the original vectors in
+double precision.
+
+The share of rows that is scanned depends on the data: vectors in clusters are scanned in few leaves;
+for directions without any structure in 64 dimensions (the test tables) the README gives the figures.
+The sample bounds the number of leaves, so beyond it the rows of a leaf grow with the table.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
-part, nor do rows without an id or of another width than most; rows that repeat an id are
-candidates each, apart from the query's own id; ties go to the smaller id; an empty table gives
-an empty result; extra columns are ignored.
+part, nor do rows without an id. Vectors of different widths have no inner product: each width is a
+search of its own. Rows that repeat an id are candidates each, apart from the query's own id; as
+queries they count once, with the smallest of their vectors; ties go to the smaller id; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +40,9 @@ from pyspark.sql import functions as F
 from filigree.llm.common import bounded_sample
 from filigree.session import materialize
 
-SAMPLE, BRANCH, LEAF, CHUNK, PROBES, RECALL, SEED = 16_384, 8, 64, 4096, 256, 0.97, 7
+SAMPLE, BRANCH, LEAF, CHUNK, PROBES, RECALL, SEED = 16_384, 8, 8, 8192, 256, 0.95, 7
+#: About so many groups of leaves.
+GROUPS = 64
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -42,9 +52,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & F.col("vec").isNotNull())
     rows = rows.filter(F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))))
-    rows = rows.filter(F.exists("vec", lambda x: x != 0))
-    widths = rows.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    return rows.filter(F.size("vec") == widths[0]["w"]) if widths else rows
+    return rows.filter(F.exists("vec", lambda x: x != 0))
 
 
 # ---- tree ---------------------------------------------------------------------------------
@@ -84,6 +92,14 @@ class Tree:
             todo += [(first + k, x[at == c]) for k, c in enumerate(used)]
         self.centres = np.array(self.centres)
         self.half = (self.centres**2).sum(1)
+        self.radius = np.zeros(len(self.centres))  # distance to the farthest centre of a leaf below
+        self.place = np.zeros(len(self.centres), dtype=np.int64)  # number of a leaf in the order of the tree
+        below: dict[int, list[int]] = {}
+        for node in range(len(self.centres) - 1, -1, -1):  # children come after their parent
+            kids = self.children[node]
+            below[node] = [x for kid in kids for x in below.pop(kid)] if len(kids) else [node]
+            self.radius[node] = np.sqrt(((self.centres[below[node]] - self.centres[node]) ** 2).sum(1)).max()
+        self.place[below[0]] = np.arange(len(below[0]))
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Leaf of every row: at each level the nearest centre."""
@@ -99,17 +115,20 @@ class Tree:
             todo += [(kids.start + k, rows[at == k]) for k in range(len(kids))]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first walk."""
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first walk, and more until they hold ``rows`` rows (``sizes`` per node)."""
         near = self.centres @ q
-        heap, out = [(-near[0], 0)], []
-        while heap and len(out) < most:
+        reach = near + self.radius * np.sqrt(q @ q)
+        heap, out, held = [(-reach[0], 0)], [], 0
+        while heap and (len(out) < most or held < rows):
             _, node = heapq.heappop(heap)
-            if len(self.children[node]):
-                for kid in self.children[node]:
-                    heapq.heappush(heap, (-near[kid], kid))
+            kids = self.children[node]
+            if len(kids):
+                for kid in kids:
+                    heapq.heappush(heap, (-(reach if len(self.children[kid]) else near)[kid], kid))
             else:
                 out.append(node)
+                held += int(sizes[node]) if sizes is not None else 0
         return out
 
     @staticmethod
@@ -130,21 +149,25 @@ def vectors_of(column: pa.Array) -> np.ndarray:
 # ---- search -------------------------------------------------------------------------------
 
 
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the best ``k`` rows per query; a row's score is the same in any block."""
-    qs, vs, ss = [], [], []
-    for qid, q in zip(query_ids, queries):
-        score = (x * q).sum(axis=1)
-        score[ids == qid] = -np.inf
-        rows = np.flatnonzero(score > -np.inf)
-        if len(rows) > 4 * k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            rows = np.flatnonzero(score >= edge) if edge > -np.inf else rows
-        rows = rows[np.lexsort((ids[rows], -score[rows]))][:k]
-        qs.append(np.full(len(rows), qid))
-        vs.append(ids[rows])
-        ss.append(score[rows])
-    return tuple(np.concatenate(p) if p else np.zeros(0) for p in (qs, vs, ss))
+def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the best ``k`` rows per query, of those ``allowed`` (queries x rows).
+
+    The product of both sides finds who can be among them; their scores are summed anew row by
+    row, so a pair's score is the same in any block.
+    """
+    near = queries @ x.T
+    near[query_ids[:, None] == ids[None, :]] = -np.inf
+    if allowed is not None:
+        near[~allowed] = -np.inf
+    edge = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+    slack = 1e-9 * (1 + np.sqrt((queries**2).sum(1)) * np.sqrt((x**2).sum(1).max(initial=0.0)))
+    at, row = np.nonzero((near >= (edge - slack)[:, None]) & (near > -np.inf))
+    score = (x[row] * queries[at]).sum(axis=1)
+    order = np.lexsort((ids[row], -score, at))
+    at, row, score = at[order], row[order], score[order]
+    first = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - first < k
+    return query_ids[at[keep]], ids[row[keep]], score[keep]
 
 
 def found_batch(found: tuple) -> pa.RecordBatch:
@@ -177,7 +200,7 @@ def calibrate(tree: Tree, indexed: DataFrame, probes: list, k: int, recall: floa
         return 1
     ids, x = np.array([r["vec_id"] for r in probes]), np.array([r["vec"] for r in probes])
     truth = brute_force(indexed, ids, x, k)
-    leaf = indexed.select("vec_id", "leaf").dropDuplicates(["vec_id"])
+    leaf = indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf"))
     truth = truth.join(leaf, "vec_id").select("query_id", "leaf").collect()  # probes x k rows at most
     order = {int(i): {node: n for n, node in enumerate(tree.visits(q, tree.leaves()))} for i, q in zip(ids, x)}
     place = np.sort([order[r["query_id"]][r["leaf"]] + 1 for r in truth])
@@ -187,52 +210,77 @@ def calibrate(tree: Tree, indexed: DataFrame, probes: list, k: int, recall: floa
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, recall: float = RECALL, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` (a column of vec_id) holds for, its ``k`` nearest found."""
     rows = materialize(valid(vectors), "vectors")
+    widths = [r["w"] for r in rows.select(F.size("vec").alias("w")).distinct().limit(1000).collect()]
+    if len(widths) == 1:
+        return search_width(rows, is_query, k, sample, recall, probes)
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for w in sorted(widths):
+        out = out.unionByName(search_width(rows.filter(F.size("vec") == w), is_query, k, sample, recall, probes))
+    return out
+
+
+def search_width(rows: DataFrame, is_query, k: int, sample: int, recall: float, probes: int) -> DataFrame:
+    """The search among vectors (vec_id, vec) of one width, one at least."""
     spark = rows.sparkSession
     fitted = bounded_sample(rows, "vec_id", sample).collect()
-    if not fitted:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(np.array([r["vec"] for r in fitted]))
     shared = spark.sparkContext.broadcast(vars(tree))
+    per_group = max(1, -(-tree.leaves() // GROUPS))
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree.of(shared.value)
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.assign(vectors_of(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["vec_id", "vec", "leaf"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(tree.place[leaf] // per_group)], names=["vec_id", "vec", "leaf", "grp"])
 
-    indexed = materialize(rows.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf long"), "indexed")
-    chosen = indexed.filter(is_query)
-    few = bounded_sample(chosen, "vec_id", probes).collect()
-    visits = calibrate(tree, indexed, few, k, recall)
+    indexed = materialize(rows.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf long, grp long"), "indexed")
+    # a repeated id asks once
+    chosen = materialize(indexed.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.count("*").alias("own")), "queries")
+    visits = calibrate(tree, indexed, bounded_sample(chosen, "vec_id", probes).collect(), k, recall)
+    sizes = np.zeros(len(tree.children), dtype=np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # one row per leaf of the fitted tree
+        sizes[r["leaf"]] = r["count"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree.of(shared.value)
         for batch in batches:
-            at, leaf = [], []
-            for n, q in enumerate(vectors_of(batch.column(1)) if batch.num_rows else []):
-                nodes = tree.visits(q, visits)
-                at += [n] * len(nodes)
-                leaf += nodes
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaf, pa.int64())], names=["query_id", "q", "leaf"])
-
-    walked = chosen.select("vec_id", "vec").mapInArrow(walk, "query_id long, q array<double>, leaf long")
-    # both sides of a leaf are dealt in chunks; each pair of chunks is one block of work
-    sizes = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    asked = materialize(walked, "walks")
-    parts = sizes.join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("askers")), "leaf")
-    parts = F.broadcast(parts)  # one row per leaf of the fitted tree
-    mine = indexed.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), "vec_id", "vec")
-    theirs = asked.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("askers")).cast("int").alias("asker"), "query_id", "q")
+            at, group, leaves = [], [], []
+            for n, (q, own) in enumerate(zip(vectors_of(batch.column(1)), batch.column(2).to_pylist()) if batch.num_rows else []):
+                nodes = np.array(tree.visits(q, visits, sizes, k + own))
+                nodes = nodes[sizes[nodes] > 0]
+                of = tree.place[nodes] // per_group
+                for g in np.unique(of).tolist():
+                    at.append(n)
+                    group.append(g)
+                    leaves.append(nodes[of == g].tolist())
+            taken = batch.select(["vec_id", "vec"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(group, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "grp", "leaves"])
+
+    asked = materialize(chosen.mapInArrow(walk, "query_id long, q array<double>, grp long, leaves array<int>"), "walks")
+    # both sides of a group are dealt in blocks of about CHUNK rows; each pair of blocks is one piece of work
+    parts = indexed.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    parts = F.broadcast(parts.join(asked.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("askers")), "grp"))  # GROUPS rows
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = indexed.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts")).cast("int")).withColumn("asker", up_to("askers")).select("grp", "part", "asker", "vec_id", "vec", "leaf")
+    theirs = asked.join(parts, "grp").withColumn("asker", F.pmod(F.xxhash64("query_id"), F.col("askers")).cast("int")).withColumn("part", up_to("parts")).select("grp", "part", "asker", "query_id", "q", "leaves")
 
     def block(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        found = best_of(q["query_id"].to_numpy(), np.stack(q["q"].to_numpy()), x["vec_id"].to_numpy(), np.stack(x["vec"].to_numpy()), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found))).astype({"query_id": "int64", "vec_id": "int64"})
-
-    found = mine.groupBy("leaf", "part", "asker").cogroup(theirs.groupBy("leaf", "part", "asker")).applyInPandas(block, FOUND)
+        found: list[tuple] = []
+        if len(x) and len(q):
+            ids, vec, leaf = x["vec_id"].to_numpy(), np.stack(x["vec"].to_numpy()), x["leaf"].to_numpy()
+            known, at = np.unique(leaf, return_inverse=True)
+            for start in range(0, len(q), 512):
+                some = q.iloc[start : start + 512]
+                visited = np.zeros((len(some), len(known)), dtype=bool)
+                for n, leaves in enumerate(some["leaves"]):
+                    place = np.minimum(np.searchsorted(known, leaves), len(known) - 1)
+                    visited[n, place[known[place] == leaves]] = True
+                found.append(best_of(some["query_id"].to_numpy(), np.stack(some["q"].to_numpy()), ids, vec, k, visited[:, at]))
+        cells = [np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cells))).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = mine.groupBy("grp", "part", "asker").cogroup(theirs.groupBy("grp", "part", "asker")).applyInPandas(block, FOUND)
     return merge(found, k)
 
 

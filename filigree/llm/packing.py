@@ -13,8 +13,8 @@ Sizes are whole token counts from 1 to the capacity, so the corpus reduces to a
 4. Best fit: what is left of the large sizes, then the small sizes, go in descending order
    where the least room remains.
 
-The scheme runs for two borders between small and large (``SHARES``), which leave room for two or
-three large sizes in a configuration; the better plan counts. A plan is a list of runs (equal
+The scheme runs for a few borders between small and large (``SHARES``), which leave room for one to
+three large sizes in a configuration; the best plan counts. A plan is a list of runs (equal
 sequences and their count), at most a few thousand. Documents meet it by their rank within their size, counted in salted buckets, by a broadcast of the runs
 (bounded by the capacity, not by the corpus). Full pieces are one run, so half of all rows in
 one size do no harm.
@@ -47,7 +47,7 @@ from filigree.session import materialize
 
 CAPACITY, END_ID = 1024, 2
 #: Groups of large sizes; borders between small and large, as parts of the capacity.
-GROUPS, SHARES = 64, (3, 4)
+GROUPS, SHARES = 64, (2, 3, 4)
 SPECIAL, SAFE_BELOW = "<|endoftext|>", "԰"
 RUN = 100_000
 LONG_RUN = re.compile(r"\s{%d}" % RUN)

@@ -1,22 +1,26 @@
 """Toxicity scoring of restored text: noisy-channel deobfuscation, then a labelled word model (operator 7).
 
-Restoring. A character trigram model of clean words is counted over all documents. A word that
-shows signs of disguise (look-alike signs among letters, separators between letters, a letter
-three times in a row, or letters spaced out one by one) becomes a lattice: each sign may be one
-of the letters it looks like or nothing, a repeated letter may be dropped. Viterbi search over
-pairs of letters finds the restoration of the highest channel and language probability. Words
-without such signs have one path only and are taken as they are.
+Restoring. A character 4-gram model of clean words is counted over all documents. A word that
+shows signs of disguise (look-alike signs or letters of another script among letters, separators
+between letters, a letter three times in a row) becomes a lattice: each sign may be one
+of the letters it looks like or nothing, a repeated letter may be dropped. Letters spaced out
+one by one, three or more, become one lattice in which a word border may stand at every gap, and
+is likelier where the gap is wider. Viterbi search over the last three letters finds the
+restoration of the highest channel and language probability, of any length. Words
+without such signs have one path only and are taken as they are. Of neighbouring words
+that a spaced run is restored to the joined form is a word too, as a border may be false.
 
 Scoring. From labelled rows, a bounded sample of which is documented as ``SAMPLE``, the document
 frequency of every restored word and of its first four and five letters is counted per label on
 the executors. Those clearly commoner in toxic rows (by a lower bound
-of their log odds) become candidates, at most ``FEATURES``; an L1-penalised logistic regression
+of their log odds) become candidates; an L1-penalised logistic regression
 on the sample gives few of them a weight. A document scores by the weights found in it.
 
 Defined cases: null, empty or wordless text gets the score of no evidence; with no labelled
 rows, or one label only, the score is 0 (or 1 if all are toxic); repeated label rows count once
 as their largest label; null labels and rows without an id are not learned from; an empty table
-gives an empty result; ``drop_toxic`` keeps all other columns.
+gives an empty result; words are restored whatever their length (time grows in proportion);
+``drop_toxic`` keeps all other columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,23 +37,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.llm.common import bounded_sample, held_out, texts_of
+from filigree.session import spare_name
 
-SAMPLE, FEATURES, LEAST_DOCS, LEAST_ODDS = 16_000, 4096, 4, 1.5
+SAMPLE, LEAST_DOCS, LEAST_ODDS = 16_000, 4, 1.5
 
-# The letters that a sign may stand for.
+# The letters that a sign may stand for, and letters of other scripts that look like Latin ones.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
+SCRIPTS = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
+    "α": "a", "ο": "o", "ε": "e", "ι": "i", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k", "χ": "x",
+}
 SEPARATORS = ".-_*~'^`/,"
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…&%#*$"
+#: Characters without width, which split words unseen.
+UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
-#: Channel costs (negative log probabilities) of a look-alike, of a dropped sign and of a dropped repeat.
-COST_SIGN, COST_DROP, COST_REPEAT = 1.5, 3.0, 0.5
-LONGEST = 48
+#: Channel costs (negative log probabilities) of a look-alike, of a letter of another script, of a dropped sign and of a dropped repeat.
+COST_SIGN, COST_SCRIPT, COST_DROP, COST_REPEAT = 1.5, 0.5, 3.0, 0.5
+#: Channel costs of a word border in a spaced run: at a usual gap and at a wide one; of none at a wide one.
+COST_BORDER, COST_WIDE, COST_JOIN = 1.0, 0.1, 3.0
 
 ALPHABET = " abcdefghijklmnopqrstuvwxyz?"  # border, letters, any other letter
-SIZE = len(ALPHABET)
-SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€.\-_*~'^`/,]+[^\W\d_]|(?<![^\W_])[0-9@$!|+(€][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!]$")
+SIZE, ORDER = len(ALPHABET), 4
+SIGNS = re.escape("".join(LOOKALIKES))
+#: Signs between letters, before a letter, or behind one; a letter three times in a row; letters of two scripts.
+SUSPECT = re.compile(rf"[^\W\d_][{SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|(?<![^\W_])[{SIGNS}]+[^\W\d_]|[^\W\d_][{SIGNS}]+$|[a-z][{''.join(SCRIPTS)}]|[{''.join(SCRIPTS)}][a-z]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\S)")
+SPACED = re.compile(rf"(?<![^\W_])[{SIGNS}]?(?:(?<![^\W\d_])[^\W_]|(?<!\w)[@$])(?:[ .\-_*]{{1,3}}(?:[^\W_]|[@$!|+])(?![^\W_])){{2,}}")
+ONE = re.compile(r"([ .\-_*]*)([^ .\-_*])")
+PLAIN = re.compile(r"\d+(?:[.,:/\-]\d+)*")
 
 
 def _symbol(code: int) -> int:
@@ -64,76 +80,134 @@ SYMBOLS = np.array([_symbol(c) for c in range(0x250)], dtype=np.int64)
 
 
 def symbols(text: str) -> np.ndarray:
-    code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return np.where(code < 0x250, SYMBOLS[np.minimum(code, 0x24F)], SIZE - 1)
 
 
+def symbol(letter: str) -> int:
+    return int(SYMBOLS[ord(letter)]) if ord(letter) < 0x250 else SIZE - 1
+
+
 def language_counts(docs: DataFrame) -> np.ndarray:
-    """Character trigram counts over all documents, as a SIZE x SIZE x SIZE array."""
+    """Character 4-gram counts over all documents, as an array of SIZE in each of four directions."""
+    stretch = 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**3, dtype=np.int64)
+        total = np.zeros(SIZE**ORDER, dtype=np.int64)
+        held: list[str] = []
+        size = 0
+
+        def add() -> None:
+            s = symbols(f"   {'   '.join(held)} ")  # every text begins behind three borders
+            total[:] += np.bincount(((s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]) * SIZE + s[3:], minlength=SIZE**ORDER)
+
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                for at in range(0, len(text), 1 << 18):
-                    s = symbols(f"  {text[at : at + (1 << 18)]} ")
-                    total += np.bincount((s[:-2] * SIZE + s[1:-1]) * SIZE + s[2:], minlength=SIZE**3)
+                for at in range(0, len(text), stretch):
+                    held.append(text[at : at + stretch])
+                    size += len(held[-1])
+                    if size >= stretch:
+                        add()
+                        held, size = [], 0
+        if held:
+            add()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
     rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    total = np.zeros(SIZE**3)
-    for row in rows.collect():  # one row per trigram: SIZE^3 at most
-        total[row["gram"]] = row["n"]
-    return total.reshape(SIZE, SIZE, SIZE)
+    total = np.zeros(SIZE**ORDER)
+    found = rows.toArrow()  # one row per 4-gram: SIZE^4 at most
+    total[found["gram"].to_numpy()] = found["n"].to_numpy()
+    return total.reshape((SIZE,) * ORDER)
 
 
 def language_costs(counts: np.ndarray) -> np.ndarray:
-    """Negative log probability of a letter after two: trigrams backed off to bigrams, smoothed."""
-    two = counts.sum(axis=0)
+    """Negative log probability of a letter after three: each order backed off to the one below, smoothed."""
+    three = counts.sum(axis=0)
+    two = three.sum(axis=0)
     p2 = (two + 0.5) / (two.sum(axis=1, keepdims=True) + 0.5 * SIZE)
-    p3 = (counts + 5 * p2[None]) / (counts.sum(axis=2, keepdims=True) + 5)
-    return -np.log(p3)
+    p3 = (three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5)
+    p4 = (counts + 5 * p3[None]) / (counts.sum(axis=3, keepdims=True) + 5)
+    return -np.log(p4).astype(np.float32)
+
+
+def readings(ch: str, before: str, after: str) -> list[tuple[str, float]]:
+    """What one character may stand for between its neighbours: (letter or nothing, channel cost)."""
+    if ch.isalpha():
+        reads = [(ch, 0.0)]
+        if ch in SCRIPTS:
+            reads = [(SCRIPTS[ch], 0.0), (ch, COST_SCRIPT)]
+        if before[-1:] == ch and (before == ch * 2 or after == ch):
+            reads.append(("", COST_REPEAT))
+        return reads
+    return [*((x, COST_SIGN) for x in LOOKALIKES.get(ch, "")), ("", COST_REPEAT if ch in SEPARATORS else COST_DROP)]
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """Per character its readings: (letter or nothing, channel cost)."""
-    out = []
-    for i, ch in enumerate(word):
-        if ch.isalpha():
-            reads = [(ch, 0.0)]
-            if i and word[i - 1] == ch and (word[i - 2 : i] == ch * 2 or word[i + 1 : i + 2] == ch):
-                reads.append(("", COST_REPEAT))
-        else:
-            reads = [(x, COST_SIGN) for x in LOOKALIKES.get(ch, "")]
-            reads.append(("", COST_REPEAT if ch in SEPARATORS else COST_DROP))
-        out.append(reads)
+    """Per character its readings."""
+    return [readings(ch, word[max(0, i - 2) : i], word[i + 1 : i + 2]) for i, ch in enumerate(word)]
+
+
+def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """Per letter of a spaced run its readings, and between letters a border or none."""
+    out: list[list[tuple[str, float]]] = []
+    found = ONE.findall(run)
+    for k, (gap, ch) in enumerate(found):
+        if k:
+            wide = len(gap) > 1
+            out.append([(" ", COST_WIDE if wide else COST_BORDER), ("", COST_JOIN if wide else 0.0)])
+        before, after = "".join(c for _, c in found[max(0, k - 2) : k]), found[k + 1][1] if k + 1 < len(found) else ""
+        reads = readings(ch, before, after)
+        out.append(reads if len(reads) > 1 or reads[0][0] else [(ch, 0.0)])
     return out
 
 
-def restore(word: str, costs: list) -> str:
-    """The most probable plain word behind a disguised one (Viterbi over the last two letters)."""
-    states = {(0, 0): (0.0, "")}
-    for reads in lattice(word[:LONGEST]):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, made) in states.items():
+def decode(steps: list[list[tuple[str, float]]], costs: np.ndarray) -> str:
+    """The most probable text through a lattice (Viterbi over the last three letters)."""
+    states: dict[tuple[int, int, int], tuple[float, int]] = {(0, 0, 0): (0.0, -1)}
+    links: list[tuple[int, str]] = []  # (link before, letter): the paths, shared
+    for reads in steps:
+        after: dict[tuple[int, int, int], tuple[float, int, str]] = {}
+        for (a, b, c), (cost, link) in states.items():
             for letter, channel in reads:
-                if letter:
-                    s = int(SYMBOLS[ord(letter)]) if ord(letter) < 0x250 else SIZE - 1
-                    key, value = (b, s), (cost + channel + costs[a][b][s], made + letter)
+                if letter == " ":
+                    key, value = (b, c, 0), (cost + channel + float(costs[a, b, c, 0]), link, letter)
+                elif letter:
+                    s = symbol(letter)
+                    key, value = (b, c, s), (cost + channel + float(costs[a, b, c, s]), link, letter)
                 else:
-                    key, value = (a, b), (cost + channel, made)
+                    key, value = (a, b, c), (cost + channel, link, letter)
                 if key not in after or value < after[key]:
                     after[key] = value
-        states = after
-    return min((cost + costs[a][b][0], made) for (a, b), (cost, made) in states.items())[1]
+        states = {}
+        for key, (cost, link, letter) in after.items():
+            if letter:
+                links.append((link, letter))
+                link = len(links) - 1
+            states[key] = (cost, link)
+    _, link = min((cost + float(costs[a, b, c, 0]), link) for (a, b, c), (cost, link) in states.items())
+    made = []
+    while link >= 0:
+        link, letter = links[link]
+        made.append(letter)
+    return "".join(reversed(made))
+
+
+def restore(word: str, costs: np.ndarray) -> str:
+    """The most probable plain word behind a disguised one."""
+    return decode(lattice(word), costs)
+
+
+def restore_spaced(run: str, costs: np.ndarray) -> list[str]:
+    """The words behind letters that are spaced out."""
+    return decode(spaced_lattice(run), costs).split()
 
 
 class Words:
     """The different words of a text, restored; restorations are remembered, a bounded number of them."""
 
     def __init__(self, costs: np.ndarray):
-        self.costs, self.known = costs.tolist(), {}
+        self.costs, self.known = costs, {}
 
     def restored(self, word: str) -> str:
         if word not in self.known:
@@ -144,17 +218,25 @@ class Words:
 
     def of(self, text: str) -> set[str]:
         text = text.lower()
+        if not text.isascii():
+            text = text.translate(UNSEEN)
         raw = set(text.split())
         words = {w.strip(EDGES) for w in raw}
         for w in raw:
-            if not w.isalpha() and len(w) <= LONGEST and SUSPECT.search(core := w.strip(".,;:?\"'()")):
-                words.add(self.restored(core))
+            if not (w.isascii() and w.isalpha()):
+                core = w.strip(".,;:?\"')]}")
+                if SUSPECT.search(core) and not PLAIN.fullmatch(core):
+                    words.add(self.restored(core))
+                    if core[-1:] in "!(" or core[:1] == "(":  # signs of a sentence as often as of a letter
+                        words.add(self.restored(core.strip("!(")))
         if TRIPLE.search(text):
-            words.update(self.restored(w) for w in list(words) if len(w) <= LONGEST and TRIPLE.search(w))
+            words.update(self.restored(w) for w in list(words) if TRIPLE.search(w))
         for m in SPACED.finditer(text):
-            letters = re.sub(r"[ .\-_*]", "", m[0])
-            for at in range(0, len(letters), LONGEST):
-                words.add(self.restored(letters[at : at + LONGEST]))
+            if not any(c.isalpha() for c in m[0]):
+                continue
+            found = restore_spaced(m[0], self.costs)
+            words.update(found)
+            words.update(a + b for a, b in zip(found, found[1:]))
         words.discard("")
         return words
 
@@ -201,7 +283,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     sure = odds - 1.5 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     table = table.withColumn("sure", sure).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("sure") > LEAST_ODDS))
-    chosen = [r["feature"] for r in table.orderBy(F.desc("sure"), "feature").limit(FEATURES).select("feature").collect()]
+    # each is in LEAST_DOCS of the sampled rows at least, so the sample bounds their number
+    chosen = sorted(r["feature"] for r in table.select("feature").collect())
     at = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(chosen)})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,4 +364,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below one half. Columns stay as they are."""
-    return scored(docs, train(docs, labels), "_toxicity").filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+    score = spare_name(docs, "score")
+    return scored(docs, train(docs, labels), score).filter(F.col(score) < 0.5).select(*docs.columns)

@@ -47,3 +47,27 @@ def test_hot_vector(spark):
     ids, x = (np.array(c) for c in zip(*[(r["vec_id"], r["embedding"]) for r in df.collect()]))
     want = exact(ids, x, [60], 20)[60]
     assert len(first) == 20 and abs(first[0]["score"] - want[0][1]) < 1e-9
+
+
+def test_repeated_queries_and_widths(spark):
+    """A query row that is there twice asks once; vectors of two widths are searched apart; few rows in the best leaves do not shorten a list."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.9, 0.0]), (2, [0.8, 0.0]), (3, [0.7, 0.0]), (20, [1.0, 1.0, 1.0]), (5, [0.5, 0.5, 0.0])]
+    got = [tuple(r) for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").select("query_id", "rank", "vec_id").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (20, 1, 5)]
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 0.01, (1200, 4)) + [1, 0, 0, 0], rng.normal(0, 1, (7, 4)) + [0, 50, 0, 0]])
+    df = spark.createDataFrame([(20 * 60 - 1 + k if k >= 1200 else k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert all(r["count"] == 20 for r in ann.neighbours(df).groupBy("query_id").count().collect())
+
+
+def test_share_scanned(spark):
+    """Clustered vectors: far from all leaves are visited."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (40, 16))
+    x = np.repeat(centres, 50, axis=0) + rng.normal(0, 0.05, (2000, 16))
+    tree = ann.Tree(x)
+    leaf = tree.assign(x)
+    order = tree.visits(x[0], tree.leaves())
+    assert sorted(order) == sorted(i for i, k in enumerate(tree.children) if not len(k)) and leaf[0] in order[: tree.leaves() // 10]
+    near = tree.centres[order] @ x[0]
+    assert (np.diff(near) <= 1e-9).all()  # leaves come in the order of their own products

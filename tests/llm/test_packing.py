@@ -84,3 +84,28 @@ def test_documents(spark, sf, slow):
             at += p["length"]
         assert at <= 1024
     assert len(by_sequence) <= -(-sum(r["length"] for r in rows) // 1024) + 5
+
+
+def test_long_white_space():
+    """A million of white-space characters in a row, on which the fast encoder fails."""
+    e = packing.Encoder()
+    for text in (" " * 1_100_000, "\n" * 1_100_000, "a " + " \n" * 600_000 + "b"):
+        assert e.ids(text) == e.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_grouping_beats_plain_best_fit():
+    """On sizes where best fit alone wastes room the grouped configurations need fewer sequences, and never more."""
+    rng = np.random.default_rng(5)
+    for _ in range(4):
+        counts = np.bincount(rng.integers(150, 520, 20_000), minlength=packing.CAPACITY + 1)
+        plain = packing.Runs(packing.CAPACITY)
+        for size in range(packing.CAPACITY, 0, -1):
+            if counts[size]:
+                plain.best_fit(size, int(counts[size]))
+        runs = packing.plan(counts)
+        held = np.zeros_like(counts)
+        for sizes, n in runs:
+            assert sum(sizes) <= packing.CAPACITY
+            for s in sizes:
+                held[s] += n
+        assert (held == counts).all() and sum(n for _, n in runs) <= sum(n for _, n in plain.all())
