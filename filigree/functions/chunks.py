@@ -1,13 +1,15 @@
-"""Tokens, prefixes and packed chunks of long texts."""
+"""Tokens, prefixes, packed chunks of long texts and of tables, and their quality."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -15,24 +17,63 @@ TARGET, MOST, OVERLAP = 450, 700, 80
 SCHEMA = "doc long, ordinal int, first_token int, n_tokens int, chunk_id string, text string"
 
 
-def cut(units: list[int], target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(first token, end) of chunks over units of the given token counts.
+def tokens(text: str) -> Column:
+    """Runs of word characters, and other characters one by one."""
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s])"))
 
-    A chunk closes after the unit with which it reaches the target, or where it would pass the
-    limit; the next one starts ``overlap`` tokens back. A unit above the limit is cut.
+
+def prefix(section: Column, caption: Column | None = None, header: Column | None = None, unit: Column | None = None) -> Column:
+    """The lines before a chunk: its section, and for tables caption, header and unit."""
+    named = lambda name, x, none: F.concat(F.lit(f"{name}: "), F.when(F.coalesce(x, F.lit("")) == "", none).otherwise(x))
+    lines = [named("Section", F.array_join(section, " > "), "<root>")]
+    if caption is not None:
+        lines += [named("Caption", caption, "<none>"), named("Header", header, "<none>"), named("Unit", unit, "<none>")]
+    return F.concat_ws("\n", *lines)
+
+
+def quality(kind: Column, source_status: Column, table_status: Column | None = None) -> Column:
+    """Verified unless the source is a PDF or a parse did not succeed."""
+    good = (kind != "pdf") & (source_status == "success")
+    if table_status is not None:
+        good &= table_status == "success"
+    return F.when(F.coalesce(good, F.lit(False)), "verified").otherwise("unverified")
+
+
+def table_units(grid: DataFrame) -> DataFrame:
+    """C4: (page_id, table_no, header, row_index, text): the header is the distinct texts of the rows before the first with
+    data, the body the joined texts of every row from there on; tables without data have no row."""
+    key = ["page_id", "table_no"]
+    filled = grid.filter("text <> ''")
+    first = filled.filter("cell_kind = 'data'").groupBy(*key).agg(F.min("row_index").alias("first_row"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"])
+    place = F.struct("row_index", "column_index", "text")
+    met = filled.join(first, key)
+    header = met.filter("row_index < first_row").groupBy(*key).agg(F.array_join(F.array_distinct(ordered(place)), " | ").alias("header"))
+    body = met.filter("row_index >= first_row").groupBy(*key, "row_index").agg(F.array_join(ordered(F.struct("column_index", "text")), " | ").alias("text"))
+    return body.join(header, key, "left").select(*key, F.coalesce("header", F.lit("")).alias("header"), "row_index", "text")
+
+
+def cut(units: list[int], target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, before: int = 0) -> list[tuple[int, int]]:
+    """(first token, end) of chunks over units of the given token counts; ``before`` tokens of prefix count in every chunk.
+
+    Whole units are added while the chunk stays within the target; the unit that passes it still belongs to
+    the chunk if it fits the limit, else as much of it as fits, and the chunk ends. The next one starts
+    ``overlap`` tokens back.
     """
-    ends, total = [], 0
-    for n in units:
-        total += n
-        ends.append(total)
+    ends = list(accumulate(units))
+    total = ends[-1] if ends else 0
+    limit = most - before
+    if limit <= 0:
+        raise ValueError("the prefix leaves no room")
+    goal = min(limit, target - before) if target > before else limit
+    overlap = min(overlap, max(0, goal - 1))
     out, start, at = [], 0, 0
     while at < total:
-        limit = start + most
-        stop = next((e for e in ends if e > at and e - start >= target), total)
-        stop = min(stop, limit, total)
+        passing = bisect_right(ends, start + goal)  # the first unit that ends beyond the target
+        stop = min(ends[passing] if passing < len(ends) else total, start + limit, total)
         out.append((start, stop))
         at = stop
-        start = max(stop - overlap, start + 1)
+        start = stop - overlap
     return out
 
 

@@ -35,8 +35,9 @@ def year_columns(header: DataFrame) -> DataFrame:
     A term number counts back from the table's largest, which is the report's year; a cell
     without one may name a year itself.
     """
-    term = F.regexp_extract("text", r"제\s*(\d+)\s*기", 1).try_cast("int")
-    year = F.regexp_extract("text", r"(?<!\d)(20\d{2})(?!\d)", 1).try_cast("int")
+    term = F.regexp_extract(F.regexp_replace("text", r"\s+", ""), "제([0-9]+)기", 1).try_cast("int")
+    years = F.filter(F.regexp_extract_all("text", F.lit("([0-9]+)")), lambda n: (F.length(n) == 4) & n.startswith("20"))
+    year = F.get(years, F.lit(0)).try_cast("int")
     marked = header.withColumns({"_term": term, "_year": year})
     top = F.max("_term").over(Window.partitionBy("table_id"))
     marked = marked.withColumn("fiscal_year", F.coalesce(F.col("report_year") - (top - F.col("_term")), F.col("_year")))

@@ -125,6 +125,36 @@ def percentile_by_index(x: str, q: float) -> Column:
     return F.coalesce(F.element_at(values, F.least(F.floor(F.size(values) * q) + 1, F.size(values)).cast("int")), F.lit(0.0))
 
 
+def value_by_index(rows: DataFrame, group: str, x: str, q: float) -> DataFrame:
+    """A18 for groups of any size: per group the value at zero-based position int(q n), by counting equal values.
+
+    Equal values become one row in each task, so what a group's running count sorts is its different values.
+    """
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(group, x).agg(F.count("*").alias("_n"))
+    total = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.least(F.floor(F.col("_total") * q) + 1, F.col("_total"))
+    met = counts.withColumn("_upto", upto).join(total, group).filter(F.col("_upto") >= place)
+    return met.groupBy(group).agg(F.min(x).alias("value"))
+
+
+def percentile_nearest_rounded(x: str, q: float, places: int) -> Column:
+    """Nearest rank, rounded; null where there is nothing."""
+    return F.round(percentile_nearest(x, q), places)
+
+
+def percentile_mixed(x: str, q: float) -> Column:
+    """Nearest rank from 0.95 on, below it linear and rounded to two places; null where there is nothing."""
+    return percentile_nearest(x, q) if q >= 0.95 else F.round(F.percentile(x, q), 2)
+
+
+def equal_multisets(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
+    """U5 for keys of any size: whether two columns hold the same values equally often per key, by counts that cancel."""
+    both = rows.select(key, F.explode(F.array(F.struct(a.alias("v"), F.lit(1).alias("n")), F.struct(b.alias("v"), F.lit(-1).alias("n")))).alias("e"))
+    left = both.groupBy(key, "e.v").agg(F.sum("e.n").alias("n"))
+    return left.groupBy(key).agg(F.bool_and(F.col("n") == 0).alias("equal"))
+
+
 def disagreeing_groups(rows: DataFrame, group: str, signature: str) -> DataFrame:
     """Groups whose members do not share one signature."""
     return rows.groupBy(group).agg(F.count("*").alias("members"), F.countDistinct(signature).alias("signatures")).filter("signatures > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filigree.functions import chunks, text
 from filigree.operators import components, evaluation, quality, relational, retrieval
 from filigree.plans.registry import query
-from filigree.session import load_table, load_tables
+from filigree.session import load_table, load_tables, materialize
 from filigree.sources import markup
 from filigree.streaming import rates
 
@@ -103,7 +103,7 @@ query("r5_substring", "SELECT doc_id AS doc, CAST((length(lower(text)) - length(
   o AS (SELECT query, ranking, doc, min(rank) AS rank FROM r GROUP BY 1, 2, 3), f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM o GROUP BY 1, 2)
   SELECT query, doc, rrf, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY rrf DESC, doc) AS INT) AS rank FROM f) WHERE rank <= 5""")
 def fused(s: SparkSession, d: str) -> DataFrame:
-    a = bm(s, d).select("query", F.lit("a").alias("ranking"), "doc", "rank")
+    a = materialize(bm(s, d).select("query", F.lit("a").alias("ranking"), "doc", "rank"), "ranking")
     b = a.withColumns({"ranking": F.lit("b"), "rank": 11 - F.col("rank")})
     late = a.withColumns({"ranking": F.lit("b"), "rank": 5 + F.col("rank")})
     return retrieval.reciprocal_rank_fusion(a.unionByName(b).unionByName(late), 5)

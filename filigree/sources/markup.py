@@ -34,7 +34,7 @@ class Page(HTMLParser):
         if tag in SILENT:
             self.silent += 1
         elif tag == "table":
-            self.stack.append({"no": self.tables, "row": -1, "taken": set()})
+            self.stack.append({"no": self.tables, "row": -1, "taken": []})
             self.tables += 1
         elif tag == "tr" and self.stack:
             self.stack[-1]["row"] += 1
@@ -75,17 +75,25 @@ class Page(HTMLParser):
         return tag
 
     def place(self, tag: str, text: str, attrs: dict) -> None:
-        """The first free column of the row, and the places that the spans take."""
+        """The first free column of the row, and the places that the spans take, as (column, end column, end row)."""
         table = self.stack[-1]
         table["row"] = max(0, table["row"])
-        down, across = (max(1, min(1000, int(re.sub(r"\D", "", attrs.get(k) or "") or 1))) for k in ("rowspan", "colspan"))
+        down, across = span(attrs.get("rowspan")), span(attrs.get("colspan"))
         row, col = table["row"], 0
-        while (row, col) in table["taken"]:
-            col += 1
-        table["taken"].update((row + i, col + j) for i in range(down) for j in range(across))
+        table["taken"] = sorted(t for t in table["taken"] if t[2] > row)
+        for first, end, _ in table["taken"]:
+            if first <= col < end:
+                col = end
+        table["taken"].append((col, col + across, row + down))
         self.cells.append((table["no"], row, col, "header" if tag == "th" else "data", down, across, text))
 
 
+def span(value: str | None) -> int:
+    """A span as a whole number from 1 on; anything else counts as 1."""
+    bare = (value or "").strip()
+    return max(1, int(bare)) if bare.isascii() and bare.isdigit() and len(bare) < 10 else 1
+
+
 FRAGMENT = "page_id long, sequence_no int, fragment_type string, section_path string, text string"
 CELL = "page_id long, table_no int, row_index int, column_index int, cell_kind string, rowspan int, colspan int, text string"
 
@@ -137,18 +145,39 @@ def header_paths(grid: DataFrame) -> DataFrame:
     return met.groupBy(*key, "row_index", "column_index", "text").agg(path(above, "hr").alias("column_path"), path(left, "hc").alias("row_path"))
 
 
-def key_value_facts(grid: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
-    """Rows of two to six non-empty cells as (predicate, joined values)."""
+def key_value_facts(grid: DataFrame, least: int = 2, most: int = 6, longest: int = 120) -> DataFrame:
+    """Rows of two to six non-empty cells as (predicate, joined values); the predicate has 120 characters at most and is not the value."""
     rows = grid.filter("text <> ''").groupBy("page_id", "table_no", "row_index").agg(F.array_sort(F.collect_list(F.struct("column_index", "text"))).alias("c"))
     rows = rows.filter(F.size("c").between(least, most)).withColumn("t", F.transform("c", lambda x: x["text"]))
-    return rows.select("page_id", "table_no", "row_index", F.element_at("t", 1).alias("predicate"), F.array_join(F.slice("t", 2, most), " | ").alias("value"))
+    facts = rows.select("page_id", "table_no", "row_index", F.element_at("t", 1).alias("predicate"), F.array_join(F.slice("t", 2, most), " | ").alias("value"))
+    return facts.filter((F.length("predicate") <= longest) & (F.col("value") != "") & (F.col("predicate") != F.col("value")))
+
+
+def promote_labels(grid: DataFrame, periodic: bool = False) -> DataFrame:
+    """In documents that are not periodic the first filled cell of a row becomes its header, if it stands in column 0 and has
+    no digit, the row has two filled cells or more, and none of them is a header already."""
+    if periodic:
+        return grid
+    row = Window.partitionBy("page_id", "table_no", "row_index")
+    filled = F.col("text") != ""
+    first = F.min(F.when(filled, F.col("column_index"))).over(row) == F.col("column_index")
+    plain = (F.count_if(filled).over(row) >= 2) & ~F.coalesce(F.bool_or(filled & (F.col("cell_kind") == "header")).over(row), F.lit(False))
+    label = filled & first & (F.col("column_index") == 0) & plain & ~F.col("text").rlike(r"\p{Nd}")
+    return grid.withColumn("cell_kind", F.when(label, "header").otherwise(F.col("cell_kind")))
 
 
-def promote_labels(grid: DataFrame) -> DataFrame:
-    """The first cell of a row, if in column 0 and not a number, becomes its header."""
-    first = F.row_number().over(Window.partitionBy("page_id", "table_no", "row_index").orderBy("column_index"))
-    label = (first == 1) & (F.col("column_index") == 0) & ~F.col("text").rlike(r"^[\s\d.,()%△▲-]*$")
-    return grid.withColumn("cell_kind", F.when(label, "header").otherwise(F.col("cell_kind")))
+UNIT_SIGN = r"단위\s*[:：]?\s*\(?([^()\[\],]{1,20})"
+
+
+def unit_and_caption(blocks: DataFrame) -> DataFrame:
+    """(page_id, table_no, unit, caption) of tables. ``blocks`` (page_id, sequence_no, kind, table_no, declared_unit, text) are a page's
+    blocks in order; a table's unit is its own declared one, else named by one of the four blocks before it; its caption is the nearest of
+    the three before it that has text and is a paragraph or title."""
+    w = Window.partitionBy("page_id").orderBy("sequence_no")
+    named = lambda k: F.nullif(F.trim(F.regexp_extract(F.lag("text", k).over(w), UNIT_SIGN, 1)), F.lit(""))
+    titled = lambda k: F.when(F.lag("kind", k).over(w).isin("paragraph", "title", "heading"), F.nullif(F.substring(F.lag("text", k).over(w), 1, 500), F.lit("")))
+    made = blocks.withColumns({"unit": F.coalesce(F.nullif(F.trim("declared_unit"), F.lit("")), *[named(k) for k in range(1, 5)]), "caption": F.coalesce(*[titled(k) for k in range(1, 4)])})
+    return made.filter("kind = 'table'").select("page_id", "table_no", "unit", "caption")
 
 
 def sniff(content: Column) -> Column:
