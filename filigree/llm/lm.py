@@ -46,10 +46,10 @@ from pyspark.sql import types as T
 from filigree.llm.common import held_out, shuffle_partitions, texts_of
 from filigree.session import materialize
 
-CLASSES, MEMBERS, TABLE = 32, 64, 1 << 18
+CLASSES, MEMBERS, TABLE = 32, 32, 1 << 18
 #: Bounds of the buckets of the class softmax (per feature) and of the member softmax (token before, token two before).
 HASHED, BEFORE, SKIPPED = 1 << 13, 1 << 8, 1 << 7
-ROUNDS, BATCH, RATE = 2, 8192, 0.3
+ROUNDS, BATCH, RATE = 2, 1 << 13, 0.3
 END = b"\n"  # no word holds white space
 BLOCK_ROWS, TOKENS = 256, 1 << 15
 SLOTS = MEMBERS + 1
@@ -165,31 +165,32 @@ def first_weights(v: Vocabulary, of_class: np.ndarray) -> tuple[np.ndarray, np.n
     return classes, members
 
 
-def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Probabilities for each row of features (the sum of its rows of weights)."""
-    z = weights[rows[:, 0]]
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each row of features the sum of its rows of weights, less its largest cell."""
+    z = np.take(weights, rows[:, 0], axis=0)
     for column in range(1, rows.shape[1]):
-        z += weights[rows[:, column]]
+        z += np.take(weights, rows[:, column], axis=0)
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
 def learn_batch(weights: np.ndarray, speed: np.ndarray, uses: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step of a softmax on a mini-batch, in place."""
-    z = softmax(weights, rows)
-    z[np.arange(len(z)), target] -= 1
+    z = logits(weights, rows)
+    np.exp(z, out=z)
+    z *= (1 / (len(z) * z.sum(axis=1)))[:, None]
+    z[np.arange(len(z)), target] -= np.float32(1 / len(z))
     for column in range(rows.shape[1]):
         key = rows[:, column].astype(np.uint16)  # fewer than 2^16 rows: sorted by digits
         order = np.argsort(key, kind="stable")
         sorted_ = key[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        slope = np.add.reduceat(z[order], first, axis=0) / len(z)
+        slope = z.sum(axis=0, keepdims=True) if len(first) == 1 else np.add.reduceat(np.take(z, order, axis=0), first, axis=0)
         at = sorted_[first].astype(np.int64)
-        speed[at] += (slope**2).sum(axis=1)
+        speed[at] += np.einsum("ij,ij->i", slope, slope)
         uses[at] += np.diff(np.append(first, len(key)))
-        weights[at] -= RATE * slope / np.sqrt(speed[at] + 1e-10)[:, None]
+        slope *= (-RATE / np.sqrt(speed[at] + np.float32(1e-10)))[:, None]
+        weights[at] += slope
 
 
 SUMMED = "what string, at long, uses binary, cells binary"
@@ -299,9 +300,12 @@ def log_probabilities(e: Encoded, classes: np.ndarray, members: np.ndarray) -> n
     out = np.empty(len(e.kind))
     for at in range(0, len(out), BATCH):
         part = slice(at, at + BATCH)
-        n = np.arange(len(e.kind[part]))
-        p = softmax(classes, e.class_rows[part])[n, e.kind[part]].astype(float) * softmax(members, e.member_rows[part])[n, e.slot[part]]
-        out[part] = np.log(np.maximum(p, 1e-300))
+        out[part] = 0.0
+        for weights, rows, target in ((classes, e.class_rows[part], e.kind[part]), (members, e.member_rows[part], e.slot[part])):
+            z = logits(weights, rows)
+            out[part] += z[np.arange(len(z)), target]
+            np.exp(z, out=z)
+            out[part] -= np.log(z.sum(axis=1, dtype=float))
     return out
 
 
