@@ -62,8 +62,11 @@ SIZE, ORDER = len(ALPHABET), 4
 SIGNS = re.escape("".join(LOOKALIKES))
 #: Signs between letters, before a letter, or behind one; a letter three times in a row; letters of two scripts.
 SUSPECT = re.compile(rf"[^\W\d_][{SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|(?<![^\W_])[{SIGNS}]+[^\W\d_]|[^\W\d_][{SIGNS}]+$|[a-z][{''.join(SCRIPTS)}]|[{''.join(SCRIPTS)}][a-z]")
+FOREIGN = re.compile(f"[{''.join(SCRIPTS)}]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(rf"(?<![^\W_])[{SIGNS}]?(?:(?<![^\W\d_])[^\W_]|(?<!\w)[@$])(?:[ .\-_*]{{1,3}}(?:[^\W_]|[@$!|+])(?![^\W_])){{2,}}")
+#: What every spaced run holds: a sign or letter alone between gaps.
+ALONE = re.compile(r"[ .\-_*][^\W_][ .\-_*]|[ .\-_*][@$!|+][ .\-_*]")
 ONE = re.compile(r"([ .\-_*]*)([^ .\-_*])")
 PLAIN = re.compile(r"\d+(?:[.,:/\-]\d+)*")
 
@@ -225,13 +228,15 @@ class Words:
         for w in raw:
             if not (w.isascii() and w.isalpha()):
                 core = w.strip(".,;:?\"')]}")
+                if core.isalpha() and (core.isascii() or not FOREIGN.search(core)):
+                    continue
                 if SUSPECT.search(core) and not PLAIN.fullmatch(core):
                     words.add(self.restored(core))
                     if core[-1:] in "!(" or core[:1] == "(":  # signs of a sentence as often as of a letter
                         words.add(self.restored(core.strip("!(")))
         if TRIPLE.search(text):
             words.update(self.restored(w) for w in list(words) if TRIPLE.search(w))
-        for m in SPACED.finditer(text):
+        for m in SPACED.finditer(text) if ALONE.search(text) else ():
             if not any(c.isalpha() for c in m[0]):
                 continue
             found = restore_spaced(m[0], self.costs)
