@@ -35,7 +35,7 @@ SIGNS = re.compile(r"[^\w\s]{2,}")
 CLASSES = {"letter": r"[A-Za-z\x80-\xff]", "upper": r"[A-Z]", "digit": r"[0-9]", "space": r"[ \t]", "line": r"\n", "shout": r"!", "sign": r"[$%&*#@^~=+|<>{}\[\]_/\\]"}
 BYTE_CLASS = np.array([[bool(re.match(p, chr(b))) for p in CLASSES.values()] for b in range(256)], dtype=float)
 WIDTH = 8 + len(CLASSES)
-FLOOR, ROUNDS, RIDGE = 0.7, 14, 1e-3
+FLOOR, ROUNDS, RIDGE = 0.75, 14, 0.02
 #: The share of the commonest word is drawn to this one as by so many words, so that it means as much in short texts as in long ones.
 PRIOR_SHARE, PRIOR_WORDS = 0.04, 20
 #: A text of so many words counts half.
