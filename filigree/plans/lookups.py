@@ -69,7 +69,7 @@ query("x21_won_amounts", "SELECT o_orderkey, CAST(floor(o_totalprice / 10000) *
         text.amounts(F.concat(F.year("o_orderdate").cast("string"), F.lit("년 12% "), F.format_number(F.floor(F.col("o_totalprice") / 10000), 0), F.lit("만 그리고 "), (F.col("o_orderkey") % 7 + 1000).cast("string"), F.lit("원"))).alias("a"),
     ).select("o_orderkey", (F.col("a")[0] + F.col("a")[1]).cast("decimal(28,4)").alias("first_amount"), F.size("a").alias("n"))
 )
-query("g_threshold", "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN CAST(round(s_acctbal, 2) AS DECIMAL(18,2)) * 100000000 END AS least FROM supplier")(
+query("g_threshold", "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN CAST(CAST(round(s_acctbal, 2) AS DECIMAL(18,2)) * 100000000 AS DECIMAL(38,4)) END AS least FROM supplier")(
     lambda s, d: load_table(s, d, "supplier").select("s_suppkey", text.threshold(F.concat(F.lit("매출 "), F.when(F.col("s_acctbal") >= 0, F.round("s_acctbal", 2).cast("decimal(18,2)").cast("string")).otherwise("많이"), F.lit("억원 이상인 회사"))).alias("least"))
 )
 query("g_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS at, last_day(CAST(o_orderdate AS DATE)) AS month_end FROM orders")(
@@ -116,7 +116,7 @@ def table_pages(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit("<p>단위: 천원</p><table><tr><th colspan=2>Items</th></tr>"), body, F.lit("</table>")).alias("html"))
 
 
-query("s7_order_cells", f"""WITH r AS ({_ROWS}) SELECT page_id, CAST(r AS INT) AS row_index, 0 AS column_index, 'data' AS cell_kind, l_shipinstruct AS text FROM r UNION ALL SELECT page_id, r, 1, 'data', q FROM r UNION ALL SELECT DISTINCT page_id, 0, 0, 'header', 'Items' FROM r""")(
+query("s7_order_cells", f"""WITH r AS ({_ROWS}) SELECT page_id, CAST(r AS INT) AS row_index, 0 AS column_index, 'data' AS cell_kind, l_shipinstruct AS text FROM r UNION ALL SELECT page_id, CAST(r AS INT), 1, 'data', q FROM r UNION ALL SELECT DISTINCT page_id, 0, 0, 'header', 'Items' FROM r""")(
     lambda s, d: markup.cells(table_pages(s, d)).select("page_id", "row_index", "column_index", "cell_kind", "text")
 )
 query("s8_order_header_paths", f"WITH r AS ({_ROWS}) SELECT page_id, CAST(r AS INT) AS row_index, c AS column_index, 'Items' AS column_path FROM r, (VALUES (0), (1)) t(c)")(

@@ -242,7 +242,7 @@ def metamorphic(x: Frames) -> DataFrame:
     return A.metamorphic_differences(ids(1), ids(2), "filing_id", ["line", "flag", "value"], "ids").withColumn("differences", F.array_join("differences", ","))
 
 
-query("e11_suite_summary", """SELECT count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS failed, round(avg(quality), 6) AS quality, sum(toxic) AS toxic, 'PARTIAL' AS status, CASE WHEN sum(toxic) > 0 THEN 'toxic,case_failures' ELSE '' END AS reasons, FALSE AS hard_gate_passed FROM labels""")(
+query("e11_suite_summary", """SELECT count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS failed, round(avg(quality), 6) AS quality, CAST(sum(toxic) AS BIGINT) AS toxic, 'PARTIAL' AS status, CASE WHEN sum(toxic) > 0 THEN 'toxic,case_failures' ELSE '' END AS reasons, FALSE AS hard_gate_passed FROM labels""")(
     lambda s, d: A.suite_summary(load_table(s, d, "labels").withColumn("passed", F.col("toxic") != 1), 600_000, ["quality"], ["toxic"]).withColumn("quality", F.round("quality", 6))
 )
 query("q1_expected_counts", """SELECT coalesce(a.k, b.k) AS k, coalesce(e, 0) AS expected, coalesce(n, 0) AS found FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k, CAST(round(abs(c_acctbal) / 500) AS BIGINT) AS e FROM customer) b USING (k) WHERE coalesce(e, 0) <> coalesce(n, 0)""")(
