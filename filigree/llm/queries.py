@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filigree.llm import ann, fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, toxicity
+from filigree.llm import ann, fingerprint, langid, lm, mixing, packing, quality, search, sharding, simhash, toxicity, turns, turns_sql
 from filigree.session import load_table
 
 
@@ -50,11 +50,19 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(load_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(load_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash, op2_packing, op3_sharding, op4_fingerprint, op5_mixing, op6_language, op7_toxicity, op8_quality, op9_neighbours, op10_language_model)
+    made = (op1_simhash, op2_packing, op3_sharding, op4_fingerprint, op5_mixing, op6_language, op7_toxicity, op8_quality, op9_neighbours, op10_language_model, op11_lexical_search, op13_conversation_repair)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be written in SQL; tests/llm holds each against a brute-force version."""
-    return {}
+    """Two can be written in SQL; tests/llm holds the others against brute-force versions."""
+    return {"op11_lexical_search": search.SQL, "op13_conversation_repair": turns_sql.SQL}
