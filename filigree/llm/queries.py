@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filigree.llm import ann, fingerprint, langid, lm, mixing, packing, quality, search, sharding, simhash, toxicity, turns, turns_sql
+from filigree.llm import ann, fingerprint, langid, lm, mixing, packing, pii, quality, search, sharding, simhash, toxicity, turns, turns_sql
 from filigree.session import load_table
 
 
@@ -54,12 +54,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_search(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(load_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(load_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash, op2_packing, op3_sharding, op4_fingerprint, op5_mixing, op6_language, op7_toxicity, op8_quality, op9_neighbours, op10_language_model, op11_lexical_search, op13_conversation_repair)
+    made = (op1_simhash, op2_packing, op3_sharding, op4_fingerprint, op5_mixing, op6_language, op7_toxicity, op8_quality, op9_neighbours, op10_language_model, op11_lexical_search, op12_personal_data, op13_conversation_repair)
     return {f.__name__: f for f in made}
 
 
