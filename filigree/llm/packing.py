@@ -49,8 +49,8 @@ CAPACITY, END_ID = 1024, 2
 #: Groups of large sizes; borders between small and large, as parts of the capacity.
 GROUPS, SHARES = 64, (2, 3, 4)
 SPECIAL, SAFE_BELOW = "<|endoftext|>", "԰"
-RUN = 100_000
-LONG_RUN = re.compile(r"\s{%d}" % RUN)
+RUN, BUCKET_ROWS = 100_000, 100_000
+BLANKS = re.compile(r"\s+")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -75,7 +75,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if SPECIAL not in text and (text.isascii() or max(text) < SAFE_BELOW) and not (len(text) >= RUN and LONG_RUN.search(text)):
+        if SPECIAL not in text and (text.isascii() or max(text) < SAFE_BELOW) and longest_run(text) < RUN:
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as error:  # a panic of the library is no Exception
@@ -84,6 +84,13 @@ class Encoder:
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
+def longest_run(text: str) -> int:
+    """The longest run of white space, if it may have ``RUN`` characters; one pass, as each run is met once."""
+    if len(text) < RUN:
+        return 0
+    return max((m.end() - m.start() for m in BLANKS.finditer(text)), default=0)
+
+
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids; the first takes what is over."""
     first = n if n <= capacity else n % capacity or capacity
@@ -261,17 +268,19 @@ def slots(runs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ids_crc32, …) with sequence_id and offset added."""
+    """``pieces`` (doc_id, piece, length, ids_crc32, …), a written table, with sequence_id and offset added."""
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # one row per size: capacity at most
         counts[row["length"]] = row["count"]
-    runs = max(1, shuffle_partitions(pieces))
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(runs)))
+    # equal pieces differ in their row number, so no bucket holds all copies of one
+    runs = max(shuffle_partitions(pieces), int(counts.sum()) // BUCKET_ROWS + 1)
+    salted = pieces.withColumn("row", F.monotonically_increasing_id())
+    salted = salted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(runs)))
     totals = salted.groupBy("length", "bucket").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "row"))
     ranked = salted.withColumn("within", within).join(totals, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     table = spark.createDataFrame(slots(plan(counts, capacity)) or [(0, 0, 0, 0, 0)], "length long, low long, high long, first long, offset long")
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (ranked["rank"] >= table["low"]) & (ranked["rank"] < table["high"]))

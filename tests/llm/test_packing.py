@@ -7,9 +7,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from filigree.llm import packing
+from filigree.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +111,27 @@ def test_grouping_beats_plain_best_fit():
             for s in sizes:
                 held[s] += n
         assert (held == counts).all() and sum(n for _, n in runs) <= sum(n for _, n in plain.all())
+
+
+def test_runs_below_the_limit():
+    """Runs of white space just below the limit, and half of it, cost their length."""
+    import time
+
+    encoder = packing.Encoder()
+    for run, times in ((99_999, 3), (50_000, 20), (1, 300_000)):
+        text = (" " * run + "x") * times
+        start = time.time()
+        assert packing.longest_run(text) == run
+        assert time.time() - start < 2
+        ids = encoder.ids(text)
+        assert time.time() - start < 20
+        assert encoder.slow.decode(ids, skip_special_tokens=False) == text
+
+
+def test_equal_rows_without_ids(spark):
+    """A third of a million equal pieces are dealt over many buckets, and every place is used once."""
+    rows = spark.range(330_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    placed = packing.pack_pieces(materialize(rows, "pieces"))
+    per = placed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("places"), F.max("offset").alias("last"))
+    assert per.filter("n <> places or last <> 100 * (n - 1)").count() == 0 and placed.count() == 330_000
+    assert per.count() == 33_000
