@@ -13,8 +13,10 @@ at a time, along the null space of the balancing constraints (their number and t
 one of them is 0 or 1. Blocks of a source, salted by size, fly apart in parallel (large sizes
 first); each leaves two open cells at most and ``SPARE`` of all sizes, and those fly again in fewer
 blocks until a source fits one block. There the landing decides the last ones so that its tokens
-come nearest to its target. Which documents of a cell are taken goes by the hash of the document,
-counted in salted buckets, so a cell that holds a third of all rows is many tasks' work.
+come nearest to its target. Which documents of a cell are taken goes by the hash of id and text (``mark``), counted in ``SALTS``
+buckets, so a cell that holds a third of all rows is many tasks' work. Rows of one mark count as one
+with a number; only at the one mark that a bucket's quota cuts do row numbers tell its equal rows apart. So the
+mix does not depend on splits, cores or shuffle partitions.
 
 Random directions come from the hash of the block, so reruns agree.
 
@@ -30,12 +32,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.common import shuffle_partitions, word_count
+from filigree.llm.common import word_count
 from filigree.operators.ordering import numbered
 from filigree.session import materialize, spare_name
 
 CEILING, BLOCK_ROWS, SPARE, SEED = 3, 8192, 64, 20240229
 
+#: Buckets of a cell; equal rows that one window numbers.
+SALTS, PART = 256, 100_000
+
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = CEILING) -> DataFrame:
     """(src, source_size, target, whole, prob) of a table (src, total) of sources; ``src`` sorts as the order of sources.
@@ -167,13 +172,12 @@ def source_key(source: Column) -> Column:
 
 
 def take(marked: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """A table (rid, doc_id, source, size) with source_size, target and copies added."""
-    salts = 4 * shuffle_partitions(marked)
+    """A written table (rid, mark, doc_id, source, size) with source_size, target and copies added."""
     rows = marked.withColumn("src", source_key(F.col("source")))
     goal = materialize(targets(rows.groupBy("src").agg(F.sum("size").alias("total"))), "targets")
     # rows that are alike to every constraint become one in each task before anything moves
-    buckets = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(salts)))
-    counts = materialize(buckets.groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "cells")
+    units = materialize(rows.groupBy("src", "size", "mark").agg(F.count("*").alias("n")).withColumn("salt", F.pmod("mark", F.lit(SALTS))), "units")
+    counts = materialize(units.groupBy("src", "size", "salt").agg(F.sum("n").alias("n")), "cells")
     cells = counts.groupBy("src", "size").agg(F.sum("n").alias("n")).join(goal.select("src", "prob"), "src").withColumn("want", F.col("n") * F.col("prob"))
     # a product that is whole but for rounding is whole
     sure = F.when(F.abs(F.col("want") - F.round("want")) < 1e-7, F.round("want")).otherwise(F.floor("want"))
@@ -184,14 +188,26 @@ def take(marked: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     # of each bucket the first so many in the order of the documents' hashes
     quota = counts.withColumn("before", before).join(number, ["src", "size"]).join(goal, "src")
     quota = quota.withColumn("quota", F.greatest(F.lit(0), F.least("n", F.col("number") - F.col("before")))).drop("n", "before", "number")
-    place = F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy(F.xxhash64("doc_id"), "rid"))
-    dealt = buckets.withColumn("place", place).join(quota, ["src", "size", "salt"])
-    return dealt.withColumn("copies", F.col("whole") + (F.col("place") <= F.col("quota")).cast("int")).drop("src", "salt", "place", "quota", "whole", "prob")
+    upto = F.sum("n").over(Window.partitionBy("src", "size", "salt").orderBy("mark"))
+    units = units.withColumn("upto", upto).join(quota, ["src", "size", "salt"])
+    more = F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("upto") + F.col("n")))
+    units = materialize(units.select("src", "size", "mark", "n", more.alias("more"), "source_size", "target", "whole"), "taken-units")
+    keys = ["src", "size", "mark"]
+    settled = rows.join(units.filter("more = 0 or more = n"), keys).withColumn("copies", F.col("whole") + (F.col("more") > 0).cast("int"))
+    # of the equal rows at a border any will do: the first by row number, numbered in parts
+    border = rows.join(units.filter("more > 0 and more < n"), keys).withColumn("part", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / PART)))
+    parts = border.groupBy(*keys, "part").agg(F.count("*").alias("m"))
+    parts = parts.select(*keys, "part", (F.sum("m").over(Window.partitionBy(*keys).orderBy("part")) - F.col("m")).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("rid"))
+    border = border.withColumn("within", within).join(parts, [*keys, "part"])
+    border = border.withColumn("copies", F.col("whole") + (F.col("before") + F.col("within") <= F.col("more")).cast("int"))
+    names = [*marked.columns, "source_size", "target", "copies"]
+    return settled.select(*names).unionByName(border.select(*names))
 
 
 def mix_report(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every document."""
-    marked = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    marked = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark"))
     marked = materialize(marked.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     return take(marked, block_rows).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies")
@@ -200,8 +216,8 @@ def mix_report(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents of the mix: each as often as it is taken. Columns stay as they are."""
-    rid, size, copy = (spare_name(docs, x) for x in ("rid", "size", "copy"))
-    kept = materialize(docs.withColumns({size: word_count(F.col("text")), rid: F.monotonically_increasing_id()}), "mix")
-    marked = kept.select(F.col(rid).alias("rid"), "doc_id", "source", F.col(size).alias("size"))
+    rid, size, copy, mark = (spare_name(docs, x) for x in ("rid", "size", "copy", "mark"))
+    kept = materialize(docs.withColumns({size: word_count(F.col("text")), mark: F.xxhash64("doc_id", "text"), rid: F.monotonically_increasing_id()}), "mix")
+    marked = kept.select(F.col(rid).alias("rid"), "doc_id", "source", F.col(size).alias("size"), F.col(mark).alias("mark"))
     copies = take(marked, block_rows).filter("copies > 0").select(F.col("rid").alias(rid), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy))
     return kept.join(copies, rid).select(*docs.columns)

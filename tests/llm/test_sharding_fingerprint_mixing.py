@@ -207,3 +207,21 @@ def test_one_cell_and_rows_without_ids(spark):
     for r in shards:
         sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
     assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 3 * 19
+
+
+def test_mix_does_not_depend_on_splits(spark, tmp_path):
+    """The same documents are taken whatever the splits and the shuffle partitions, equal rows included."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.filter("doc_id % 7 = 0")).union(docs.filter("doc_id = 11").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("k"))
+    docs.repartition(6).write.parquet(f"{tmp_path}/docs")
+    seen = []
+    former = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for split, parts in (("128m", "4"), ("64k", "4"), ("128m", "13")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted(map(tuple, mixing.mix_report(spark.read.parquet(f"{tmp_path}/docs")).select("doc_id", "size", "taken").collect())))
+    finally:
+        for k, v in former.items():
+            spark.conf.set(k, v)
+    assert seen[0] == seen[1] == seen[2]
