@@ -1,7 +1,6 @@
 """Approximate nearest neighbours by a hierarchical k-means tree (operator 9).
 
-The tree is fitted on a documented, bounded sample (``SAMPLE`` vectors, those of the smallest hash of
-id) and broadcast; every row is indexed: it descends to its leaf. A query walks the tree best bin
+The tree is fitted on a documented, bounded sample (``SAMPLE`` rows, by hash of row number) and broadcast; every row is indexed: it descends to its leaf. A query walks the tree best bin
 first: a priority queue holds the nodes seen, a leaf at the inner product of the query with its centre,
 an inner node at the most that any leaf below it can have (its own product and its radius), so leaves
 come off the queue in the order of their own products.
@@ -21,7 +20,7 @@ The sample bounds the number of leaves, so beyond it the rows of a leaf grow wit
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
 part, nor do rows without an id. Vectors of different widths have no inner product: each width is a
-search of its own. Rows that repeat an id are candidates each, apart from the query's own id; as
+search of its own, those of at most ``SMALL`` rows all in one pass, each with a tree inside its group. Rows that repeat an id are candidates each, apart from the query's own id; as
 queries they count once, with the smallest of their vectors; ties go to the smaller id; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -43,6 +42,9 @@ from filigree.session import materialize
 SAMPLE, BRANCH, LEAF, CHUNK, PROBES, RECALL, SEED = 16_384, 8, 8, 8192, 256, 0.95, 7
 #: About so many groups of leaves.
 GROUPS = 64
+
+#: Rows up to which the vectors of one width, where there are several, are searched inside one group.
+SMALL = 4096
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -195,13 +197,12 @@ def brute_force(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k:
 
 
 def calibrate(tree: Tree, indexed: DataFrame, probes: list, k: int, recall: float) -> int:
-    """The least number of leaves whose visit finds the share ``recall`` of the probes' true neighbours."""
+    """The least number of leaves whose visit finds the share ``recall`` of the probes' true neighbours; ``vec_id`` tells rows apart."""
     if not probes:
         return 1
     ids, x = np.array([r["vec_id"] for r in probes]), np.array([r["vec"] for r in probes])
     truth = brute_force(indexed, ids, x, k)
-    leaf = indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf"))
-    truth = truth.join(leaf, "vec_id").select("query_id", "leaf").collect()  # probes x k rows at most
+    truth = truth.join(indexed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # probes x k rows at most
     order = {int(i): {node: n for n, node in enumerate(tree.visits(q, tree.leaves()))} for i, q in zip(ids, x)}
     place = np.sort([order[r["query_id"]][r["leaf"]] + 1 for r in truth])
     return int(place[max(0, int(np.ceil(recall * len(place))) - 1)]) if len(place) else 1
@@ -209,20 +210,41 @@ def calibrate(tree: Tree, indexed: DataFrame, probes: list, k: int, recall: floa
 
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, recall: float = RECALL, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` (a column of vec_id) holds for, its ``k`` nearest found."""
-    rows = materialize(valid(vectors), "vectors")
-    widths = [r["w"] for r in rows.select(F.size("vec").alias("w")).distinct().limit(1000).collect()]
-    if len(widths) == 1:
-        return search_width(rows, is_query, k, sample, recall, probes)
-    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    for w in sorted(widths):
-        out = out.unionByName(search_width(rows.filter(F.size("vec") == w), is_query, k, sample, recall, probes))
+    rows = materialize(valid(vectors).withColumns({"rid": F.monotonically_increasing_id(), "w": F.size("vec")}), "vectors")
+    widths = materialize(rows.groupBy("w").agg(F.count("*").alias("n")), "widths")
+    if widths.limit(2).count() == 1:
+        return search_width(rows.drop("w"), is_query, k, sample, recall, probes)
+    # widths of few rows have a tree each inside one group; the others, one per SMALL rows at most, one after the other
+    few = widths.filter(F.col("n") <= SMALL).select("w")
+    out = merge(rows.join(few, "w").withColumn("asks", is_query).groupBy("w").applyInPandas(search_few(k), FOUND), k)
+    for r in widths.filter(F.col("n") > SMALL).orderBy("w").toLocalIterator():
+        out = out.unionByName(search_width(rows.filter(F.col("w") == r["w"]).drop("w"), is_query, k, sample, recall, probes))
     return out
 
 
+def search_few(k: int):
+    """The search among the at most ``SMALL`` vectors of a width: one tree, whose leaves are all visited, as they hold so little."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, vec = rows["vec_id"].to_numpy(), np.stack(rows["vec"].to_numpy())
+        tree = Tree(vec)
+        leaf = tree.assign(vec)
+        asked = rows[rows["asks"].fillna(False).astype(bool)]
+        asked = asked.assign(order=asked["vec"].map(tuple)).sort_values(["vec_id", "order"]).drop_duplicates("vec_id")
+        if not len(asked):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        q = np.stack(asked["vec"].to_numpy())
+        visited = np.stack([np.isin(leaf, tree.visits(x, tree.leaves())) for x in q])
+        query, vec_id, score = best_of(asked["vec_id"].to_numpy(), q, ids, vec, k, visited)
+        return pd.DataFrame({"query_id": query, "vec_id": vec_id, "score": score}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
+
+
 def search_width(rows: DataFrame, is_query, k: int, sample: int, recall: float, probes: int) -> DataFrame:
     """The search among vectors (vec_id, vec) of one width, one at least."""
     spark = rows.sparkSession
-    fitted = bounded_sample(rows, "vec_id", sample).collect()
+    fitted = bounded_sample(rows, "rid", sample).collect()  # by row: few ids may share all rows
     tree = Tree(np.array([r["vec"] for r in fitted]))
     shared = spark.sparkContext.broadcast(vars(tree))
     per_group = max(1, -(-tree.leaves() // GROUPS))
@@ -232,12 +254,13 @@ def search_width(rows: DataFrame, is_query, k: int, sample: int, recall: float,
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.assign(vectors_of(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(tree.place[leaf] // per_group)], names=["vec_id", "vec", "leaf", "grp"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(tree.place[leaf] // per_group)], names=["vec_id", "vec", "rid", "leaf", "grp"])
 
-    indexed = materialize(rows.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf long, grp long"), "indexed")
+    indexed = materialize(rows.select("vec_id", "vec", "rid").mapInArrow(to_leaf, "vec_id long, vec array<double>, rid long, leaf long, grp long"), "indexed")
     # a repeated id asks once
-    chosen = materialize(indexed.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.count("*").alias("own")), "queries")
-    visits = calibrate(tree, indexed, bounded_sample(chosen, "vec_id", probes).collect(), k, recall)
+    chosen = materialize(indexed.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("vec", "rid")).alias("one"), F.count("*").alias("own")).select("vec_id", "one.vec", "own", "one.rid"), "queries")
+    by_row = indexed.select(F.col("rid").alias("vec_id"), "vec", "leaf")
+    visits = calibrate(tree, by_row, bounded_sample(chosen, "vec_id", probes).select(F.col("rid").alias("vec_id"), "vec").collect(), k, recall)
     sizes = np.zeros(len(tree.children), dtype=np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # one row per leaf of the fitted tree
         sizes[r["leaf"]] = r["count"]
@@ -262,7 +285,7 @@ def search_width(rows: DataFrame, is_query, k: int, sample: int, recall: float,
     parts = indexed.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     parts = F.broadcast(parts.join(asked.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("askers")), "grp"))  # GROUPS rows
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = indexed.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts")).cast("int")).withColumn("asker", up_to("askers")).select("grp", "part", "asker", "vec_id", "vec", "leaf")
+    mine = indexed.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).withColumn("asker", up_to("askers")).select("grp", "part", "asker", "vec_id", "vec", "leaf")
     theirs = asked.join(parts, "grp").withColumn("asker", F.pmod(F.xxhash64("query_id"), F.col("askers")).cast("int")).withColumn("part", up_to("parts")).select("grp", "part", "asker", "query_id", "q", "leaves")
 
     def block(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

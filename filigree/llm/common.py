@@ -27,10 +27,11 @@ def held_out(doc_id: Column, modulus: int, value: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` rows, never more: those with the smallest hash of ``key``.
+    """About ``most`` rows, never more: those with the smallest hash of ``key``, which tells rows apart.
 
     The hash border is set from the row count first, so that no task hands on more than its
-    share; a plain top-k would send ``most`` rows of every task to one place.
+    share; a plain top-k would send ``most`` rows of every task to one place. A key that repeats
+    would make the border miss: few values may all lie above it.
     """
     n = rows.count()
     cell = F.pmod(F.xxhash64(key), F.lit(1 << 30))

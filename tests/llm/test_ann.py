@@ -71,3 +71,33 @@ def test_share_scanned(spark):
     assert sorted(order) == sorted(i for i, k in enumerate(tree.children) if not len(k)) and leaf[0] in order[: tree.leaves() // 10]
     near = tree.centres[order] @ x[0]
     assert (np.diff(near) <= 1e-9).all()  # leaves come in the order of their own products
+
+
+def test_few_ids_over_many_rows(spark):
+    """Twenty thousand rows that share two ids are all indexed and searched."""
+    df = spark.range(20_000).select((20 + F.col("id") % 2).alias("vec_id"), F.array(F.cos("id"), F.sin("id"), F.cos(F.col("id") * 3)).alias("embedding"))
+    got = ann.neighbours(df).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 21)) and {(r["query_id"], r["vec_id"]) for r in got} == {(20, 21)}
+
+
+def test_repeated_ids_with_far_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 6))
+    df = spark.createDataFrame([(k % 500, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    ids, hits = np.arange(3000) % 500, 0
+    got = {}
+    for r in ann.neighbours(df).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    for q in range(0, 500, 20):
+        one = min(map(tuple, x[ids == q]))
+        best = np.sort(x[ids != q] @ np.array(one))[::-1][:20]
+        assert len(got[q]) == 20
+        hits += sum(any(abs(s - b) < 1e-9 for b in best) for s in got[q])
+    assert hits >= 0.9 * 20 * 25
+
+
+def test_many_widths(spark):
+    """Twelve hundred widths of three vectors each: none is dropped."""
+    df = spark.range(3600).select((F.col("id") * 20).alias("vec_id"), F.transform(F.sequence(F.lit(0), (F.col("id") / 3).cast("int")), lambda k: F.cos(F.col("id") + k)).alias("embedding"))
+    got = ann.neighbours(df).groupBy("query_id").count().collect()
+    assert len(got) == 3600 and {r["count"] for r in got} == {2}
