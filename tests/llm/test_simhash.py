@@ -154,3 +154,21 @@ def test_stage_long_postings_and_stars(spark):
     assert len(want) < 5
     for long in (8, 256):
         assert sorted(r["doc_id"] for r in simhash.dedup_alike(docs, long=long).collect()) == want
+
+
+def test_stage_near_threshold(spark):
+    """Groups of 30 texts of pairwise similarity 0.786 with one pair at 0.802: that pair is found in every group."""
+    rng = random.Random(9)
+    rows, want = [], 0
+    for g in range(20):
+        core = [f"g{g}c{k}" for k in range(92)]
+        for k in range(30):
+            tail = [f"g{g}t{k}x{j}" for j in range(12)]
+            if k in (3, 17):
+                tail[0] = f"g{g}shared"
+            rows.append((len(rows), " ".join(core + tail)))
+    rng.shuffle(rows)
+    want = plain_kept([r for r in rows if r[1].startswith("g0c")])
+    assert len(want) == 29
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.dedup_alike(docs).count() == 20 * 29
