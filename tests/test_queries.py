@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from filigree.plans import audit, corpus, evaldata, facts, filings, verification  # noqa: F401
+import __spark_entry__ as entry
 from filigree.plans.registry import QUERIES, SQL
 
 
@@ -17,13 +17,21 @@ def test_equals_sql(spark, sf, con, name):
     assert oracle.compare(QUERIES[name](spark, sf), con, SQL[name]) == ""
 
 
+#: The given pages hold no HTML tables; the queries named s*_order_* read tables that Spark writes of the orders.
+WITHOUT_TABLES = {"s7_cells", "s8_header_paths", "s9_promoted_labels", "s11_key_value_facts"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).collect() is not None
+    assert (QUERIES[name](spark, sf).count() > 0) == (name not in WITHOUT_TABLES)
 
 
-def test_entry(spark):
-    import __spark_entry__ as entry
+def test_every_query_is_tested(request):
+    """What the entry registers is what runs above, but for the queries of the subpackage, which tests/llm runs."""
+    names = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
+    assert names == set(QUERIES) and set(SQL) <= names
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
+
+def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(entry.oracle_sql()) <= set(entry.queries())
