@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.functions import chunks, text
-from filigree.operators import relational
+from filigree.operators import positions, relational
 from filigree.operators import retrieval as R
 from filigree.plans.registry import query
 from filigree.session import load_table
@@ -21,7 +21,9 @@ _BM25 = f"""w AS (SELECT doc_id AS doc, {_T} AS w FROM documents), size AS (SELE
 
 
 def every_script(s: SparkSession, d: str) -> DataFrame:
-    return R.bm25(load_table(s, d, "documents"), "doc_id", "text", load_table(s, d, "benchmark"), "item_id", "text", 10, R.EVERY_SCRIPT)
+    index = positions.positional_index(load_table(s, d, "documents"), "doc_id", "text", R.EVERY_SCRIPT)
+    asked = load_table(s, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(R.terms(F.col("text"), R.EVERY_SCRIPT)).alias("term"))
+    return positions.ranked_terms(index, asked, 10)
 
 
 query("r4_bm25_every_script", f"WITH {_BM25} SELECT query, doc, rank, round(score, 4) AS score FROM bm")(lambda s, d: every_script(s, d).select("query", "doc", "rank", F.round("score", 4).alias("score")))
