@@ -24,8 +24,8 @@ fingerprint is of 128 positional minwise values, of which a pair of similarity 0
 average. The rest is as above: postings under blocks of four positions (16 blocks; a pair meets with
 0.9998), a tally of shared positional bytes, pairs below ``least_tally`` (four standard deviations
 below 102) dropped, the others verified on the whole sets. Of a posting's pairs those of a maximum spanning
-tree and each node's three nearest are verified first; as long as a pair that was not tried would join two
-components, more are, so what is connected does not depend on the order. Postings
+tree are verified first; as long as a pair that was not tried would join two components, more are, each
+node's nearest first, so what is connected does not depend on the order. Postings
 longer than ``LONG`` are dealt in blocks beside a common block of leaders; members that this leaves outside
 the leaders' component meet all members of the posting, in blocks. What may be missed is a pair that shares no block
 (0.0002 at a similarity of 0.8) or whose tally falls below the border (0.00003), less above 0.8.
@@ -58,6 +58,9 @@ WIDTH, SIMILARITY, VALUES, BLOCK = 5, 0.8, 128, 4
 #: The least tally of shared positional bytes (two bits spoil two bytes at most), and the longest posting that is tallied as a whole.
 SHARED, LONG = 6, 256
 
+#: Counted rows of two numbers up to which the stage broadcasts a list (16 MB).
+BROADCAST = 1 << 20
+
 #: Blocks of four positional bytes: two of the four pairs (0, 1), (2, 3), (4, 5), (6, 7).
 BLOCKS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
 
@@ -284,7 +287,7 @@ def least_tally(similarity: float) -> int:
     return max(1, int(VALUES * similarity - 4 * np.sqrt(VALUES * similarity * (1 - similarity))))
 
 
-def pairs_to_verify(nodes: np.ndarray, digits: np.ndarray, least: int, labels: np.ndarray | None = None, near: int = 3) -> tuple[list[tuple[int, int]], bool]:
+def pairs_to_verify(nodes: np.ndarray, digits: np.ndarray, least: int, labels: np.ndarray | None = None, near: int = 0) -> tuple[list[tuple[int, int]], bool]:
     """Of a posting's pairs with a tally of ``least`` or more, and of different ``labels``, those to verify next.
 
     ``digits`` has a row of positional bytes per node. A maximum spanning forest by tally, and each node's
@@ -299,7 +302,7 @@ def pairs_to_verify(nodes: np.ndarray, digits: np.ndarray, least: int, labels: n
     if labels is not None:
         tally[labels[:, None] == labels[None, :]] = -1
     chosen = set()
-    for k in range(n):
+    for k in range(n if near else 0):
         for j in np.argsort(-tally[k], kind="stable")[:near]:
             if tally[k, j] > 0:
                 chosen.add((min(k, int(j)), max(k, int(j))))
@@ -346,30 +349,48 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(alike_udf(similarity)("set_a", "set_b")).select("a", "b")
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` to be broadcast if they are counted to be ``BROADCAST`` at most, else as they are."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 class Links:
-    """The verified edges so far, the pairs tried, and the labels of what they connect."""
+    """The verified edges so far, the pairs tried, the sets looked up, and the labels of what the edges connect."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float):
-        self.nodes, self.sets, self.similarity = nodes, sets, similarity
-        self.edges = self.tried = self.labels = None
+    def __init__(self, nodes: DataFrame, sets_of, similarity: float):
+        self.nodes, self.sets_of, self.similarity = nodes, sets_of, similarity
+        self.edges = self.tried = self.labels = self.known = None
 
     def labelled(self, blocks: DataFrame) -> DataFrame:
         if self.labels is None:
             return blocks.withColumn("label", F.col("node"))
         return blocks.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """The sets of the pairs' nodes; those not met before are made from their texts and written, each once."""
+        involved = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "involved")
+        new = involved if self.known is None else materialize(involved.join(self.known.select("node"), "node", "left_anti"), "involved")
+        if new.limit(1).count():
+            made = materialize(self.sets_of(new), "shingle-sets")
+            if self.known is None:
+                self.known = made
+                return made
+            self.known = self.known.unionByName(made)
+        return self.known.join(bounded(involved), "node", "left_semi")
+
     def settle(self, blocks: DataFrame) -> None:
         """Verify pairs of the blocks until none that is left untried joins two components.
 
-        A pair that fails leaves its ends apart, so the next round tries other pairs between them: only
-        blocks with members of two components come back, with twice as many nearest a node, until no pair is left out.
+        A maximum spanning forest by tally comes first. A pair that fails leaves its ends apart, so the next
+        round tries other pairs between them: only blocks with members of two components come back, with twice as
+        many nearest a node, until no pair is left out.
         """
-        near = 3
+        near = 0
         while True:
             at = self.labelled(blocks)
             if self.labels is not None:
-                mixed = at.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block")
-                at = at.join(mixed, "block")
+                mixed = materialize(at.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block"), "mixed")
+                at = at.join(bounded(mixed), "block", "left_semi")
             found = materialize(candidates(at, self.nodes, self.similarity, near), "pairs")
             pairs = found.select(F.explode("pairs").alias("e")).select("e.a", "e.b").distinct()
             if self.tried is not None:
@@ -377,21 +398,18 @@ class Links:
             pairs = materialize(pairs, "pairs")
             some, more = pairs.limit(1).count(), found.filter("more").limit(1).count()
             if some:
-                involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                known = materialize(self.sets.join(involved, "node", "left_semi"), "shingle-sets")
-                edges = materialize(verified(pairs, known, self.similarity), "alike")
-                discard(known)
+                edges = materialize(verified(pairs, self.sets(pairs), self.similarity), "alike")
                 self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
                 self.edges = edges if self.edges is None else self.edges.unionByName(edges)
                 self.labels = connected_components(self.edges)
             discard(found)
             if not more:
                 return
-            near *= 2
+            near = max(2, 2 * near)
 
 
-def link_sets(nodes: DataFrame, sets: DataFrame, similarity: float, long: int = LONG) -> DataFrame:
-    """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, keys, digits), ``sets`` (node, text's set)."""
+def link_sets(nodes: DataFrame, sets_of, similarity: float, long: int = LONG) -> DataFrame:
+    """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, keys, digits), ``sets_of(nodes)`` gives (node, set)."""
     index = nodes.select("node", F.explode("keys").alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")  # a posting of one compares nothing
     postings = materialize(index.join(sizes, "key"), "postings")
@@ -402,7 +420,7 @@ def link_sets(nodes: DataFrame, sets: DataFrame, similarity: float, long: int =
     wide = postings.filter(F.col("size") > long).withColumns({"chunks": F.ceil(F.col("size") / half), "at": F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / half))})
     dealt = wide.select(of_key(F.col("at")).alias("block"), "node")
     leaders = wide.filter("at = 0").select("key", "node", F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).alias("i")).select(of_key(F.col("i")).alias("block"), "node")
-    links = Links(nodes, sets, similarity)
+    links = Links(nodes, sets_of, similarity)
     links.settle(short.unionByName(dealt).unionByName(leaders))
     if links.labels is None:
         return nodes.select("node", F.col("node").alias("label")).filter("false")
@@ -433,8 +451,12 @@ def dedup_alike(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(rid).alias("rid"))).alias("low")
     light = kept.select("doc_id", F.col(rid).alias(rid), F.col(f"{mark}.node").alias("node"), F.col(f"{mark}.keys").alias("keys"), F.col(f"{mark}.digits").alias("digits"))
     nodes = materialize(light.groupBy("node").agg(low, F.first("keys").alias("keys"), F.first("digits").alias("digits")), "nodes")
-    sets = kept.join(nodes.select("node", F.col("low.rid").alias(rid)), rid).select("node", shingle_set_udf(width)("text").alias("set"))
-    labels = link_sets(nodes.select("node", "keys", "digits"), sets, similarity, long)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        rows = nodes.select("node", F.col("low.rid").alias(rid)).join(bounded(wanted), "node")
+        return kept.select(rid, "text").join(bounded(rows), rid).select("node", shingle_set_udf(width)("text").alias("set"))
+
+    labels = link_sets(nodes.select("node", "keys", "digits"), sets_of, similarity, long)
     of = nodes.join(labels, "node", "left").select("low", F.coalesce("label", "node").alias("root"))
     keep = of.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.rid").alias(rid))
     return kept.join(keep, rid, "left_semi").select(*docs.columns)
