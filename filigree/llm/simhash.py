@@ -58,8 +58,8 @@ WIDTH, SIMILARITY, VALUES, BLOCK = 5, 0.8, 128, 4
 #: The least tally of shared positional bytes (two bits spoil two bytes at most), and the longest posting that is tallied as a whole.
 SHARED, LONG = 6, 256
 
-#: Counted rows of two numbers up to which the stage broadcasts a list (16 MB).
-BROADCAST = 1 << 20
+#: Counted rows of two numbers up to which the stage broadcasts a list (1 MB), and how many nearest a node a round tries.
+BROADCAST, ROUNDS = 1 << 16, (0, 4, 32, 1 << 30)
 
 #: Blocks of four positional bytes: two of the four pairs (0, 1), (2, 3), (4, 5), (6, 7).
 BLOCKS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
@@ -355,11 +355,11 @@ def bounded(rows: DataFrame) -> DataFrame:
 
 
 class Links:
-    """The verified edges so far, the pairs tried, the sets looked up, and the labels of what the edges connect."""
+    """The pairs tried so far, the sets looked up, and the labels of what the verified pairs connect."""
 
     def __init__(self, nodes: DataFrame, sets_of, similarity: float):
         self.nodes, self.sets_of, self.similarity = nodes, sets_of, similarity
-        self.edges = self.tried = self.labels = self.known = None
+        self.tried = self.labels = self.known = None
 
     def labelled(self, blocks: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -382,11 +382,10 @@ class Links:
         """Verify pairs of the blocks until none that is left untried joins two components.
 
         A maximum spanning forest by tally comes first. A pair that fails leaves its ends apart, so the next
-        round tries other pairs between them: only blocks with members of two components come back, with twice as
-        many nearest a node, until no pair is left out.
+        round tries other pairs between them: only blocks with members of two components come back, with more
+        nearest a node (``ROUNDS``, at last all), until no pair is left out.
         """
-        near = 0
-        while True:
+        for near in ROUNDS:
             at = self.labelled(blocks)
             if self.labels is not None:
                 mixed = materialize(at.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block"), "mixed")
@@ -400,12 +399,22 @@ class Links:
             if some:
                 edges = materialize(verified(pairs, self.sets(pairs), self.similarity), "alike")
                 self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-                self.edges = edges if self.edges is None else self.edges.unionByName(edges)
-                self.labels = connected_components(self.edges)
+                if edges.limit(1).count():
+                    self.absorb(edges)
             discard(found)
             if not more:
                 return
-            near = max(2, 2 * near)
+
+    def absorb(self, edges: DataFrame) -> None:
+        """Labels with new edges: only the components that these join are labelled anew."""
+        if self.labels is None:
+            self.labels = connected_components(edges)
+            return
+        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+        between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        moved = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        every = self.labels.unionByName(moved.select(F.col("label").alias("node"), "label").join(self.labels.select("node"), "node", "left_anti"))
+        self.labels = materialize(every.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def link_sets(nodes: DataFrame, sets_of, similarity: float, long: int = LONG) -> DataFrame:
