@@ -24,8 +24,8 @@ fingerprint is of 128 positional minwise values, of which a pair of similarity 0
 average. The rest is as above: postings under blocks of four positions (16 blocks; a pair meets with
 0.9998), a tally of shared positional bytes, pairs below ``least_tally`` (four standard deviations
 below 102) dropped, the others verified on the whole sets. Of a posting's pairs those of a maximum spanning
-tree are verified first; as long as a pair that was not tried would join two components, more are, each
-node's nearest first, so what is connected does not depend on the order. Postings
+tree are verified first; as long as a pair that was not tried would join two components, more are: each
+node's nearest, then all others inside their block, so what is connected does not depend on the order. Postings
 longer than ``LONG`` are dealt in blocks beside a common block of leaders; members that this leaves outside
 the leaders' component meet all members of the posting, in blocks. What may be missed is a pair that shares no block
 (0.0002 at a similarity of 0.8) or whose tally falls below the border (0.00003), less above 0.8.
@@ -59,7 +59,7 @@ WIDTH, SIMILARITY, VALUES, BLOCK = 5, 0.8, 128, 4
 SHARED, LONG = 6, 256
 
 #: Counted rows of two numbers up to which the stage broadcasts a list (1 MB), and how many nearest a node a round tries.
-BROADCAST, ROUNDS = 1 << 16, (0, 4, 32, 1 << 30)
+BROADCAST, ROUNDS = 1 << 16, (0, 4)
 
 #: Blocks of four positional bytes: two of the four pairs (0, 1), (2, 3), (4, 5), (6, 7).
 BLOCKS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
@@ -354,6 +354,31 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
 
+def links_in_block(similarity: float):
+    """The links (a, b) of one block that join components: every pair of different labels with the least tally is verified on whole sets.
+
+    A pair whose ends an earlier pair of the block has joined is not looked at again.
+    """
+    least = least_tally(similarity)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", kind="stable")
+        nodes, labels, sets = rows["node"].to_numpy(), rows["label"].to_numpy().copy(), [np.asarray(x) for x in rows["set"]]
+        digits = np.frombuffer(b"".join(rows["digits"]), dtype=np.uint8).reshape(len(nodes), VALUES)
+        found: list[tuple[int, int]] = []
+        for k in range(1, len(nodes)):
+            tally = (digits[:k] == digits[k]).sum(axis=1)
+            for j in np.flatnonzero(tally >= least):
+                if labels[j] != labels[k]:
+                    both = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
+                    if both >= similarity * (len(sets[j]) + len(sets[k]) - both) - 1e-9:
+                        found.append((int(nodes[j]), int(nodes[k])))
+                        labels[labels == labels[j]] = labels[k]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 class Links:
     """The pairs tried so far, the sets looked up, and the labels of what the verified pairs connect."""
 
@@ -382,8 +407,9 @@ class Links:
         """Verify pairs of the blocks until none that is left untried joins two components.
 
         A maximum spanning forest by tally comes first. A pair that fails leaves its ends apart, so the next
-        round tries other pairs between them: only blocks with members of two components come back, with more
-        nearest a node (``ROUNDS``, at last all), until no pair is left out.
+        round tries other pairs between them: only blocks with members of two components come back, with each
+        node's nearest. What is still untried then is verified inside its block, on the sets of the block's members, so that
+        only links leave it.
         """
         for near in ROUNDS:
             at = self.labelled(blocks)
@@ -404,6 +430,14 @@ class Links:
             discard(found)
             if not more:
                 return
+        at = self.labelled(blocks)
+        mixed = materialize(at.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block"), "mixed")
+        left = materialize(at.join(bounded(mixed), "block", "left_semi"), "left")
+        sets = self.sets(left.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        members = left.join(self.nodes.select("node", "digits"), "node").join(sets, "node").select(F.col("block.*"), "node", "label", "digits", "set")
+        edges = materialize(members.groupBy("key", "i", "j").applyInPandas(links_in_block(self.similarity), "a long, b long").distinct(), "alike")
+        if edges.limit(1).count():
+            self.absorb(edges)
 
     def absorb(self, edges: DataFrame) -> None:
         """Labels with new edges: only the components that these join are labelled anew."""
