@@ -59,7 +59,7 @@ WIDTH, SIMILARITY, VALUES, BLOCK = 5, 0.8, 128, 4
 SHARED, LONG = 6, 256
 
 #: Counted rows of two numbers up to which the stage broadcasts a list (1 MB), and how many nearest a node a round tries.
-BROADCAST, ROUNDS = 1 << 16, (0, 4)
+BROADCAST, ROUNDS = 1 << 16, (0,)
 
 #: Blocks of four positional bytes: two of the four pairs (0, 1), (2, 3), (4, 5), (6, 7).
 BLOCKS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
