@@ -109,6 +109,26 @@ def admission_reason(allowed_parse: list[str]) -> Column:
     )
 
 
+def correction_pair_failure() -> Column:
+    """Why the version pair of a record about a correction is not admitted; null for other records and for a right pair.
+
+    The record has supported_dimensions (array of string), version_pair (struct: event_id, original_filing_id,
+    current_filing_id, original_evidence_id, current_evidence_id, original_is_current, current_is_current) and slots
+    as in ``admission_reason``. A pair must name its event and two different filings that slots admit, and evidence
+    that slots admit; the original must be known to be superseded, the current one to be current.
+    """
+    pair = F.col("version_pair")
+    admitted = lambda field: F.flatten(F.transform("slots", lambda s: F.coalesce(s[field], F.array().cast("array<string>"))))
+    inside = lambda field, *names: reduce(lambda a, b: a & b, [F.coalesce(F.array_contains(admitted(field), pair[n]), F.lit(False)) for n in names])
+    right = (
+        ~blank(pair["event_id"]) & ~blank(pair["original_filing_id"]) & (pair["original_filing_id"] != pair["current_filing_id"])
+        & inside("filing_ids", "original_filing_id", "current_filing_id") & inside("target_evidence_ids", "original_evidence_id", "current_evidence_id")
+        & ~pair["original_is_current"] & pair["current_is_current"]
+    )
+    failure = first_failure(("correction_pair_required", pair.isNull()), ("correction_pair_invalid", ~F.coalesce(right, F.lit(False))))
+    return F.when(F.array_contains("supported_dimensions", "correction_materiality"), failure)
+
+
 def exclusion_reasons(cases: DataFrame, served: DataFrame, key: str, evidence: str) -> DataFrame:
     """Why a case leaves the denominator: an invalid plan, no query, or a target that is not served.
 
@@ -238,13 +258,13 @@ def automatic_checks(records: DataFrame, key: str) -> DataFrame:
 
 
 def recomputed(rows: DataFrame, operation: str, a: str, b: str, declared: str) -> DataFrame:
-    """Why a declared calculation is not admitted: unknown operation, missing numbers, or another result."""
+    """Why a declared calculation is not admitted: unknown operation, missing numbers, or another result (exact to six places)."""
     operations = ["sum", "difference", "ratio", "percentage_ratio", "growth_rate"]
-    value = F.coalesce(*[F.when(F.col(operation) == op, C.calculate(op, F.col(a), F.col(b))["value"].cast("decimal(38,4)")) for op in operations])
+    value = F.coalesce(*[F.when(F.col(operation) == op, C.calculate(op, F.col(a), F.col(b))["value"]) for op in operations])
     return rows.withColumn("reason", first_failure(
         ("calculation_numeric_invalid", F.col(a).isNull() | F.col(b).isNull() | F.col(declared).isNull()),
         ("calculation_operation_invalid", ~F.coalesce(F.col(operation).isin(operations), F.lit(False)) | value.isNull()),
-        ("calculation_result_mismatch", value != F.col(declared).cast("decimal(38,4)")),
+        ("calculation_result_mismatch", value != F.col(declared).cast(C.RESULT)),
     ))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.functions.text import has_injection
+from filigree.functions.text import exact_number, has_injection
 from filigree.operators.evaldata import all_failures, blank, empty
 
 # Words of questions that ask for a number, and words that evidence must hold if asked for.
@@ -33,7 +33,7 @@ def verify_answers(drafts: DataFrame) -> DataFrame:
     ``drafts``: question, answer, answerable, citation_ids, numeric_values and reason_codes (arrays of
     string); safe (whether the evidence may answer), evidence (array of struct: evidence_id, text),
     facts (array of struct: value, evidence_ids) and calculation (struct: value, evidence_ids), numbers
-    as text. Null arrays are empty, a null calculation is none. A number that is no decimal gives
+    as text, compared exactly at any number of places. Null arrays are empty, a null calculation is none. A number that is no decimal gives
     ``numeric_claim_not_decimal`` beside what the others give.
     """
     c = F.col
@@ -44,7 +44,7 @@ def verify_answers(drafts: DataFrame) -> DataFrame:
     computed = listed(c("calculation")["evidence_ids"])
     needed = F.when(F.size(computed) > 0, computed).otherwise(F.flatten(F.transform(facts, evidence_of)))
     loose = F.exists(facts, lambda f: (F.size(evidence_of(f)) == 0) | ~within(evidence_of(f), allowed))
-    number = lambda x: x.try_cast("decimal(38,8)")
+    number = exact_number
     result = number(c("calculation")["value"])
     trusted = F.array_compact(F.concat(F.transform(facts, lambda f: number(f["value"])), F.array(result)))
     claimed = F.transform(values, number)

@@ -33,16 +33,18 @@ query("w6_latest_three_periods", f"WITH {REVENUE_SQL} SELECT company, fiscal_yea
     lambda s, d: R.top_per_key(revenue(s, d), ["company"], [F.desc("fiscal_year")], 3)
 )
 
-_CALC = {"sum": "a + b", "difference": "b - a", "ratio": "CAST(b AS DOUBLE) / CAST(a AS DOUBLE)", "percentage_ratio": "CAST(b AS DOUBLE) / CAST(a AS DOUBLE) * 100", "growth_rate": "CAST(b - a AS DOUBLE) / CAST(a AS DOUBLE) * 100"}
-for _op, _e in _CALC.items():
-    _zero = "FALSE" if _op in ("sum", "difference") else "a = 0"
+# quotients in whole numbers, rounded once half away from zero, as a SQL that divides decimals in doubles cannot be exact
+_OVER = {"ratio": "b * 1000000", "percentage_ratio": "b * 100000000", "growth_rate": "(b - a) * 100000000"}
+_EXACT = {op: f"sign({n}) * sign(a) * CAST((2 * abs({n}) + abs(a)) // (2 * abs(a)) AS DECIMAL(30,0)) * 0.000001" for op, n in _OVER.items()} | {"sum": "(a + b) * 0.01", "difference": "(b - a) * 0.01", "lookup": "a * 0.01"}
+for _op, _e in _EXACT.items():
+    _zero = "FALSE" if _op not in _OVER else "a = 0"
 
     def _calc(s: SparkSession, d: str, op: str = _op) -> DataFrame:
         c = load_table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, 0).otherwise(F.col("c_acctbal")).cast("decimal(18,2)").alias("a"), (F.col("c_custkey") * 3).cast("decimal(18,2)").alias("b"))
-        return c.select("c_custkey", C.calculate(op, F.col("a"), F.col("b")).alias("r")).select("c_custkey", "r.value", "r.reason")
+        return c.select("c_custkey", C.calculate(op, *[F.col("a"), F.col("b")][: 1 if op == "lookup" else 2]).alias("r")).select("c_custkey", "r.value", "r.reason")
 
-    query(f"x15_{_op}", f"""WITH c AS (SELECT c_custkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_acctbal END AS DECIMAL(18,2)) AS a, CAST(c_custkey * 3 AS DECIMAL(18,2)) AS b FROM customer)
-      SELECT c_custkey, CASE WHEN {_zero} THEN NULL ELSE round(CAST({_e} AS DOUBLE), 4) END AS value, CASE WHEN {_zero} THEN 'zero_base' END AS reason FROM c""")(_calc)
+    query(f"x15_{_op}", f"""WITH c AS (SELECT c_custkey, CAST(round(CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_acctbal END * 100) AS HUGEINT) AS a, CAST(c_custkey * 300 AS HUGEINT) AS b FROM customer)
+      SELECT c_custkey, CASE WHEN NOT ({_zero}) THEN CAST({_e} AS DECIMAL(38,6)) END AS value, CASE WHEN {_zero} THEN 'zero_base' END AS reason FROM c""")(_calc)
 
 query("x17_extremes", f"""WITH {REVENUE_SQL}, t AS (SELECT fiscal_year, max(value) AS top FROM revenue GROUP BY 1)
   SELECT fiscal_year, max(value) AS top_value, min(company) AS winner, count(*) > 1 AS tie FROM revenue JOIN t USING (fiscal_year) WHERE value = top GROUP BY 1""")(

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.functions.text import first_date
+
 HEADINGS = {"title", "h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = HEADINGS | {"p", "li", "td", "th", "pre", "blockquote", "caption"}
 SILENT = {"script", "style", "noscript"}
@@ -172,11 +174,12 @@ UNIT_SIGN = r"단위\s*[:：]?\s*\(?([^()\[\],]{1,20})"
 def unit_and_caption(blocks: DataFrame) -> DataFrame:
     """(page_id, table_no, unit, caption) of tables. ``blocks`` (page_id, sequence_no, kind, table_no, declared_unit, text) are a page's
     blocks in order; a table's unit is its own declared one, else named by one of the four blocks before it; its caption is the nearest of
-    the three before it that has text and is a paragraph or title."""
+    the three before it that has text and is a paragraph or title. What holds a date or says as of when (현재, 기준) is no unit; the next is tried."""
     w = Window.partitionBy("page_id").orderBy("sequence_no")
-    named = lambda k: F.nullif(F.trim(F.regexp_extract(F.lag("text", k).over(w), UNIT_SIGN, 1)), F.lit(""))
+    usable = lambda u: F.when((u != "") & ~u.contains("현재") & ~u.contains("기준") & first_date(u).isNull(), u)
+    named = lambda k: usable(F.trim(F.regexp_extract(F.lag("text", k).over(w), UNIT_SIGN, 1)))
     titled = lambda k: F.when(F.lag("kind", k).over(w).isin("paragraph", "title", "heading"), F.nullif(F.substring(F.lag("text", k).over(w), 1, 500), F.lit("")))
-    made = blocks.withColumns({"unit": F.coalesce(F.nullif(F.trim("declared_unit"), F.lit("")), *[named(k) for k in range(1, 5)]), "caption": F.coalesce(*[titled(k) for k in range(1, 4)])})
+    made = blocks.withColumns({"unit": F.coalesce(usable(F.trim("declared_unit")), *[named(k) for k in range(1, 5)]), "caption": F.coalesce(*[titled(k) for k in range(1, 4)])})
     return made.filter("kind = 'table'").select("page_id", "table_no", "unit", "caption")
 
 
