@@ -29,29 +29,33 @@ def _when(broken: Column, path: Column, rule: str) -> Column:
     return F.when(F.coalesce(broken, F.lit(False)), F.array(F.concat(path, F.lit(f":{rule}")))).otherwise(_none())
 
 
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike(KINDS[kind]), F.lit(False))
+def _with(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: a lambda's variable, which no optimizer rule spreads over its uses."""
+    return F.flatten(F.transform(F.array(x), then))
+
+
+def _is(named: Column, kind: str) -> Column:
+    return F.coalesce(named.rlike(KINDS[kind]), F.lit(False))
 
 
 def _as(value: Column, to: str) -> Column:
     return F.try_variant_get(value, "$", to)
 
 
-def _equals(value: Column, other: object) -> Column:
+def _equals(value: Column, named: Column, other: object) -> Column:
     """Whether a value is the given text, number, truth value or null."""
     if other is None:
-        return _is(value, "null")
+        return _is(named, "null")
     if isinstance(other, bool):
-        return _is(value, "boolean") & (_as(value, "boolean") == other)
+        return _is(named, "boolean") & (_as(value, "boolean") == other)
     if isinstance(other, (int, float)):
-        return _is(value, "number") & (_as(value, "double") == float(other))
+        return _is(named, "number") & (_as(value, "double") == float(other))
     if isinstance(other, str):
-        return _is(value, "string") & (_as(value, "string") == other)
+        return _is(named, "string") & (_as(value, "string") == other)
     raise ValueError("const and enum take texts, numbers, truth values and null")
 
 
-def _string(value: Column, schema: dict, path: Column) -> list[Column]:
-    text = _as(value, "string")
+def _string(text: Column, schema: dict, path: Column) -> list[Column]:
     out = []
     if "minLength" in schema:
         out.append(_when(F.length(text) < schema["minLength"], path, "minLength"))
@@ -66,8 +70,8 @@ def _string(value: Column, schema: dict, path: Column) -> list[Column]:
     return out
 
 
-def _object(value: Column, schema: dict, path: Column) -> list[Column]:
-    fields, known = _as(value, "map<string,variant>"), schema.get("properties", {})
+def _object(fields: Column, schema: dict, path: Column) -> list[Column]:
+    known = schema.get("properties", {})
     held = F.map_keys(fields)
     inside = lambda key: F.concat(path, F.lit(f".{key}"))
     out = [_when(~F.array_contains(held, key), inside(key), "required") for key in schema.get("required", [])]
@@ -79,8 +83,7 @@ def _object(value: Column, schema: dict, path: Column) -> list[Column]:
     return out
 
 
-def _array(value: Column, schema: dict, path: Column) -> list[Column]:
-    items = _as(value, "array<variant>")
+def _array(items: Column, schema: dict, path: Column) -> list[Column]:
     out = []
     if "minItems" in schema:
         out.append(_when(F.size(items) < schema["minItems"], path, "minItems"))
@@ -93,14 +96,20 @@ def _array(value: Column, schema: dict, path: Column) -> list[Column]:
 
 
 def _check(value: Column, schema: dict, path: Column) -> Column:
-    """All violations of one value: const, enum, oneOf and type end the search, the rules of its type add up."""
+    """All violations of one value, which is computed once and its type named once."""
+    both = F.struct(value.alias("v"), F.schema_of_variant(value).alias("t"))
+    return _with(both, lambda b: _checked(b["v"], b["t"], schema, path))
+
+
+def _checked(value: Column, named: Column, schema: dict, path: Column) -> Column:
+    """Const, enum, oneOf and type end the search, the rules of its type add up."""
     if unknown := sorted(set(schema) - RULES - NOTES):
         raise ValueError(f"the schema uses {', '.join(unknown)}")
     steps: list[tuple[Column, Callable[[], Column]]] = []
     if "const" in schema:
-        steps.append((~_equals(value, schema["const"]), lambda: _when(F.lit(True), path, "const")))
+        steps.append((~_equals(value, named, schema["const"]), lambda: _when(F.lit(True), path, "const")))
     if "enum" in schema:
-        steps.append((~reduce(or_, [_equals(value, e) for e in schema["enum"]], F.lit(False)), lambda: _when(F.lit(True), path, "enum")))
+        steps.append((~reduce(or_, [_equals(value, named, e) for e in schema["enum"]], F.lit(False)), lambda: _when(F.lit(True), path, "enum")))
     if "oneOf" in schema:
         branches = [_check(value, b, path) for b in schema["oneOf"]]
         fits = reduce(or_, [F.size(b) == 0 for b in branches], F.lit(False))
@@ -110,13 +119,18 @@ def _check(value: Column, schema: dict, path: Column) -> Column:
     else:
         if "type" in schema:
             kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-            steps.append((reduce(and_, [~_is(value, k) for k in kinds]), lambda: _when(F.lit(True), path, "type")))
+            steps.append((reduce(and_, [~_is(named, k) for k in kinds]), lambda: _when(F.lit(True), path, "type")))
         by_kind = []
-        for kind, words, rules in (("string", {"minLength", "pattern", "format"}, _string), ("array", {"minItems", "uniqueItems", "items"}, _array), ("object", {"required", "additionalProperties", "properties"}, _object)):
+        for kind, to, words, rules in (
+            ("string", "string", {"minLength", "pattern", "format"}, _string),
+            ("array", "array<variant>", {"minItems", "uniqueItems", "items"}, _array),
+            ("object", "map<string,variant>", {"required", "additionalProperties", "properties"}, _object),
+        ):
             if words & set(schema):
-                by_kind.append(F.when(_is(value, kind), F.concat(_none(), *rules(value, schema, path))).otherwise(_none()))
+                held = _with(_as(value, to), lambda x: F.concat(_none(), *rules(x, schema, path)))  # called at once
+                by_kind.append(F.when(_is(named, kind), held).otherwise(_none()))
         if "minimum" in schema:
-            by_kind.append(_when(_is(value, "number") & (_as(value, "double") < float(schema["minimum"])), path, "minimum"))
+            by_kind.append(_when(_is(named, "number") & (_as(value, "double") < float(schema["minimum"])), path, "minimum"))
         steps.append((F.lit(True), lambda: F.concat(_none(), *by_kind)))
     out = None
     for broken, found in steps:
@@ -134,8 +148,7 @@ def schema_violations(records: DataFrame, text: str, schema: dict | str) -> Data
     into one expression, so a table is checked in one pass without a shuffle or a Python worker.
     """
     schema = json.loads(schema) if isinstance(schema, str) else schema
-    value = F.try_parse_json(F.col(text))
-    found = F.when(value.isNull(), F.array(F.lit("$:json"))).otherwise(_check(value, schema, F.lit("$")))
+    found = _with(F.try_parse_json(F.col(text)), lambda v: F.when(v.isNull(), F.array(F.lit("$:json"))).otherwise(_check(v, schema, F.lit("$"))))
     each = records.select(*records.columns, F.explode(found).alias("_v"))
     # a rule has no colon, a path may
     return each.withColumns({"path": F.regexp_extract("_v", r"(?s)^(.*):[^:]*$", 1), "rule": F.regexp_extract("_v", r"([^:]*)\z", 1)}).drop("_v")
