@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal, InvalidOperation
 
 import pandas as pd
@@ -17,8 +17,6 @@ DIGITS = {"영": 0, "공": 0, "일": 1, "이": 2, "삼": 3, "사": 4, "오": 5,
 SMALL = {"십": 10, "백": 100, "천": 1000}
 LARGE = {"만": 10**4, "억": 10**8, "조": 10**12}
 NUMERALS = set(DIGITS) | set(SMALL) | set(LARGE)
-UNIT = re.compile(r"\s*(조원|억원|백만원|천원|원|%)")
-UNIT_AHEAD = re.compile(r"\s*[원%]")
 RECEIPT = "접수번호"
 
 SECTION = re.compile(r"([영공일이삼사오육칠팔구십백천]*)([만억조]?)")
@@ -56,6 +54,13 @@ def run_end(text: str, at: int, allowed: str) -> int:
     return at
 
 
+def unit_at(text: str, at: int, units: Iterable[str] = SCALES) -> str | None:
+    """The unit that begins at ``at``, blanks before it aside."""
+    while text[at : at + 1].isspace():
+        at += 1
+    return next((u for u in units if text.startswith(u, at)), None)
+
+
 def apart(text: str, at: int) -> bool:
     """Whether the character at ``at`` may touch a number: no letter, digit, underscore or dot of ASCII."""
     return not (0 <= at < len(text)) or not (text[at] in "_." or text[at].isascii() and text[at].isalnum())
@@ -90,7 +95,7 @@ def number_at(text: str, at: int) -> tuple[int, str] | None:
         while end < len(text) and text[end] in NUMERALS:
             end += 1
         # words give places back until a unit follows
-        return next(((e, "words") for e in range(end, at, -1) if UNIT_AHEAD.match(text, e)), None)
+        return next(((e, "words") for e in range(end, at, -1) if unit_at(text, e, "원%")), None)
     start = at + (text[at] in "+-")
     if text[start : start + 2] in ("0x", "0X"):
         end = run_end(text, start + 2, "0123456789abcdefABCDEF")
@@ -128,8 +133,8 @@ def numbers_in(text: str, years: set[str] = frozenset(), receipts: set[str] = fr
                 value = Decimal(bare)
             except InvalidOperation:
                 continue
-        if unit := UNIT.match(text, at):
-            value = EXACT.multiply(value, Decimal(SCALES[unit[1]]))
+        if unit := unit_at(text, at):
+            value = EXACT.multiply(value, Decimal(SCALES[unit]))
         if value.is_finite():
             out[plain(value)] = None
     return list(out)

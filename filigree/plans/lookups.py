@@ -71,6 +71,19 @@ query("x21_won_amounts", "SELECT o_orderkey, CAST(floor(o_totalprice / 10000) *
         text.amounts(F.concat(F.year("o_orderdate").cast("string"), F.lit("년 12% "), F.format_number(F.floor(F.col("o_totalprice") / 10000), 0), F.lit("만 그리고 "), (F.col("o_orderkey") % 7 + 1000).cast("string"), F.lit("원"))).alias("a"),
     ).select("o_orderkey", (F.col("a")[0] + F.col("a")[1]).cast("decimal(28,4)").alias("first_amount"), F.size("a").alias("n"))
 )
+query("x21_amount_parts", """WITH t AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) AS n, CAST(o_custkey % 4 AS INT) AS shape, CAST(o_orderkey % 2000 AS BIGINT) AS small FROM orders)
+  SELECT o_orderkey, unnest(generate_series(0, len(a) - 1))::INT AS at, CAST(unnest(a) AS DECIMAL(38,4)) AS amount FROM (SELECT o_orderkey, CASE shape WHEN 0 THEN [n * 100000000 + small * 10000]
+    WHEN 1 THEN [n * 1000000000000 + small] WHEN 2 THEN list_concat(CASE WHEN small >= 1000 THEN [small] ELSE [] END, [n * 10000000]) ELSE [n * 10000, n * 1000000] END AS a FROM t)""")(
+    lambda s, d: load_table(s, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("string").alias("n"), (F.col("o_custkey") % 4).alias("shape"), (F.col("o_orderkey") % 2000).cast("string").alias("small")).select(
+        "o_orderkey",
+        F.posexplode(text.amounts(
+            F.when(F.col("shape") == 0, F.concat(F.lit("1996년 "), F.col("n"), F.lit("억 "), F.col("small"), F.lit("만 원, 12% 증가")))
+            .when(F.col("shape") == 1, F.concat(F.lit("약 "), F.col("n"), F.lit("조 "), F.col("small"), F.lit("원")))
+            .when(F.col("shape") == 2, F.concat(F.col("small"), F.lit(" 원과 1.2.3 그리고 "), F.col("n"), F.lit("천만 원")))
+            .otherwise(F.concat(F.col("n"), F.lit("만 "), F.col("n"), F.lit("백만"))),
+        )).alias("at", "amount"),
+    )
+)
 query("g_threshold", "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN CAST(CAST(round(s_acctbal, 2) AS DECIMAL(18,2)) * 100000000 AS DECIMAL(38,4)) END AS least FROM supplier")(
     lambda s, d: load_table(s, d, "supplier").select("s_suppkey", text.threshold(F.concat(F.lit("매출 "), F.when(F.col("s_acctbal") >= 0, F.round("s_acctbal", 2).cast("decimal(18,2)").cast("string")).otherwise("많이"), F.lit("억원 이상인 회사"))).alias("least"))
 )

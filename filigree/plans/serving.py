@@ -259,7 +259,21 @@ query("q14_recomputed", """WITH a AS (SELECT o_custkey AS k, CAST(count(*) AS DO
   SELECT k, 'n' AS measure, dn AS declared, an AS actual FROM m WHERE dn IS DISTINCT FROM an UNION ALL SELECT k, 'top', dt, act FROM m WHERE dt IS DISTINCT FROM act""")(
     lambda s, d: A.recomputed(load_table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.round(F.abs("c_acctbal") / 500).alias("n"), F.col("c_acctbal").alias("top")), load_table(s, d, "orders").withColumn("k", F.col("o_custkey")), "k", {"n": F.count("*"), "top": F.max("o_totalprice")})
 )
-query("t11_covering_periods")(
+_COVER = """p AS (SELECT company, account, period, first(id ORDER BY latest DESC, id DESC) AS id, first(latest ORDER BY latest DESC, id DESC) AS latest FROM c GROUP BY 1, 2, 3),
+  b AS (SELECT company, account, id, latest, count(*) AS new FROM p GROUP BY ALL),
+  m AS (SELECT *, sum(new) OVER (PARTITION BY company, account ORDER BY latest DESC, id DESC) - new AS before, sum(new) OVER (PARTITION BY company, account) AS total FROM b)"""
+
+
+query("t11_covering_months", f"""WITH g AS (SELECT l_suppkey AS company, l_returnflag AS account, month(l_shipdate) AS m, CAST(min(l_orderkey) AS VARCHAR) AS id, CAST(max(year(l_shipdate)) AS VARCHAR) AS latest FROM lineitem GROUP BY 1, 2, 3),
+  c AS (SELECT DISTINCT company, account, id, max(latest) OVER (PARTITION BY company, account, id) AS latest, CAST(year(l_shipdate) AS VARCHAR) AS period FROM g JOIN lineitem ON l_suppkey = company AND l_returnflag = account AND month(l_shipdate) = m), {_COVER}
+  SELECT company, account, CAST(id AS BIGINT) AS evidence_id FROM m WHERE total >= 4 AND before < 4""")(
+    lambda s, d: A.covering_periods(
+        load_table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("company"), F.col("l_returnflag").alias("account"), F.month("l_shipdate").alias("m")).agg(F.min("l_orderkey").alias("evidence_id"), F.collect_set(F.year("l_shipdate").cast("string")).alias("p"))
+        .groupBy("company", "account", "evidence_id").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("periods")), ["company", "account"], 4,
+    ).select("company", "account", F.col("evidence_id").cast("long").alias("evidence_id"))
+)
+query("t11_covering_periods", f"""WITH c AS (SELECT o_custkey AS company, o_orderpriority AS account, CAST(min(o_orderkey) AS VARCHAR) AS id, CAST(year(date_trunc('quarter', o_orderdate)) AS VARCHAR) AS latest, CAST(year(date_trunc('quarter', o_orderdate)) AS VARCHAR) AS period FROM orders GROUP BY o_custkey, o_orderpriority, date_trunc('quarter', o_orderdate)), {_COVER}
+  SELECT company, account, CAST(id AS BIGINT) AS evidence_id FROM m WHERE total >= 3 AND before < 3""")(
     lambda s, d: A.covering_periods(
         load_table(s, d, "orders").groupBy(F.col("o_custkey").alias("company"), F.col("o_orderpriority").alias("account"), F.date_trunc("quarter", "o_orderdate").cast("date").alias("q")).agg(F.min("o_orderkey").alias("evidence_id"), F.collect_set(F.year("o_orderdate").cast("string")).alias("periods")), ["company", "account"], 3
     )

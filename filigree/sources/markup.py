@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.functions.text import first_date
+from filigree.functions.text import BLANKS, first_date
 
 HEADINGS = {"title", "h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = HEADINGS | {"p", "li", "td", "th", "pre", "blockquote", "caption"}
@@ -168,7 +168,16 @@ def promote_labels(grid: DataFrame, periodic: bool = False) -> DataFrame:
     return grid.withColumn("cell_kind", F.when(label, "header").otherwise(F.col("cell_kind")))
 
 
-UNIT_SIGN = r"단위\s*[:：]?\s*\(?([^()\[\],]{1,20})"
+# The sign of a unit, what may part it from the unit, what ends one.
+UNIT_SIGN, UNIT_PARTS, UNIT_ENDS = "단위", ":：", "()[],"
+
+
+def named_unit(text: Column, most: int = 20) -> Column:
+    """The unit that follows its sign, behind a colon or an opening bracket, of ``most`` characters; of several signs the first with a unit."""
+    behind = F.slice(F.split(text, UNIT_SIGN, -1), 2, 1 << 20)
+    behind = F.transform(behind, lambda x: F.ltrim(F.ltrim(x, F.lit(BLANKS + UNIT_PARTS)), F.lit("(")))
+    units = F.transform(behind, lambda x: F.trim(F.substring(F.split(x, f"[{re.escape(UNIT_ENDS)}]", 2)[0], 1, most)))
+    return F.get(F.filter(units, lambda x: x != ""), F.lit(0))
 
 
 def unit_and_caption(blocks: DataFrame) -> DataFrame:
@@ -177,7 +186,7 @@ def unit_and_caption(blocks: DataFrame) -> DataFrame:
     the three before it that has text and is a paragraph or title. What holds a date or says as of when (현재, 기준) is no unit; the next is tried."""
     w = Window.partitionBy("page_id").orderBy("sequence_no")
     usable = lambda u: F.when((u != "") & ~u.contains("현재") & ~u.contains("기준") & first_date(u).isNull(), u)
-    named = lambda k: usable(F.trim(F.regexp_extract(F.lag("text", k).over(w), UNIT_SIGN, 1)))
+    named = lambda k: usable(named_unit(F.lag("text", k).over(w)))
     titled = lambda k: F.when(F.lag("kind", k).over(w).isin("paragraph", "title", "heading"), F.nullif(F.substring(F.lag("text", k).over(w), 1, 500), F.lit("")))
     made = blocks.withColumns({"unit": F.coalesce(usable(F.trim("declared_unit")), *[named(k) for k in range(1, 5)]), "caption": F.coalesce(*[titled(k) for k in range(1, 4)])})
     return made.filter("kind = 'table'").select("page_id", "table_no", "unit", "caption")

@@ -63,8 +63,9 @@ def test_numbers(spark):
     rows = spark.createDataFrame([(c,) for c in cells], "c string").select(text.numeric_value(F.col("c")).alias("v")).collect()
     want = [Decimal("-1234.5"), -7, -8, -9, 12, None, None, None, None, None]
     assert [r["v"] for r in rows] == want
-    assert text.won_amounts("1조 2,345억 원") == [10**12 + 2345 * 10**8] and text.won_amounts("none") == [] and text.won_amounts("3만") == [30000]
-    assert text.won_amounts("2024년 매출 5억 원, 12% 증가, 900원, 1,500원") == [5 * 10**8, 1500] and text.won_amounts("3십억 2천만원 7백만") == [3 * 10**9 + 2 * 10**7, 7 * 10**6]
+    said = ["1조 2,345억 원", "none", "3만", "2024년 매출 5억 원, 12% 증가, 900원, 1,500원", "3십억 2천만원 7백만"]
+    got = spark.createDataFrame(list(enumerate(said)), "i int, t string").orderBy("i").select(text.amounts(F.col("t")).alias("a")).collect()
+    assert [r["a"] for r in got] == [[10**12 + 2345 * 10**8], [], [30000], [5 * 10**8, 1500], [3 * 10**9 + 2 * 10**7, 7 * 10**6]]
     units = spark.createDataFrame([("단위: 백만원",), ("(천원)",), ("원",), ("주",)], "u string").select(text.unit_scale(F.col("u")).alias("s")).collect()
     assert [r["s"] for r in units] == [10**6, 10**3, 1, None]
 
