@@ -4,8 +4,9 @@ Restoring. A character 4-gram model of clean words is counted over all documents
 shows signs of disguise (look-alike signs or letters of another script among letters, separators
 between letters, a letter three times in a row) becomes a lattice: each sign may be one
 of the letters it looks like or nothing, a repeated letter may be dropped. Letters spaced out
-one by one, three or more, become one lattice in which a word border may stand at every gap, and
-is likelier where the gap is wider. Viterbi search over the last three letters finds the
+one by one, three or more, by white space or signs (``GAP``) of any width, become one lattice in which
+a word border may stand at every gap, and is likelier where the gap is wider than the run's narrowest.
+Compatibility forms (full-width, mathematical, circled letters) are read as the plain letters. Viterbi search over the last three letters finds the
 restoration of the highest channel and language probability, of any length. Words
 without such signs have one path only and are taken as they are. Of neighbouring words
 that a spaced run is restored to the joined form is a word too, as a border may be false.
@@ -45,7 +46,7 @@ SAMPLE, LEAST_DOCS, LEAST_ODDS = 16_000, 4, 1.5
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SCRIPTS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
-    "α": "a", "ο": "o", "ε": "e", "ι": "i", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k", "χ": "x",
+    "α": "a", "ο": "o", "ε": "e", "ι": "i", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k", "χ": "x", "ı": "i",
 }
 SEPARATORS = ".-_*~'^`/,"
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…&%#*$"
@@ -64,10 +65,12 @@ SIGNS = re.escape("".join(LOOKALIKES))
 SUSPECT = re.compile(rf"[^\W\d_][{SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|(?<![^\W_])[{SIGNS}]+[^\W\d_]|[^\W\d_][{SIGNS}]+$|[a-z][{''.join(SCRIPTS)}]|[{''.join(SCRIPTS)}][a-z]")
 FOREIGN = re.compile(f"[{''.join(SCRIPTS)}]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(rf"(?<![^\W_])[{SIGNS}]?(?:(?<![^\W\d_])[^\W_]|(?<!\w)[@$])(?:[ .\-_*]{{1,3}}(?:[^\W_]|[@$!|+])(?![^\W_])){{2,}}")
+#: What may stand between letters that are spaced out: any white space and these signs, of any width.
+GAP = r"\s.\-_*~/:;=\u00b7\u2022"
+SPACED = re.compile(rf"(?<![^\W_])[{SIGNS}]?(?:(?<![^\W\d_])[^\W_]|(?<!\w)[@$])(?:[{GAP}]++(?:[^\W_]|[@$!|+])(?![^\W_])){{2,}}")
 #: What every spaced run holds: a sign or letter alone between gaps.
-ALONE = re.compile(r"[ .\-_*][^\W_][ .\-_*]|[ .\-_*][@$!|+][ .\-_*]")
-ONE = re.compile(r"([ .\-_*]*)([^ .\-_*])")
+ALONE = re.compile(rf"[{GAP}](?:[^\W_]|[@$!|+])[{GAP}]")
+ONE = re.compile(rf"([{GAP}]*)([^{GAP}])")
 PLAIN = re.compile(r"\d+(?:[.,:/\-]\d+)*")
 
 
@@ -155,9 +158,10 @@ def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
     """Per letter of a spaced run its readings, and between letters a border or none."""
     out: list[list[tuple[str, float]]] = []
     found = ONE.findall(run)
+    usual = min((len(gap) for gap, _ in found[1:]), default=1)
     for k, (gap, ch) in enumerate(found):
         if k:
-            wide = len(gap) > 1
+            wide = len(gap) > usual  # wider than the narrowest of the run
             out.append([(" ", COST_WIDE if wide else COST_BORDER), ("", COST_JOIN if wide else 0.0)])
         before, after = "".join(c for _, c in found[max(0, k - 2) : k]), found[k + 1][1] if k + 1 < len(found) else ""
         reads = readings(ch, before, after)
@@ -222,7 +226,8 @@ class Words:
     def of(self, text: str) -> set[str]:
         text = text.lower()
         if not text.isascii():
-            text = text.translate(UNSEEN)
+            # full-width, mathematical and circled letters become plain ones
+            text = unicodedata.normalize("NFKC", text).translate(UNSEEN).lower()
         raw = set(text.split())
         words = {w.strip(EDGES) for w in raw}
         for w in raw:

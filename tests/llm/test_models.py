@@ -1,5 +1,6 @@
 """Operators 6, 7, 8 and 10: held-out accuracy and brute-force versions."""
 
+import itertools
 import math
 import re
 import zlib
@@ -203,3 +204,30 @@ def test_disguises_of_every_kind(tables):
             assert word in seen.of(f"so {form}"), form
     assert {"you", "are", "stupid"} <= seen.of("y o u a r e s t u p i d")
     assert not {"ass", "as"} & seen.of("4 5 5 and 4.5.5")
+    for gap in ("    ", "\t", "\n", "\u00a0", "\r\n  ", " : ", ";", "=", " ~ ", "/", "\u00b7", "   -   "):
+        assert "idiot" in seen.of(f"so {gap.join('idiot')} here"), repr(gap)
+    for form in ("\uff49\uff44\uff49\uff4f\uff54", "\u0131d\u0131ot", "".join(chr(0x1D41A + ord(c) - 97) for c in "idiot"), "".join(chr(0x24D0 + ord(c) - 97) for c in "idiot"), "\uff29 \uff24 \uff29 \uff2f \uff34"):
+        assert "idiot" in seen.of(f"so {form} here"), form
+    assert {"you", "are", "stupid"} <= seen.of("y  o  u     a  r  e     s  t  u  p  i  d")
+    assert seen.of("x" + " " * 300_000 + "y" + "\n" * 300_000) == {"x", "y"}  # time in proportion
+
+
+def test_viterbi_against_all_paths(tables):
+    docs, _ = tables
+    costs = toxicity.language_costs(toxicity.language_counts(docs.limit(100)))
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        word = "".join(rng.choice(list("aeiot01!$.3")) for _ in range(6))
+        steps = toxicity.lattice(word) if rng.random() < 0.6 else toxicity.spaced_lattice(" ".join(word))
+        best: dict[str, float] = {}
+        for path in itertools.product(*steps):
+            made, cost = "", 0.0
+            for letter, channel in path:
+                cost += channel
+                if letter:
+                    a, b, c = (toxicity.symbol(x) if x != " " else 0 for x in f"   {made}"[-3:])
+                    cost += float(costs[a, b, c, 0 if letter == " " else toxicity.symbol(letter)])
+                    made += letter
+            a, b, c = (toxicity.symbol(x) if x != " " else 0 for x in f"   {made}"[-3:])
+            best[made] = min(best.get(made, np.inf), cost + float(costs[a, b, c, 0]))
+        assert abs(best[toxicity.decode(steps, costs)] - min(best.values())) < 1e-9, word
