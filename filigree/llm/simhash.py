@@ -18,17 +18,16 @@ is verified by looking up each value's 136 neighbours. Links leave a posting as
 smallest linked value), never as pairs.
 
 Stage. ``dedup_alike`` has a contract of its own: two texts are near copies if their sets of five-word
-shingles have a Jaccard similarity of 0.8 or more. Sign bits cannot serve it: such texts differ in
-some ten of 64 bits, which may spoil all eight bytes, so no least tally is guaranteed. There the
-fingerprint is of 128 positional minwise values, of which a pair of similarity 0.8 shares 102 on the
-average. The rest is as above: postings under blocks of four positions (16 blocks; a pair meets with
-0.9998), a tally of shared positional bytes, pairs below ``least_tally`` (four standard deviations
-below 102) dropped, the others verified on the whole sets. Of a posting's pairs those of a maximum spanning
-tree are verified first; as long as a pair that was not tried would join two components, more are: each
-node's nearest, then all others inside their block, so what is connected does not depend on the order. Postings
-longer than ``LONG`` are dealt in blocks beside a common block of leaders; members that this leaves outside
-the leaders' component meet all members of the posting, in blocks. What may be missed is a pair that shares no block
-(0.0002 at a similarity of 0.8) or whose tally falls below the border (0.00003), less above 0.8.
+shingles have a Jaccard similarity of 0.8 or more. Their 64-bit fingerprints differ in some ten bits, so the
+stage takes a wider SimHash of the set (2,368 bits), under the same steps: an inverted index over its positional bytes,
+a count filter on the tally of shared positional bytes, Hamming distance; the exact similarity of the whole sets follows.
+A bit of a pair at 0.8 differs with 0.161 at most (0.151 but for small sets), a byte is shared with 0.245.
+The index is read in two steps. Over all texts a posting key is a block of two positional bytes (140 blocks; a pair
+meets with 0.9998), and a posting tells only which texts have a partner by the Hamming distance of 128 other bits, four standard
+deviations and more above what is expected. Over these, a posting is one positional byte and holds the whole fingerprints: pairs below the least tally
+or above the Hamming border of their sizes are dropped. Each text's nearest of another component is verified first; then every pair of two
+components, each in the first posting that it shares. Long postings are dealt in blocks that bring every pair together.
+What may be missed is a pair at the border: 0.0002 by either index, 0.0001 by the filters, less above 0.8.
 
 Defined cases: null or wordless text: fingerprint 0, linked like any other; a null id is kept
 and never names a component while another member has an id; repeated rows each get a row; an
@@ -42,6 +41,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +52,18 @@ from filigree.session import discard, materialize, spare_name
 
 SHINGLE, SEED, MAX_BITS, CHUNK = 3, 42, 2, 1 << 16
 
-#: The stage: words of a shingle, least similarity, positional values, and blocks of so many of them.
-WIDTH, SIMILARITY, VALUES, BLOCK = 5, 0.8, 128, 4
+#: The stage: words of a shingle, least similarity, and the chance with which an index may miss a pair at that similarity.
+WIDTH, SIMILARITY, MISS = 5, 0.8, 2e-4
 
 #: The least tally of shared positional bytes (two bits spoil two bytes at most), and the longest posting that is tallied as a whole.
 SHARED, LONG = 6, 256
 
-#: Counted rows of two numbers up to which the stage broadcasts a list (1 MB), and how many nearest a node a round tries.
-BROADCAST, ROUNDS = 1 << 16, (0,)
+#: Counted rows of two numbers up to which the stage broadcasts a list (1 MB).
+BROADCAST = 1 << 16
+
+#: The stage: sets of so few shingles get more blocks; words of the fingerprint that are the sketch; positions of a round of
+#: nearest texts, and rounds; texts and pairs handled at once.
+SMALL, SKETCH, NEAREST, ROUNDS, TEXTS, PAIRS = 5, 2, 4, 3, 512, 1 << 15
 
 #: Blocks of four positional bytes: two of the four pairs (0, 1), (2, 3), (4, 5), (6, 7).
 BLOCKS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
@@ -231,34 +235,55 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
 
 
-def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The positional values of a set: its least member under each multiply-add permutation."""
-    low = np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(low, (shingles[at : at + 1024, None] * multipliers[0] + multipliers[1]).min(axis=0), out=low)
-    return low
+def differing(similarity: float, small: bool = False) -> float:
+    """With what chance a bit of two sets of this similarity differs at most (``small``: sets of four and five shingles)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + (0.036 if small else 0.0097)
+
+
+def blocks(similarity: float) -> int:
+    """Blocks of two positional bytes under one of which a pair of this similarity meets but for ``MISS``; a multiple of four for whole words."""
+    return 4 + int(np.log(MISS) / np.log1p(-((1 - differing(similarity)) ** 16))) // 4 * 4
+
 
+def positions(similarity: float) -> int:
+    """The same for single positional bytes, small sets included."""
+    return 1 + int(np.log(MISS) / np.log1p(-((1 - differing(similarity, True)) ** 8)))
 
-def block_keys(low: np.ndarray) -> np.ndarray:
-    """One posting key per block of positions: the hash of the block's values and number."""
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low[: VALUES // 2].reshape(-1, BLOCK))], dtype=np.uint64).view(np.int64)
 
+def words_of(similarity: float) -> int:
+    """64-bit words of the fingerprint: the blocks, then the sketch."""
+    return blocks(similarity) // 4 + SKETCH
 
-def marks_udf(width: int):
-    """struct(node, keys, digits) of a text: the hash of its set of shingles, its posting keys and its positional bytes."""
 
-    @F.pandas_udf("node long, keys array<long>, digits binary")
+def wide_simhash(shingles: np.ndarray, words: int) -> bytes:
+    """The wide fingerprint of a set: a bit is 1 if set in over half the members' hashes, each mixed anew (splitmix64) for each word."""
+    seeds = np.random.default_rng(SEED).integers(1 << 64, size=words, dtype=np.uint64)
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(shingles), 255):  # so many sum up within a byte
+        h = shingles[at : at + 255, None] + seeds
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
+def marks_udf(width: int, words: int):
+    """struct(node, size, fp) of a text: the hash of its set of shingles, their number and the set's wide fingerprint."""
+
+    @F.pandas_udf("node long, size long, fp binary")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        multipliers = np.random.default_rng(SEED).integers(1 << 64, size=(2, VALUES), dtype=np.uint64) | np.uint64(1)
         for texts in batches:
-            nodes, keys, digits = [], [], []
+            nodes, sizes, fps = [], [], []
             for text in texts:
                 shingles = shingle_set(text, width)
-                low = minima(shingles, multipliers)
                 nodes.append(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0).astype(np.int64))
-                keys.append(block_keys(low) if len(shingles) else [])
-                digits.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "keys": keys, "digits": digits})
+                sizes.append(len(shingles))
+                fps.append(wide_simhash(shingles, words))
+            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "size": np.array(sizes, dtype=np.int64), "fp": fps})
 
     return udf
 
@@ -282,65 +307,130 @@ def alike_udf(similarity: float):
     return udf
 
 
-def least_tally(similarity: float) -> int:
-    """Shared positions below which a pair is dropped: four standard deviations below their mean number."""
-    return max(1, int(VALUES * similarity - 4 * np.sqrt(VALUES * similarity * (1 - similarity))))
+def fingerprints(column) -> np.ndarray:
+    """Rows of positional bytes of a column of binary values."""
+    values = list(column)
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+
 
+def block_postings(similarity: float):
+    """Batches (node, size, fp) to (key, node, s, t): a row per block of two positional bytes, with the sketch."""
+    n = blocks(similarity)
 
-def pairs_to_verify(nodes: np.ndarray, digits: np.ndarray, least: int, labels: np.ndarray | None = None, near: int = 0) -> tuple[list[tuple[int, int]], bool]:
-    """Of a posting's pairs with a tally of ``least`` or more, and of different ``labels``, those to verify next.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                fps, nodes = fingerprints(part.column("fp").to_pylist()), part.column("node").to_numpy(zero_copy_only=False)
+                small = part.column("size").to_numpy(zero_copy_only=False) <= SMALL
+                digits = fps[:, : 2 * n].astype(np.int64)
+                sketch = fps.view(np.int64)[:, -SKETCH:]
+                # small sets, of which more bits may differ, also post the pairs of bytes between the blocks
+                for first, rows in ((0, np.arange(len(nodes))), (1, np.flatnonzero(small))):
+                    left, right = digits[rows, first : 2 * n - first : 2], digits[rows, first + 1 : 2 * n : 2]
+                    keys = (2 * np.arange(left.shape[1]) + first << 16) + (left << 8) + right
+                    of = np.repeat(rows, left.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes[of]), pa.array(sketch[of, 0]), pa.array(sketch[of, 1])], ["key", "node", "s", "t"])
 
-    ``digits`` has a row of positional bytes per node. A maximum spanning forest by tally, and each node's
-    ``near`` nearest; the flag tells whether any such pair is left out.
+    return run
+
+
+def partnered(similarity: float, long: int):
+    """Batches (key, node, s, t), sorted by key, to the nodes that have a partner in their posting: one within the Hamming border of the sketch.
+
+    In a posting of more than ``long`` every node counts as having one.
     """
-    n = len(nodes)
-    tally = np.zeros((n, n), dtype=np.int16)
-    for column in digits.T:
-        tally += column[:, None] == column[None, :]
-    np.fill_diagonal(tally, -1)
-    tally[tally < least] = -1
-    if labels is not None:
-        tally[labels[:, None] == labels[None, :]] = -1
-    chosen = set()
-    for k in range(n if near else 0):
-        for j in np.argsort(-tally[k], kind="stable")[:near]:
-            if tally[k, j] > 0:
-                chosen.add((min(k, int(j)), max(k, int(j))))
-    todo = np.ones(n, dtype=bool)
-    best, mate = np.full(n, -1), np.full(n, -1)
-    while todo.any():
-        k = int(np.where(todo, best, -2).argmax())  # the node nearest to the tree, or any one to begin a new tree
-        if best[k] > 0:
-            chosen.add((min(k, int(mate[k])), max(k, int(mate[k]))))
-        todo[k] = False
-        nearer = todo & (tally[k] > best)
-        best[nearer], mate[nearer] = tally[k][nearer], k
-    return [(int(nodes[i]), int(nodes[j])) for i, j in chosen], int((tally > 0).sum()) // 2 > len(chosen)
-
-
-def verify_udf(similarity: float, near: int):
-    least = least_tally(similarity)
-
-    @F.pandas_udf("struct<pairs:array<struct<a:long,b:long>>,more:boolean>")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for postings in batches:
-            pairs, more = [], []
-            for members in postings:
-                rows = {r["node"]: r for r in members}
-                nodes = np.array(sorted(rows), dtype=np.int64)
-                digits = np.frombuffer(b"".join(rows[x]["digits"] for x in nodes.tolist()), dtype=np.uint8).reshape(len(nodes), VALUES)
-                found, left = pairs_to_verify(nodes, digits, least, np.array([rows[x]["label"] for x in nodes.tolist()]), near)
-                pairs.append(found)
-                more.append(left)
-            yield pd.DataFrame({"pairs": pairs, "more": more})
+    bits, p = 64 * SKETCH, differing(similarity)
+    most = int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
+
+    def found(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        ends = np.append(starts[1:], len(rows))
+        left = np.repeat(ends, ends - starts) - np.arange(len(rows))  # rows to the posting's end, itself included
+        has = np.repeat(ends - starts > long, ends - starts)
+        at, gap = np.flatnonzero(~has & (left > 1)), 1
+        sketch = rows[:, 2:].view(np.uint64)
+        while len(at):
+            near = at[np.bitwise_count(sketch[at] ^ sketch[at + gap]).sum(axis=1) <= most]
+            has[near] = has[near + gap] = True
+            gap += 1
+            at = at[left[at] > gap]
+        return np.unique(rows[has, 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, 2 + SKETCH), dtype=np.int64)
+        for batch in batches:
+            rows = np.concatenate([kept, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
+            if not len(rows):
+                continue
+            starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            last = starts[-1]  # this posting may go on in the next batch
+            out = [found(rows[:last], starts[:-1])] if last else []
+            kept = rows[last:]
+            if len(kept) > long:
+                out.append(np.unique(kept[:, 1]))
+                kept = kept[-long - 1 :]
+            for nodes in out:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes)], ["node"])
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(found(kept, np.zeros(1, dtype=np.int64)))], ["node"])
+
+    return run
 
-    return udf
 
+def byte_keys(at: list[int]) -> Column:
+    """The posting keys of a fingerprint: position and byte, for each position of ``at``."""
+    return F.array(*[F.lit(256 * k).cast("long") + F.conv(F.hex(F.substring("fp", k + 1, 1)), 16, 10).cast("long") for k in at])
+
+
+def borders(one: np.ndarray, other: np.ndarray, similarity: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least tally of positional bytes, largest Hamming distance) of sets of these sizes that are alike; a distance of -1 if none can be."""
+    common = np.ceil(similarity / (1 + similarity) * (one + other) - 1e-9)
+    p = np.arccos(np.minimum(1, common / np.sqrt(one * other))) / np.pi + 0.31 / np.maximum(one, other)
+    shared = (1 - p) ** 8
+    tally = bits / 8 * shared - 4 * np.sqrt(bits / 8 * shared * (1 - shared))
+    distance = np.where(np.minimum(one, other) >= common, bits * p + 4 * np.sqrt(bits * p * (1 - p)), -1)
+    return tally, distance
+
+
+def close_pairs(fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similarity: float, former: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance), i < j, of a posting's pairs of different labels that share none of the ``former`` bytes and pass the tally and the Hamming distance."""
+    words, found, p = fps.view(np.uint64), [], differing(similarity, True)
+    sketch, bits = words[:, -SKETCH:], 64 * SKETCH
+    most = bits * p + 5 * np.sqrt(bits * p * (1 - p))
+    step = max(1, PAIRS // len(fps))
+    for at in range(0, len(fps), step):
+        near = sum(np.bitwise_count(sketch[at : at + step, None, k] ^ sketch[None, :, k]).astype(np.int16) for k in range(SKETCH)) <= most
+        near &= labels[at : at + step, None] != labels[None, :]
+        i, j = np.nonzero(near)
+        i, j = i[i + at < j] + at, j[i + at < j]
+        distance = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        tally, border = borders(sizes[i].astype(float), sizes[j].astype(float), similarity, 8 * fps.shape[1])
+        keep = distance <= border
+        same = fps[i[keep]] == fps[j[keep]]
+        keep[keep] = (same.sum(axis=1) >= tally[keep]) & ~same[:, former].any(axis=1)
+        found.append((i[keep], j[keep], distance[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def posting_pairs(similarity: float, nearest: bool, first: int):
+    """Pairs (a, b) to verify of one block (key, i, j) of a posting: each text's nearest of another label, or every pair of two labels.
+
+    In the latter case a pair counts in the first posting, from position ``first`` on, that both texts share.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", kind="stable")
+        nodes, fps, position = rows["node"].to_numpy(), fingerprints(rows["fp"]), int(rows["key"].iloc[0]) >> 8
+        former = slice(0, 0) if nearest else slice(first, position)
+        i, j, distance = close_pairs(fps, rows["size"].to_numpy(), rows["label"].to_numpy(), similarity, former)
+        if nearest:
+            ends = np.concatenate([i, j])
+            order = np.lexsort((np.concatenate([j, i]), np.concatenate([distance, distance]), ends))
+            of = order[np.unique(ends[order], return_index=True)[1]] % max(1, len(i))
+            i, j = i[np.unique(of)], j[np.unique(of)]
+        return pd.DataFrame({"a": nodes[i], "b": nodes[j]})
 
-def candidates(blocks: DataFrame, nodes: DataFrame, similarity: float, near: int) -> DataFrame:
-    """(pairs, more) per block of postings, given as rows (block, node, label)."""
-    members = blocks.join(nodes.select("node", "digits"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "digits", "label")).alias("members"))
-    return members.select(verify_udf(similarity, near)("members").alias("e")).select("e.pairs", "e.more")
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -354,42 +444,17 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
 
-def links_in_block(similarity: float):
-    """The links (a, b) of one block that join components: every pair of different labels with the least tally is verified on whole sets.
-
-    A pair whose ends an earlier pair of the block has joined is not looked at again.
-    """
-    least = least_tally(similarity)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", kind="stable")
-        nodes, labels, sets = rows["node"].to_numpy(), rows["label"].to_numpy().copy(), [np.asarray(x) for x in rows["set"]]
-        digits = np.frombuffer(b"".join(rows["digits"]), dtype=np.uint8).reshape(len(nodes), VALUES)
-        found: list[tuple[int, int]] = []
-        for k in range(1, len(nodes)):
-            tally = (digits[:k] == digits[k]).sum(axis=1)
-            for j in np.flatnonzero(tally >= least):
-                if labels[j] != labels[k]:
-                    both = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
-                    if both >= similarity * (len(sets[j]) + len(sets[k]) - both) - 1e-9:
-                        found.append((int(nodes[j]), int(nodes[k])))
-                        labels[labels == labels[j]] = labels[k]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return run
-
-
 class Links:
-    """The pairs tried so far, the sets looked up, and the labels of what the verified pairs connect."""
+    """The sets looked up, and the labels of what the verified pairs connect."""
 
-    def __init__(self, nodes: DataFrame, sets_of, similarity: float):
-        self.nodes, self.sets_of, self.similarity = nodes, sets_of, similarity
-        self.tried = self.labels = self.known = None
+    def __init__(self, sets_of, similarity: float):
+        self.sets_of, self.similarity = sets_of, similarity
+        self.labels = self.known = None
 
-    def labelled(self, blocks: DataFrame) -> DataFrame:
+    def labelled(self, nodes: DataFrame) -> DataFrame:
         if self.labels is None:
-            return blocks.withColumn("label", F.col("node"))
-        return blocks.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            return nodes.withColumn("label", F.col("node"))
+        return nodes.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """The sets of the pairs' nodes; those not met before are made from their texts and written, each once."""
@@ -403,41 +468,14 @@ class Links:
             self.known = self.known.unionByName(made)
         return self.known.join(bounded(involved), "node", "left_semi")
 
-    def settle(self, blocks: DataFrame) -> None:
-        """Verify pairs of the blocks until none that is left untried joins two components.
-
-        A maximum spanning forest by tally comes first. A pair that fails leaves its ends apart, so the next
-        round tries other pairs between them: only blocks with members of two components come back, with each
-        node's nearest. What is still untried then is verified inside its block, on the sets of the block's members, so that
-        only links leave it.
-        """
-        for near in ROUNDS:
-            at = self.labelled(blocks)
-            if self.labels is not None:
-                mixed = materialize(at.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block"), "mixed")
-                at = at.join(bounded(mixed), "block", "left_semi")
-            found = materialize(candidates(at, self.nodes, self.similarity, near), "pairs")
-            pairs = found.select(F.explode("pairs").alias("e")).select("e.a", "e.b").distinct()
-            if self.tried is not None:
-                pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            some, more = pairs.limit(1).count(), found.filter("more").limit(1).count()
-            if some:
-                edges = materialize(verified(pairs, self.sets(pairs), self.similarity), "alike")
-                self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-                if edges.limit(1).count():
-                    self.absorb(edges)
-            discard(found)
-            if not more:
-                return
-        at = self.labelled(blocks)
-        mixed = materialize(at.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("block"), "mixed")
-        left = materialize(at.join(bounded(mixed), "block", "left_semi"), "left")
-        sets = self.sets(left.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        members = left.join(self.nodes.select("node", "digits"), "node").join(sets, "node").select(F.col("block.*"), "node", "label", "digits", "set")
-        edges = materialize(members.groupBy("key", "i", "j").applyInPandas(links_in_block(self.similarity), "a long, b long").distinct(), "alike")
-        if edges.limit(1).count():
-            self.absorb(edges)
+    def verify(self, pairs: DataFrame) -> None:
+        """Those of the pairs whose sets are alike join the labels."""
+        pairs = materialize(pairs.distinct(), "pairs")
+        if pairs.limit(1).count():
+            edges = materialize(verified(pairs, self.sets(pairs), self.similarity), "alike")
+            if edges.limit(1).count():
+                self.absorb(edges)
+        discard(pairs)
 
     def absorb(self, edges: DataFrame) -> None:
         """Labels with new edges: only the components that these join are labelled anew."""
@@ -451,34 +489,34 @@ class Links:
         self.labels = materialize(every.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
+def dealt(texts: DataFrame, labelled: DataFrame, at: list[int], long: int) -> DataFrame:
+    """The postings of single positional bytes, with a block (key, i, j): one of a posting up to ``long``, else one of each two parts."""
+    sizes = texts.select(F.explode(byte_keys(at)).alias("key")).groupBy("key").count()
+    wide = {r["key"]: -(-2 * r["count"] // long) for r in sizes.filter(F.col("count") > long).collect()}  # 256 a position at most
+    index = labelled.withColumn("key", F.explode(byte_keys(at)))
+    parts = F.lit(1)
+    if wide:
+        parts = F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in wide.items() for x in kv])[F.col("key")], F.lit(1))
+    own = index.withColumn("parts", parts.cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    every = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return every.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("parts", "own", "other")
+
+
 def link_sets(nodes: DataFrame, sets_of, similarity: float, long: int = LONG) -> DataFrame:
-    """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, keys, digits), ``sets_of(nodes)`` gives (node, set)."""
-    index = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")  # a posting of one compares nothing
-    postings = materialize(index.join(sizes, "key"), "postings")
-    of_key = lambda chunk: F.struct("key", chunk.cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-    short = postings.filter(F.col("size") <= long).select(of_key(F.lit(0)).alias("block"), "node")
-    # long postings: about ``long / 2`` leaders by hash join every block of about as many members
-    half = max(1, long // 2)
-    wide = postings.filter(F.col("size") > long).withColumns({"chunks": F.ceil(F.col("size") / half), "at": F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / half))})
-    dealt = wide.select(of_key(F.col("at")).alias("block"), "node")
-    leaders = wide.filter("at = 0").select("key", "node", F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).alias("i")).select(of_key(F.col("i")).alias("block"), "node")
-    links = Links(nodes, sets_of, similarity)
-    links.settle(short.unionByName(dealt).unionByName(leaders))
+    """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, size, fp), ``sets_of(nodes)`` gives (node, set)."""
+    index = nodes.filter("size > 0").mapInArrow(block_postings(similarity), "key long, node long, s long, t long")
+    postings = index.repartition("key").sortWithinPartitions("key")
+    some = materialize(postings.mapInArrow(partnered(similarity, long), "node long").distinct(), "partnered")
+    texts = materialize(nodes.join(bounded(some), "node", "left_semi"), "partnered-texts")
+    discard(some)
+    links, every = Links(sets_of, similarity), positions(similarity)
+    rounds = [(every + NEAREST * k, NEAREST, True) for k in range(ROUNDS)]
+    for first, count, nearest in [*rounds, (0, every, False)]:
+        at = dealt(texts, links.labelled(texts), list(range(first, first + count)), 8 * long)
+        links.verify(at.groupBy("key", "i", "j").applyInPandas(posting_pairs(similarity, nearest, first), "a long, b long"))
+    discard(texts)
     if links.labels is None:
         return nodes.select("node", F.col("node").alias("label")).filter("false")
-    if wide.limit(1).count():
-        # who is not in the component that most leaders of a long posting are in meets all its members
-        of = links.labelled(wide)
-        most = of.filter("at = 0").groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        outside = of.join(most, "key").filter("label <> main").select("key", "node", "at", "chunks")
-        counts = outside.groupBy("key").agg(F.ceil(F.count("*") / half).alias("groups"))
-        block = F.struct("key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).alias("block")
-        up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-        left = outside.join(counts, "key").withColumn("i", F.pmod(F.xxhash64("key", "node"), F.col("groups"))).withColumn("j", up_to("chunks")).select(block, "node")
-        right = wide.join(counts, "key").withColumns({"j": F.col("at")}).withColumn("i", up_to("groups")).select(block, "node")
-        links.settle(materialize(left.unionByName(right).distinct(), "outside-blocks"))
-    discard(postings)
     return links.labels
 
 
@@ -489,20 +527,20 @@ def dedup_alike(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     ``width``-word shingles, verified exactly.
     """
     mark, rid = spare_name(docs, "mark"), spare_name(docs, "rid")
-    kept = docs.withColumns({mark: marks_udf(width)("text"), rid: F.monotonically_increasing_id()})
+    kept = docs.withColumns({mark: marks_udf(width, words_of(similarity))("text"), rid: F.monotonically_increasing_id()})
     kept = materialize(kept, "dedup")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(rid).alias("rid"))).alias("low")
-    light = kept.select("doc_id", F.col(rid).alias(rid), F.col(f"{mark}.node").alias("node"), F.col(f"{mark}.keys").alias("keys"), F.col(f"{mark}.digits").alias("digits"))
-    nodes = materialize(light.groupBy("node").agg(low, F.first("keys").alias("keys"), F.first("digits").alias("digits")), "nodes")
+    light = kept.select("doc_id", F.col(rid).alias(rid), *[F.col(f"{mark}.{c}").alias(c) for c in ("node", "size", "fp")])
+    nodes = materialize(light.groupBy("node").agg(low, F.first("size").alias("size"), F.first("fp").alias("fp")), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         rows = nodes.select("node", F.col("low.rid").alias(rid)).join(bounded(wanted), "node")
         return kept.select(rid, "text").join(bounded(rows), rid).select("node", shingle_set_udf(width)("text").alias("set"))
 
-    labels = link_sets(nodes.select("node", "keys", "digits"), sets_of, similarity, long)
+    labels = link_sets(nodes.select("node", "size", "fp"), sets_of, similarity, long)
     of = nodes.join(labels, "node", "left").select("low", F.coalesce("label", "node").alias("root"))
     keep = of.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.rid").alias(rid))
     return kept.join(keep, rid, "left_semi").select(*docs.columns)
 
 
-__all__ = ["components", "dedup", "dedup_alike", "link_fingerprints", "link_sets", "near_duplicates", "neighbour_star", "pairs_to_verify", "shingle_set", "simhash", "tallied_star"]
+__all__ = ["components", "dedup", "dedup_alike", "link_fingerprints", "link_sets", "near_duplicates", "neighbour_star", "shingle_set", "simhash", "tallied_star", "wide_simhash"]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -172,3 +173,68 @@ def test_stage_near_threshold(spark):
     assert len(want) == 29
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.dedup_alike(docs).count() == 20 * 29
+
+
+def test_stage_fingerprint():
+    """A bit of the wide fingerprint is set in over half of the members' mixed hashes, also beyond the 255 that are summed at once."""
+    for n in (0, 1, 4, 600):
+        members = np.random.default_rng(n).integers(1 << 64, size=n, dtype=np.uint64)
+        want = [0] * 128
+        for h in members.tolist():
+            for k, seed in enumerate(np.random.default_rng(simhash.SEED).integers(1 << 64, size=2, dtype=np.uint64).tolist()):
+                z = (h + seed) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                z ^= z >> 31
+                for b in range(64):
+                    want[64 * k + b] += z >> b & 1
+        got = np.unpackbits(np.frombuffer(simhash.wide_simhash(members, 2), dtype=np.uint8), bitorder="little")
+        assert got.tolist() == [2 * x > n for x in want]
+
+
+def test_stage_partners_across_batches():
+    """Who has a partner in a posting does not depend on where batches end; in a long posting everybody has one."""
+    rng = random.Random(6)
+    rows = []
+    for key, n in enumerate([1, 2, 7, 40, 1, 3, 12]):
+        base = [rng.getrandbits(62), rng.getrandbits(62)]
+        for _ in range(n):
+            near = rng.random() < 0.5
+            rows.append((key, len(rows), *(x ^ 1 << rng.randrange(62) if near else rng.getrandbits(62) for x in base)))
+    most = 20
+    want = {r[1] for r in rows if key_size(rows, r[0]) > most}
+    want |= {x[1] for x in rows for y in rows if x[1] != y[1] and x[0] == y[0] and (x[2] ^ y[2]).bit_count() + (x[3] ^ y[3]).bit_count() <= 41}
+    for size in (1, 2, 5, 30, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + size])], ["key", "node", "s", "t"]) for at in range(0, len(rows), size)]
+        got = [x for b in simhash.partnered(0.8, most)(iter(batches)) for x in b.column(0).to_pylist()]
+        assert set(got) == want
+
+
+def key_size(rows, key):
+    return sum(r[0] == key for r in rows)
+
+
+def test_stage_verifies_what_hamming_distance_leaves(spark, monkeypatch):
+    """Candidates come from SimHash: all pass the Hamming border, and of a large group few pairs are looked at. Texts of eight and nine words are found too."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(120):
+        new = list(base)
+        for at in rng.sample(range(150), 3):
+            new[at] = f"n{k}x{at}"
+        rows.append((k + 1, " ".join(new)))
+    for k in range(100):
+        words = [f"s{k}x{j}" for j in range(9)]
+        rows += [(1000 + 2 * k, " ".join(words[:8])), (1001 + 2 * k, " ".join(words))]
+    seen, before = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, sets, s: (seen.extend(pairs.join(sets.withColumnsRenamed({"node": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "y"}), "b").collect()), before(pairs, sets, s))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.dedup_alike(docs).collect()) == plain_kept(rows)
+    words = simhash.words_of(0.8)
+    for r in seen:
+        x, y = (np.array(r[c], dtype=np.int64).view(np.uint64) for c in "xy")
+        one, other = (np.frombuffer(simhash.wide_simhash(v, words), dtype=np.uint8) for v in (x, y))
+        tally, border = simhash.borders(np.array([len(x)]), np.array([len(y)]), 0.8, 64 * words)
+        assert np.bitwise_count(one ^ other).sum() <= border[0] and (one == other).sum() >= tally[0]
+    assert 0 < len(seen) < 121 * 120 / 4
