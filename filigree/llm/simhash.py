@@ -236,7 +236,10 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def differing(similarity: float, small: bool = False) -> float:
-    """With what chance a bit of two sets of this similarity differs at most (``small``: sets of four and five shingles)."""
+    """With what chance a bit of two sets of this similarity differs at most (``small``: sets of four and five shingles).
+
+    What is added to the arc of the cosine was enumerated over all sets of up to 124 shingles at 0.8.
+    """
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + (0.036 if small else 0.0097)
 
 
