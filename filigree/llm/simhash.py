@@ -19,12 +19,13 @@ smallest linked value), never as pairs.
 
 Stage. ``dedup_alike`` has a contract of its own: two texts are near copies if their sets of five-word
 shingles have a Jaccard similarity of 0.8 or more. Their 64-bit fingerprints differ in some ten bits, so the
-stage takes a wider SimHash of the set (2,368 bits), under the same steps: an inverted index over its positional bytes,
+stage takes a wider SimHash of the set (2,432 bits), under the same steps: an inverted index over its positional bytes,
 a count filter on the tally of shared positional bytes, Hamming distance; the exact similarity of the whole sets follows.
 A bit of a pair at 0.8 differs with 0.161 at most (0.151 but for small sets), a byte is shared with 0.245.
 The index is read in two steps. Over all texts a posting key is a block of two positional bytes (140 blocks; a pair
-meets with 0.9998), and a posting tells only which texts have a partner by the Hamming distance of 128 other bits, four standard
-deviations and more above what is expected. Over these, a posting is one positional byte and holds the whole fingerprints: pairs below the least tally
+meets with 0.9998), and a posting tells only which texts have a partner by the Hamming distance of 192 other bits, five standard
+deviations above what is expected; two texts that have nothing in common are that near with 6e-9, so their number does not grow with
+the square of the corpus. Over these, a posting is one positional byte and holds the whole fingerprints: pairs below the least tally
 or above the Hamming border of their sizes are dropped. Each text's nearest of another component is verified first; then every pair of two
 components, each in the first posting that it shares. Long postings are dealt in blocks that bring every pair together.
 What may be missed is a pair at the border: 0.0002 by either index, 0.0001 by the filters, less above 0.8.
@@ -62,8 +63,9 @@ SHARED, LONG = 6, 256
 BROADCAST = 1 << 16
 
 #: The stage: sets of so few shingles get more blocks; words of the fingerprint that are the sketch; positions of a round of
-#: nearest texts, and rounds; texts and pairs handled at once.
-SMALL, SKETCH, NEAREST, ROUNDS, TEXTS, PAIRS = 5, 2, 4, 3, 512, 1 << 15
+#: nearest texts, and rounds; texts and pairs handled at once. Postings of the stage are read as a whole up to so many times ``long``.
+SMALL, SKETCH, NEAREST, ROUNDS, TEXTS, PAIRS = 5, 3, 4, 3, 512, 1 << 15
+POSTING = 32
 
 #: Blocks of four positional bytes: two of the four pairs (0, 1), (2, 3), (4, 5), (6, 7).
 BLOCKS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
@@ -316,70 +318,106 @@ def fingerprints(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
 
 
+def sketch_of(fps: np.ndarray) -> np.ndarray:
+    """The sketch of fingerprints as rows of ``SKETCH`` numbers, as ``sketch_columns`` reads it."""
+    return np.ascontiguousarray(fps[:, -8 * SKETCH :]).view(">i8").astype(np.int64)
+
+
+def sketch_columns(words: int) -> dict[str, Column]:
+    """The sketch of a fingerprint ``fp`` of so many words, as columns."""
+    return {f"s{k}": F.conv(F.hex(F.substring("fp", 8 * (words - SKETCH + k) + 1, 8)), 16, -10).cast("long") for k in range(SKETCH)}
+
+
+def sketch_borders(p: float, words: int = SKETCH) -> tuple[int, int]:
+    """The largest Hamming distance of the first word and of all words of a sketch, where a bit differs with ``p``: five standard deviations."""
+    return tuple(int(n * p + 5 * np.sqrt(n * p * (1 - p))) for n in (64, 64 * words))
+
+
 def block_postings(similarity: float):
-    """Batches (node, size, fp) to (key, node, s, t): a row per block of two positional bytes, with the sketch."""
+    """Batches (size, fp) to (key, sketch): a row per block of two positional bytes. The sketch stands for the text."""
     n = blocks(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                fps, nodes = fingerprints(part.column("fp").to_pylist()), part.column("node").to_numpy(zero_copy_only=False)
+                fps = fingerprints(part.column("fp").to_pylist())
                 small = part.column("size").to_numpy(zero_copy_only=False) <= SMALL
                 digits = fps[:, : 2 * n].astype(np.int64)
-                sketch = fps.view(np.int64)[:, -SKETCH:]
+                sketch = sketch_of(fps)
                 # small sets, of which more bits may differ, also post the pairs of bytes between the blocks
-                for first, rows in ((0, np.arange(len(nodes))), (1, np.flatnonzero(small))):
+                for first, rows in ((0, np.arange(len(fps))), (1, np.flatnonzero(small))):
                     left, right = digits[rows, first : 2 * n - first : 2], digits[rows, first + 1 : 2 * n : 2]
                     keys = (2 * np.arange(left.shape[1]) + first << 16) + (left << 8) + right
                     of = np.repeat(rows, left.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes[of]), pa.array(sketch[of, 0]), pa.array(sketch[of, 1])], ["key", "node", "s", "t"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(sketch[of, k]) for k in range(SKETCH)]], ["key", *(f"s{k}" for k in range(SKETCH))])
 
     return run
 
 
-def partnered(similarity: float, long: int):
-    """Batches (key, node, s, t), sorted by key, to the nodes that have a partner in their posting: one within the Hamming border of the sketch.
+def partnered(similarity: float, long: int, named: bool = True):
+    """Batches (key, node, sketch), sorted by key, to the nodes that have a partner in their posting: one within the Hamming border of the sketch.
 
-    In a posting of more than ``long`` every node counts as having one.
+    In a posting of more than ``long`` every node counts as having one. If not ``named``, batches are (key, sketch) and the sketch is returned.
     """
-    bits, p = 64 * SKETCH, differing(similarity)
-    most = int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
+    sketched = 2 if named else 1
 
     def found(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         ends = np.append(starts[1:], len(rows))
         left = np.repeat(ends, ends - starts) - np.arange(len(rows))  # rows to the posting's end, itself included
         has = np.repeat(ends - starts > long, ends - starts)
         at, gap = np.flatnonzero(~has & (left > 1)), 1
-        sketch = rows[:, 2:].view(np.uint64)
+        sketch = rows[:, sketched:].view(np.uint64)
+        some, most = sketch_borders(differing(similarity), sketch.shape[1])
+        head = np.ascontiguousarray(sketch[:, 0])
         while len(at):
-            near = at[np.bitwise_count(sketch[at] ^ sketch[at + gap]).sum(axis=1) <= most]
+            near = at[np.bitwise_count(head[at] ^ head[at + gap]) <= some]
+            near = near[~(has[near] & has[near + gap])]
+            near = near[np.bitwise_count(sketch[near] ^ sketch[near + gap]).sum(axis=1) <= most]
             has[near] = has[near + gap] = True
             gap += 1
             at = at[left[at] > gap]
-        return np.unique(rows[has, 1])
+        return rows[has]
+
+    def give(rows: np.ndarray) -> pa.RecordBatch:
+        names = ["node"] if named else [f"s{k}" for k in range(rows.shape[1] - 1)]
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1 + k]) for k in range(len(names))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 2 + SKETCH), dtype=np.int64)
+        kept = None
         for batch in batches:
-            rows = np.concatenate([kept, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows = rows if kept is None else np.concatenate([kept, rows])
             if not len(rows):
                 continue
             starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             last = starts[-1]  # this posting may go on in the next batch
-            out = [found(rows[:last], starts[:-1])] if last else []
+            if last:
+                yield give(found(rows[:last], starts[:-1]))
             kept = rows[last:]
             if len(kept) > long:
-                out.append(np.unique(kept[:, 1]))
+                yield give(kept)
                 kept = kept[-long - 1 :]
-            for nodes in out:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes)], ["node"])
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(found(kept, np.zeros(1, dtype=np.int64)))], ["node"])
+        if kept is not None:
+            yield give(found(kept, np.zeros(1, dtype=np.int64)))
 
     return run
 
 
+def partnered_texts(nodes: DataFrame, similarity: float, long: int) -> DataFrame:
+    """Those of ``nodes`` (node, size, fp) that meet a partner in a block of two positional bytes, as a written table.
+
+    Texts of one sketch count as one; that only adds texts.
+    """
+    names = sketch_columns(words_of(similarity))
+    index = nodes.filter("size > 0").select("size", "fp").mapInArrow(block_postings(similarity), f"key long, {', '.join(f'{c} long' for c in names)}")
+    postings = index.repartition("key").sortWithinPartitions("key")
+    some = materialize(postings.mapInArrow(partnered(similarity, long, False), ", ".join(f"{c} long" for c in names)).distinct(), "partnered")
+    texts = materialize(nodes.filter("size > 0").withColumns(names).join(bounded(some), list(names), "left_semi").select(nodes.columns), "partnered-texts")
+    discard(some)
+    return texts
+
+
 def byte_keys(at: list[int]) -> Column:
     """The posting keys of a fingerprint: position and byte, for each position of ``at``."""
     return F.array(*[F.lit(256 * k).cast("long") + F.conv(F.hex(F.substring("fp", k + 1, 1)), 16, 10).cast("long") for k in at])
@@ -397,15 +435,18 @@ def borders(one: np.ndarray, other: np.ndarray, similarity: float, bits: int) ->
 
 def close_pairs(fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similarity: float, former: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance), i < j, of a posting's pairs of different labels that share none of the ``former`` bytes and pass the tally and the Hamming distance."""
-    words, found, p = fps.view(np.uint64), [], differing(similarity, True)
-    sketch, bits = words[:, -SKETCH:], 64 * SKETCH
-    most = bits * p + 5 * np.sqrt(bits * p * (1 - p))
+    words, found = fps.view(np.uint64), []
+    sketch = words[:, -SKETCH:]
+    head = np.ascontiguousarray(sketch[:, 0])
+    some, most = sketch_borders(differing(similarity, True))
     step = max(1, PAIRS // len(fps))
     for at in range(0, len(fps), step):
-        near = sum(np.bitwise_count(sketch[at : at + step, None, k] ^ sketch[None, :, k]).astype(np.int16) for k in range(SKETCH)) <= most
-        near &= labels[at : at + step, None] != labels[None, :]
-        i, j = np.nonzero(near)
-        i, j = i[i + at < j] + at, j[i + at < j]
+        # the columns before ``at`` have met these rows already
+        i, j = np.nonzero(np.bitwise_count(head[at : at + step, None] ^ head[None, at:]) <= some)
+        i, j = i[i < j] + at, j[i < j] + at
+        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most
+        near &= labels[i] != labels[j]
+        i, j = i[near], j[near]
         distance = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
         tally, border = borders(sizes[i].astype(float), sizes[j].astype(float), similarity, 8 * fps.shape[1])
         keep = distance <= border
@@ -507,15 +548,11 @@ def dealt(texts: DataFrame, labelled: DataFrame, at: list[int], long: int) -> Da
 
 def link_sets(nodes: DataFrame, sets_of, similarity: float, long: int = LONG) -> DataFrame:
     """(node, label) of the nodes that verified similarity connects; ``nodes`` (node, size, fp), ``sets_of(nodes)`` gives (node, set)."""
-    index = nodes.filter("size > 0").mapInArrow(block_postings(similarity), "key long, node long, s long, t long")
-    postings = index.repartition("key").sortWithinPartitions("key")
-    some = materialize(postings.mapInArrow(partnered(similarity, long), "node long").distinct(), "partnered")
-    texts = materialize(nodes.join(bounded(some), "node", "left_semi"), "partnered-texts")
-    discard(some)
+    texts = partnered_texts(nodes, similarity, POSTING * long)
     links, every = Links(sets_of, similarity), positions(similarity)
     rounds = [(every + NEAREST * k, NEAREST, True) for k in range(ROUNDS)]
     for first, count, nearest in [*rounds, (0, every, False)]:
-        at = dealt(texts, links.labelled(texts), list(range(first, first + count)), 8 * long)
+        at = dealt(texts, links.labelled(texts), list(range(first, first + count)), POSTING * long)
         links.verify(at.groupBy("key", "i", "j").applyInPandas(posting_pairs(similarity, nearest, first), "a long, b long"))
     discard(texts)
     if links.labels is None:

@@ -238,3 +238,14 @@ def test_stage_verifies_what_hamming_distance_leaves(spark, monkeypatch):
         tally, border = simhash.borders(np.array([len(x)]), np.array([len(y)]), 0.8, 64 * words)
         assert np.bitwise_count(one ^ other).sum() <= border[0] and (one == other).sum() >= tally[0]
     assert 0 < len(seen) < 121 * 120 / 4
+
+
+def test_stage_partners_are_near(spark):
+    """Of many unrelated texts that meet in a posting only those with a near partner go on, so their number does not grow with the square of the corpus."""
+    rng = np.random.default_rng(12)
+    fps = rng.integers(256, size=(3000, 8 * simhash.words_of(0.8)), dtype=np.uint8)
+    fps[:, :8] = 7  # all meet in four blocks
+    fps[1] = fps[0]
+    fps[1, -simhash.SKETCH * 8 :: 2] ^= 3  # 24 of the sketch's bits differ
+    nodes = spark.createDataFrame([(k, 100, x.tobytes()) for k, x in enumerate(fps)], "node long, size long, fp binary").repartition(3)
+    assert {r["node"] for r in simhash.partnered_texts(nodes, 0.8, 4096).collect()} == {0, 1}
