@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.functions import chunks, text
-from filigree.operators import positions, relational
+from filigree.operators import relational
 from filigree.operators import retrieval as R
 from filigree.plans.registry import query
-from filigree.session import load_table
+from filigree.session import load_table, materialize
 from filigree.sources import markup
 
 _T = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')"
@@ -21,16 +21,14 @@ _BM25 = f"""w AS (SELECT doc_id AS doc, {_T} AS w FROM documents), size AS (SELE
 
 
 def every_script(s: SparkSession, d: str) -> DataFrame:
-    index = positions.positional_index(load_table(s, d, "documents"), "doc_id", "text", R.EVERY_SCRIPT)
-    asked = load_table(s, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(R.terms(F.col("text"), R.EVERY_SCRIPT)).alias("term"))
-    return positions.ranked_terms(index, asked, 10)
+    return R.bm25(load_table(s, d, "documents"), "doc_id", "text", load_table(s, d, "benchmark"), "item_id", "text", 10, R.EVERY_SCRIPT)
 
 
 query("r4_bm25_every_script", f"WITH {_BM25} SELECT query, doc, rank, round(score, 4) AS score FROM bm")(lambda s, d: every_script(s, d).select("query", "doc", "rank", F.round("score", 4).alias("score")))
 query("t4_ordered_fusion", f"""WITH {_BM25}, f AS (SELECT query, doc, round(1.0::DOUBLE / (60 + rank) + CASE WHEN rank > 5 THEN 1.0::DOUBLE / (60 + 11 - rank) - 1.0::DOUBLE / (60 + rank) ELSE 0 END, 9) AS rrf, round(-score, 4) AS score FROM bm)
   SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY rrf DESC, score, doc) AS INT) AS rank FROM f QUALIFY rank <= 8""")(
     lambda s, d: R.ordered_fusion(
-        (b := every_script(s, d)).select("query", "doc", F.round(1.0 / (60 + F.when(F.col("rank") > 5, 11 - F.col("rank")).otherwise(F.col("rank"))), 9).alias("rrf")), b.select("query", "doc", F.round(-F.col("score"), 4).alias("score")), 8
+        (b := materialize(every_script(s, d), "ranking")).select("query", "doc", F.round(1.0 / (60 + F.when(F.col("rank") > 5, 11 - F.col("rank")).otherwise(F.col("rank"))), 9).alias("rrf")), b.select("query", "doc", F.round(-F.col("score"), 4).alias("score")), 8
     ).select("query", "doc", "rank")
 )
 query("r15_fused_slots", """WITH r AS (SELECT o_custkey AS query, o_orderstatus AS slot, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS variant, year(o_orderdate) AS doc, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS rank FROM orders),
